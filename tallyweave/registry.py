@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.plans import advantage_queries, tables
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advantage_queries.flagship(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return tables.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return tables.SQL
