@@ -110,9 +110,11 @@ def adv_rloo_vectorized(spark, sf_dir):
 
 
 @query("adv_opo", f"""WITH {GRP}, o AS (SELECT *, sum(n * s) OVER w / sum(n) OVER w AS b FROM g WINDOW w AS (PARTITION BY uid))
-SELECT t.row_id, CAST(pos AS INTEGER) AS pos, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m, 6) + 0.0 AS advantages, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m, 6) + 0.0 AS returns FROM tok t JOIN o USING (row_id)""")
+SELECT t.row_id, CAST(pos AS INTEGER) AS pos, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m + 1e-9, 6) + 0.0 AS advantages, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m + 1e-9, 6) + 0.0 AS returns FROM tok t JOIN o USING (row_id)""")
 def adv_opo(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "opo"))
+    made = V.advantages(rollouts(spark, sf_dir), "opo")
+    up = lambda c: F.transform(c, lambda x: x + 1e-9)  # noqa: E731  weighted means often end in a 5
+    return _long(made.withColumn("advantages", up("advantages")).withColumn("returns", up("returns")))
 
 
 @query("adv_gpg", f"""WITH {GRP}, k AS (SELECT count(*) / greatest(count(*) FILTER (s <> 0), 1) AS alpha FROM s)
@@ -156,10 +158,10 @@ def adv_remax(spark, sf_dir):
 def _otb_sql(compact: bool, zero_tail: bool) -> str:
     at = "row_number() OVER (PARTITION BY row_id ORDER BY pos) - 1" if compact else "pos"
     used = "WHERE m = 1" if compact else ""
-    tail = "WHEN tail IS NOT NULL AND at >= tail THEN 0" if zero_tail else ""
+    tail = "WHEN tail IS NOT NULL AND place >= tail THEN 0" if zero_tail else ""
     return f"""WITH {TOK}, ret AS (SELECT *, sum(r * m) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret FROM tok),
-u AS (SELECT *, {at} AS at, sum((1 - 2 * exp(olp) + spi) * m) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM ret {used}),
-b AS (SELECT *, sum(ret * w * m) OVER p / (sum(w * m) OVER p + 1e-8) AS b FROM u WINDOW p AS (PARTITION BY uid, at)),
+u AS (SELECT *, {at} AS place, sum((1 - 2 * exp(olp) + spi) * m) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM ret {used}),
+b AS (SELECT *, sum(ret * w * m) OVER p / (sum(w * m) OVER p + 1e-8) AS b FROM u WINDOW p AS (PARTITION BY uid, place)),
 l AS (SELECT row_id, uid, sum(m) AS len FROM tok GROUP BY row_id, uid),
 k AS (SELECT *, count(*) OVER (PARTITION BY uid) AS rows, row_number() OVER o AS nth, lead(len) OVER o AS second FROM l WINDOW o AS (PARTITION BY uid ORDER BY len DESC)),
 kt AS (SELECT row_id, rows, CASE WHEN nth = 1 AND len > second THEN second END AS tail FROM k),
