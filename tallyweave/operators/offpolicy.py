@@ -69,22 +69,34 @@ def _statistic(x: Column, kind: str) -> Column:
     return 0.5 * x * x if kind == "k2" else F.exp(x) - 1 - x
 
 
+def _statistics(kind: str) -> Column:
+    return F.transform("_lr", lambda x: _statistic(x, kind))
+
+
+def _inside(s: Column, kind: str, bounds: tuple[float | None, float]) -> Column:
+    low, high = bounds
+    return (s <= F.log(F.lit(high))) & (s >= F.log(F.lit(low))) if kind == "k1" else s <= high
+
+
+def _token_kept(kept: Column, kind: str, bounds: tuple[float | None, float]) -> Column:
+    return F.zip_with(kept, F.col("_lr"), lambda m, x: F.when(_inside(_statistic(x, kind), kind, bounds), m).otherwise(0))
+
+
 def rejection_mask(df: DataFrame, options: str | list[str] = "token_k1", thresholds: str | float = 2.0, *, old: str = "old_logp", rollout: str = "rollout_logp", mask: str = "mask") -> DataFrame:
     """Set the mask to 0 where any option rejects: single tokens, or whole rows by sum, mean or largest statistic."""
     names = [o.strip() for o in options.split(",")] if isinstance(options, str) else list(options)
     made = _ratio(df, old, rollout).withColumn("_lr", F.transform("_lr", lambda x: A.clip(x, -BOUND, BOUND)))
     row_ok = F.lit(True)
     kept = F.col(mask)
-    for name, (low, high) in zip(names, parse_thresholds(names, thresholds), strict=True):
+    for name, bounds in zip(names, parse_thresholds(names, thresholds), strict=True):
         level, kind = name.rsplit("_", 1)
-        inside = lambda s, low=low, high=high, kind=kind: (s <= F.log(F.lit(high))) & (s >= F.log(F.lit(low))) if kind == "k1" else s <= high
         if level == "token":
-            kept = F.zip_with(kept, F.col("_lr"), lambda m, x, kind=kind, inside=inside: F.when(inside(_statistic(x, kind)), m).otherwise(0))
+            kept = _token_kept(kept, kind, bounds)
             continue
-        per = F.transform("_lr", lambda x, kind=kind: _statistic(x, kind))
+        per = _statistics(kind)
         total, n = A.masked_sum(per, mask), A.array_sum(mask)
         value = {"seq_sum": total, "seq_mean": total / F.greatest(n, F.lit(1.0)), "seq_max": F.coalesce(F.array_max(A.masked(per, mask)), F.lit(0.0))}[level]
-        row_ok = row_ok & inside(value)
+        row_ok = row_ok & _inside(value, kind, bounds)
     final = F.transform(kept, lambda m: F.when(row_ok, m).otherwise(0))
     return made.withColumn(mask, final).select(*df.columns)
 

@@ -128,7 +128,8 @@ def padding(df: DataFrame, count: int, which: str = "last", rows: int | None = N
     if n == 0 or count <= 0:
         return df
     source = df.filter(F.col(ID) == (0 if which == "first" else n - 1))
-    return df.unionByName(source.withColumn(ID, F.explode(F.sequence(F.lit(n), F.lit(n + count - 1))).cast("long")).select(*df.columns))
+    more = source.withColumn("_k", F.explode(F.sequence(F.lit(n), F.lit(n + count - 1))))
+    return df.unionByName(more.withColumn(ID, F.col("_k").cast("long")).select(*df.columns))
 
 
 def pad_to_divisor(df: DataFrame, divisor: int, rows: int | None = None) -> tuple[DataFrame, int]:

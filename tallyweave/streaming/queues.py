@@ -76,9 +76,11 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, files_a_trigger: int = 8) -> DataFrame:
-    """A stream over a parquet table's files."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    """A stream over a parquet table: the files of a folder, or one file of its parent folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_trigger)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
 
 
 def latest(df: DataFrame, key: str) -> DataFrame:

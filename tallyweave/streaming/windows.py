@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _marked(df: DataFrame, ts: str, late: str) -> DataFrame:
-    return df.withWatermark(ts, late) if df.isStreaming else df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if df.isStreaming else df
 
 
 def tumbling(df: DataFrame, width: str, *aggregates: Column, keys: tuple[str, ...] = (), ts: str = "ts", late: str = "10 minutes") -> DataFrame:
