@@ -77,13 +77,17 @@ def prompts(spark: SparkSession, files: str | Sequence[str], order: Sequence[str
     return short_prompts(df, o.max_prompt_length, text)
 
 
+def _count_of(a: Column, value: str) -> Column:
+    return F.size(F.filter(a, lambda x: x == value))
+
+
 def message_parts(content: Column, images: Column | None = None, videos: Column | None = None) -> Column:
     """array<struct<type, text>> of a message with <image> and <video> marks; counts must match the attached media."""
     pieces = F.filter(F.split(content, "(?=<image>)|(?<=<image>)|(?=<video>)|(?<=<video>)"), lambda p: p != "")
     made = F.transform(pieces, lambda p: F.when(p == "<image>", F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))).when(p == "<video>", F.struct(F.lit("video").alias("type"), F.lit(None).cast("string").alias("text"))).otherwise(F.struct(F.lit("text").alias("type"), p.alias("text"))))
     for mark, media in (("<image>", images), ("<video>", videos)):
         if media is not None:
-            n = F.size(F.filter(pieces, lambda p, mark=mark: p == mark))
+            n = _count_of(pieces, mark)
             made = F.when(n == F.coalesce(F.size(media), F.lit(0)), made).otherwise(F.raise_error(F.lit(f"{mark} marks don't match the attached media")).cast("array<struct<type:string,text:string>>"))
     return made
 
