@@ -144,7 +144,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
     bitmaps = keep_bitmaps(docs, least).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("keep", "_line_keep")
-    return docs.join(bitmaps, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == bitmaps["_line_doc"], "left").drop("_line_doc")
+    return docs.join(bitmaps.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == bitmaps["_line_doc"], "left").drop("_line_doc")
 
 
 def drop_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
