@@ -332,4 +332,4 @@ def near_copies(docs: DataFrame, *, bits: int = 22, parts: int = 4, tables: int
 def keep_one(docs: DataFrame, *, bits: int = 22) -> DataFrame:
     """The documents of each group's smallest doc_id, with their columns; documents without a doc_id stay."""
     stays = materialize(near_copies(docs, bits=bits).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

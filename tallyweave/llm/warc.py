@@ -44,7 +44,7 @@ def payload_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, payload, digest hex, page: the response's page_id, revisit: boolean)."""
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     first = src.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("page"))
-    joined = src.join(first, "digest", "left")
+    joined = src.join(first.hint("merge"), "digest", "left")
     return joined.withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("page")) & F.col("page").isNotNull(), F.lit(False)))
 
 
