@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.bpe import slices
 from tallyweave.llm.common import importable, materialize
 from tallyweave.llm.components import component_labels
+from tallyweave.llm.minhash import shingles
 
 PIVOTS = 16
 #: Rows of one combination above which its rows are dealt again.
@@ -158,27 +159,23 @@ def close_pairs(fps: np.ndarray, bits: int, pivots: np.ndarray) -> Iterator[tupl
             yield order[a], order[a + step]
 
 
-def spanning_links(fps: np.ndarray, bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """(position, smaller-positioned root) links that connect whatever chains of close pairs connect."""
-    root = list(range(len(fps)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def spanning_links(fps: np.ndarray, bits: int, pivots: np.ndarray, step: int | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the close pairs; with `step`, of one of least distances, rounded up to steps."""
+    label = np.arange(len(fps))
     out = []
-    for left, right in close_pairs(fps, bits, pivots):
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((a, b))
+    for level in range(step or bits, bits + 1, step or bits):
+        for left, right in close_pairs(fps, level, pivots):
+            open_ = label[left] != label[right]
+            for a, b in zip(left[open_].tolist(), right[open_].tolist(), strict=True):
+                if label[a] != label[b]:
+                    label[label == max(label[a], label[b])] = min(label[a], label[b])
+                    out.append((a, b))
+        if not label.any():
+            break
     return out
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], bits: int, step: int | None) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between names within each run of rows of equal (mask, under).
 
     Rows come in that order, as (mask, under, name, fingerprint words...).
@@ -195,7 +192,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         a, b = [block[2, near]], [block[2, near + 1]]
         for i in np.flatnonzero(ends - starts > 2).tolist():
             names = block[2, starts[i] : ends[i]]
-            found = np.array(spanning_links(fps[starts[i] : ends[i]], bits, pivots), np.int64).reshape(-1, 2)
+            found = np.array(spanning_links(fps[starts[i] : ends[i]], bits, pivots, step), np.int64).reshape(-1, 2)
             a.append(names[found[:, 0]])
             b.append(names[found[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -215,10 +212,10 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         yield links(rest)
 
 
-def _linked(rows: DataFrame, bits: int) -> DataFrame:
+def _linked(rows: DataFrame, bits: int, step: int | None = None) -> DataFrame:
     """(a, b): links within the blocks of (mask, under, name, fingerprint words...) rows."""
     dealt = rows.repartition("mask", "under").sortWithinPartitions("mask", "under", "name")
-    return dealt.mapInArrow(lambda batches: _block_links(batches, bits), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _block_links(batches, bits, step), "a long, b long")
 
 
 def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:
@@ -254,8 +251,9 @@ def _remix(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def wide_prints(docs: DataFrame, *, parts: int = 4) -> DataFrame:
-    """(doc_id, prints array<long>): `parts` 64-bit SimHashes of the distinct longer words of every text.
+    """(doc_id, key, prints array<long>): `parts` 64-bit SimHashes of the distinct longer words of every text.
 
+    key is a hash of the whole text.
     Words are lowered and stripped of edge punctuation; those of up to three characters, which
     all texts of a language share, don't count unless there are no others.
     """
@@ -265,7 +263,7 @@ def wide_prints(docs: DataFrame, *, parts: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()], 1_000_000):
+            for part in slices(batch.column(2).to_pylist(), 1_000_000):
                 hashes = []
                 for t in part:
                     words = {w.strip(edge) for w in t.encode().lower().split()}
@@ -274,11 +272,12 @@ def wide_prints(docs: DataFrame, *, parts: int = 4) -> DataFrame:
                 flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(ends[-1]))
                 made = [majority(_remix(flat, k), ends).view(np.int64) for k in range(parts)]
                 rows = pa.array(np.stack(made, axis=1).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), rows], names=["doc_id", "prints"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(done, len(part)) for k in (0, 1)], rows], names=["doc_id", "key", "prints"])
                 done += len(part)
 
-    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, prints array<long>")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    src = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, prints array<long>")
 
 
 def bit_masks(count: int, bits: int, words: int, seed: int, base: list[int] | None = None) -> list[list[int]]:
@@ -301,35 +300,62 @@ def _masked(df: DataFrame, masks: list[list[int]], first: int) -> DataFrame:
     return df.select("name", *prints, F.explode(F.array(*keys)).alias("k")).select("k.mask", "k.under", "name", *prints)
 
 
-def near_copies(docs: DataFrame, *, bits: int = 22, parts: int = 4, tables: int = 20) -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints that differ in `bits` of parts * 64 bits or fewer.
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(name, shingles array<long>): sorted hashes of the different shingles of `width` lowered words."""
 
-    At this width one changed word in 45, a likeness of 0.8 of five-word shingles, moves 17
-    bits on average. Candidates agree in one of `tables` random sets of bits; a set has three
-    bits more than the number of texts, so chance meetings stay in proportion to the input. A
-    set's block of over HOT rows is dealt again by further bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(1).to_pylist(), 1_000_000):
+                hashes, made = shingles([t.encode().lower() for t in part], width)
+                sets = [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(made)[:-1])]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), lists], names=["name", "shingles"])
+                done += len(part)
+
+    return docs.mapInArrow(run, "name long, shingles array<long>")
+
+
+def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bits: int = 32, parts: int = 4, tables: int = 20) -> DataFrame:
+    """(doc_id, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
+
+    Candidates are texts whose wide fingerprints differ in `bits` of parts * 64 bits or fewer; at
+    this width one changed word in 45, a likeness of 0.8, moves 17 bits on average. They meet
+    where they agree in one of `tables` random sets of bits; a set has three bits more than the
+    number of texts, so chance meetings stay in proportion to the input. A set's block of over HOT
+    rows is dealt again by further bits. A block's candidates are the links of a spanning forest of
+    least distances, and each link is verified on the shingles themselves. Texts without words are
+    equal to each other.
     """
     spark = docs.sparkSession
     importable(spark)
     prints = materialize(wide_prints(docs, parts=parts), "wide-prints")
     names = [f"p{w}" for w in range(parts)]
-    distinct = prints.filter("doc_id is not null").groupBy("prints").agg(F.min(F.col("doc_id").cast("long")).alias("name"))
-    distinct = materialize(distinct.select("name", *[F.col("prints")[w].alias(f"p{w}") for w in range(parts)]), "wide-names")
+    distinct = prints.filter("doc_id is not null").groupBy("key", "prints").agg(F.min(F.col("doc_id").cast("long")).alias("name"))
+    distinct = materialize(distinct.select("name", "key", *[F.col("prints")[w].alias(f"p{w}") for w in range(parts)]), "wide-names")
     size = max(16, min(30, distinct.count().bit_length() + 3))
     masks = bit_masks(tables, size, parts, 11)
     keyed = _masked(distinct, masks, 0)
     sizes = materialize(keyed.groupBy("mask", "under").count().filter("count > 1"), "wide-blocks")
-    links = _linked(keyed.join(sizes.filter(F.col("count") <= HOT).select("mask", "under"), ["mask", "under"], "left_semi"), bits)
+    links = _linked(keyed.join(sizes.filter(F.col("count") <= HOT).select("mask", "under"), ["mask", "under"], "left_semi"), bits, 4)
     hot = sizes.filter(F.col("count") > HOT).select("mask", "under")
     for t in sorted(r["mask"] for r in hot.select("mask").distinct().collect()):  # at most `tables`
         rows = _masked(distinct, [masks[t]], t).join(hot.filter(F.col("mask") == t), ["mask", "under"], "left_semi").select("name", *names)
-        links = links.unionByName(_linked(_masked(rows, bit_masks(8, 12, parts, 100 + t, masks[t]), 1000 * (t + 1)), bits))
-    labels = component_labels(materialize(links.distinct(), "wide-links").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    of = distinct.join(labels, distinct["name"] == labels["node"], "left").select(F.array(*names).alias("prints"), F.coalesce("label", "name").alias("component_id"))
-    return prints.join(of, "prints", "left").select("doc_id", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, *, bits: int = 22) -> DataFrame:
+        links = links.unionByName(_linked(_masked(rows, bit_masks(8, 12, parts, 100 + t, masks[t]), 1000 * (t + 1)), bits, 4))
+    pairs = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(asked.hint("merge"), "name", "left_semi")
+    sets = materialize(shingle_sets(texts, width), "wide-shingles")
+    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.withColumn("_n", common).filter(F.col("_n") >= threshold * (F.size("x") + F.size("y") - F.col("_n")))
+    labels = component_labels(materialize(alike.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "wide-alike"))
+    of = distinct.join(labels, distinct["name"] == labels["node"], "left").select("key", F.coalesce("label", "name").alias("component_id"))
+    return prints.join(of, "key", "left").select("doc_id", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """The documents of each group's smallest doc_id, with their columns; documents without a doc_id stay."""
-    stays = materialize(near_copies(docs, bits=bits).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    stays = materialize(near_copies(docs, threshold=threshold).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
     return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
