@@ -140,3 +140,18 @@ def last_place(value: ColumnLike, like: ColumnLike) -> Column:
     """Zeros as long as `like`, the value in the last place; an empty array has no place for it."""
     n = F.size(col(like))
     return F.transform(col(like), lambda _, i: F.when(i == n - 1, col(value).cast("double")).otherwise(0.0))
+
+
+def response_part(a: ColumnLike, prompt_length: Column, response_length: Column) -> Column:
+    """Of model outputs over prompt and response, those that predict the response: shifted left by one."""
+    return F.slice(col(a), F.greatest(prompt_length, F.lit(1)), response_length)
+
+
+def tempered(logits: ColumnLike, temperature: float) -> Column:
+    """Logits over the temperature."""
+    return F.transform(col(logits), lambda x: x.cast("double") / temperature)
+
+
+def picked(values: ColumnLike, index: ColumnLike) -> Column:
+    """The element at a 0-based index; null beyond the array."""
+    return F.get(col(values), col(index).cast("int"))

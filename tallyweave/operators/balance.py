@@ -139,3 +139,13 @@ def imbalance(df: DataFrame, parts: int, *, length: str = "seqlen", part: str =
     before = made.groupBy("_c").agg(F.sum(length).alias("s")).agg(F.min("s").alias("before_min"), F.max("s").alias("before_max"), F.avg("s").alias("before_mean"))
     after = made.groupBy(part).agg(F.sum(length).alias("s")).agg(F.min("s").alias("after_min"), F.max("s").alias("after_max"), F.avg("s").alias("after_mean"))
     return before.crossJoin(after)  # one row each
+
+
+def assign_micro(df: DataFrame, max_tokens: int, *, length: str = "seqlen", divided_by: int = 1, at_least: int = 1) -> DataFrame:
+    """Add `micro` and `place`: token-budget micro-batches of one batch, keyed by row_id; ordering by row_id restores it."""
+    rows = df.select("row_id", length).orderBy("row_id").limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"a batch has at most {MAX_ROWS} rows")
+    made = micro_batches([r[length] for r in rows], max_tokens, divided_by=divided_by, at_least=at_least)
+    placed = [(rows[i]["row_id"], m, k) for m, members in enumerate(made) for k, i in enumerate(members)]
+    return df.join(df.sparkSession.createDataFrame(placed, "row_id long, micro int, place int"), "row_id")
