@@ -1,18 +1,18 @@
-"""Helpers shared by the training-data operators: table reads, shared scratch tables, worker imports."""
+"""Helpers shared by the training-data operators: table reads, scratch tables, worker imports."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.scratch import fresh_path as scratch_path
+from tallyweave.scratch import materialize
+
+__all__ = ["importable", "materialize", "partitions", "scratch_path", "table"]
+
 _ROOT = str(Path(__file__).resolve().parents[2])
-_OWN_DIR: str | None = None
-_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,56 +28,5 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    global _OWN_DIR
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _OWN_DIR is None:
-        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        atexit.register(_remove_own)
-    return _OWN_DIR
-
-
-def _remove_own() -> None:
-    import shutil
-
-    shutil.rmtree(_OWN_DIR.removeprefix("file://"), ignore_errors=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tallyweave/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_remove_written)
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before the driver
-            return
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
