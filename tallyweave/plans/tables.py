@@ -6,11 +6,14 @@ supplier, price), its customer is the prompt group and the market segment the da
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.session import importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,7 +22,12 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Register a query, with the SQL that gives the same rows where SQL can."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return f

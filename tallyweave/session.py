@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_ROOT = str(Path(__file__).resolve().parents[1])
+
 #: Adaptive plans re-size shuffles and split skewed joins; Arrow carries what leaves the JVM.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -18,3 +23,11 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for key, value in (SETTINGS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder the driver imported it from."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
