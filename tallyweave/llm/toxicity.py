@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.bpe import slices
 from tallyweave.llm.common import importable
 
-SAMPLE = 3000
-SAMPLE_CHARS = 24_000_000
+SAMPLE = 2000
+SAMPLE_CHARS = 12_000_000
 LANDMARKS = 192
 DECAY = 0.6
 SPAN = 7
@@ -214,7 +214,7 @@ class Machine:
         return 1 / (1 + np.exp(-(a + b * x[:, 0] + c * x[:, 1])))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps on the rows inside the margin."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
@@ -251,9 +251,14 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
     if not len(y) or y.min() == y.max():
         return Machine(prior=share)
     bad, good = Counter(), Counter()
-    sentences = [[set(words_of(s)) for s in _SENTENCE.split(t)] for t in texts]
-    for label, parts in zip(labels, sentences, strict=True):
-        (bad if label else good).update(set().union(*parts))
+    one: dict[str, str] = {}  # a word is kept once, whatever sentences it stands in
+    sentences: list[list[tuple[str, ...]]] = []  # of toxic texts only
+    for label, text in zip(labels, texts, strict=True):
+        if label:
+            sentences.append([tuple(one.setdefault(w, w) for w in set(words_of(s))) for s in _SENTENCE.split(text)])
+            bad.update({w for s in sentences[-1] for w in s})
+        else:
+            good.update({one.setdefault(w, w) for s in _SENTENCE.split(text) for w in words_of(s)})
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     odds = {w: np.log((k + 0.1) / n1) - np.log((good[w] + 0.5) / n0) for w, k in bad.items() if len(w) > 2}
     worst = sorted((w for w in odds if odds[w] > 1.5 and _evidence(bad[w], n1, good[w], n0) > EVIDENCE), key=lambda w: (-odds[w] * min(bad[w], 30), w))[: 4 * landmarks]
@@ -284,31 +289,36 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
         if turn:
             value = dict(zip(odds, table_values(list(odds), table) + bias, strict=True))
             found = Counter()
-            for label, parts in zip(labels, sentences, strict=True):
-                if label:  # the worst word of each sentence where the machine finds one, or else of the document
-                    tops = [max((value.get(w, -9), w) for w in p) for p in parts if p]
-                    found.update([w for v, w in tops if v > 0] or ([max(tops)[1]] if tops else []))
-            witness = [w for w, k in found.most_common(4000) if w in suspect or (odds.get(w, -9) > 1.5 and (k > 2 or value[w] > 0.5))] or witness
+            for parts in sentences:  # the worst word of each sentence where the machine finds one, or else of the document
+                tops = [max((value.get(w, -9), w) for w in p) for p in parts if p]
+                found.update([w for v, w in tops if v > 0] or ([max(tops)[1]] if tops else []))
+            more = [w for w, k in found.most_common(4000) if odds.get(w, -9) > 1.5 and (k > 2 or value[w] > 0.5)]
+            witness = list(dict.fromkeys([*worst, *more]))
             own = set(witness)
             rest = [w for w in clean if w not in own]
             hard = np.argsort(-table_values(rest, table), kind="stable")[:2000]
             negative = list(dict.fromkeys([*negative, *[rest[i] for i in hard.tolist()]]))
-        masked = [v for w in witness if w in suspect and len(w) > 4 for v in disguised(w, rng)]
+        hidden = [(v, 0.1 * bad[w]) for w in witness if w in suspect and len(w) > 4 for v in disguised(w, rng)]
+        masked = [v for v, _ in hidden]
         own = set(witness) | set(masked)
         words = [*witness, *masked, *[w for w in negative if w not in own]]
         new = [w for w in dict.fromkeys(words) if w not in known]
         known.update(zip(new, features(new), strict=True))
         x, plus = np.array([known[w] for w in words]), len(witness) + len(masked)
         sign = np.where(np.arange(len(words)) < plus, 1.0, -1.0)
-        weight = np.array([min(bad[w], 50) ** 0.5 for w in witness] + [0.5] * len(masked) + [1.0] * (len(words) - plus))
+        weight = np.array([float(bad[w]) for w in witness] + [k for _, k in hidden] + [1.0] * (len(words) - plus))
         weight[:plus] *= max(1.0, 0.5 * weight[plus:].sum()) / weight[:plus].sum()
         w, bias = _svm(x, sign, weight)
         table = np.zeros(64**3, np.float32)
         table[seen] = project @ w
+    del sentences, one, good, bad, odds, clean, known, project
     made = Machine(table=table, bias=bias, prior=share)
     adjust = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    made.slope = _logistic(made.features(texts), y, adjust)
-    made.cache.clear()
+    seen_features = []
+    for part in slices(texts, 2_000_000):
+        seen_features.append(made.features(part))
+        made.cache.clear()
+    made.slope = _logistic(np.vstack(seen_features), y, adjust)
     return made
 
 
