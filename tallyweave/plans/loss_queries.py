@@ -196,8 +196,8 @@ def is_weights_normalized(spark, sf_dir):
 #: Option, threshold and the SQL of what it keeps.
 _STAT = {"k1": "-lrc", "k2": "0.5 * lrc * lrc", "k3": "exp(lrc) - 1 - lrc"}
 REJECT = {
-    "token_k1": "0.9_1.1", "token_k2": "0.005", "token_k3": "0.005", "seq_sum_k1": "0.8_1.25", "seq_sum_k2": "0.02", "seq_sum_k3": "0.02",
-    "seq_mean_k1": "0.95_1.05", "seq_mean_k2": "0.005", "seq_mean_k3": "0.005", "seq_max_k2": "0.01", "seq_max_k3": "0.01",
+    "token_k1": "0.9_1.1", "token_k2": "0.00507", "token_k3": "0.00507", "seq_sum_k1": "0.8_1.25", "seq_sum_k2": "0.02013", "seq_sum_k3": "0.02013",
+    "seq_mean_k1": "0.95_1.05", "seq_mean_k2": "0.00507", "seq_mean_k3": "0.00507", "seq_max_k2": "0.01013", "seq_max_k3": "0.01013",
 }
 
 
@@ -229,10 +229,10 @@ def is_metrics(spark, sf_dir):
     return _rounded(O.weight_metrics(rollouts(spark, sf_dir), "token", 1.1))
 
 
-@query("rs_metrics", f"""WITH {OFF}, s AS (SELECT sum((0.5 * lrc * lrc) * m) AS s FROM x GROUP BY row_id HAVING sum(m) > 0), c AS (SELECT s, least(s, 0.02::DOUBLE) AS c FROM s)
-SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max, round(min(s), 6) AS min, round(sqrt(greatest(avg(c * c) - avg(c) ** 2, 0)), 6) AS std, round(avg((s > 0.02::DOUBLE)::INT), 6) AS fraction_high, 0.0::DOUBLE AS fraction_low FROM c""")
+@query("rs_metrics", f"""WITH {OFF}, s AS (SELECT sum((0.5 * lrc * lrc) * m) AS s FROM x GROUP BY row_id HAVING sum(m) > 0), c AS (SELECT s, least(s, 0.02013::DOUBLE) AS c FROM s)
+SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max, round(min(s), 6) AS min, round(sqrt(greatest(avg(c * c) - avg(c) ** 2, 0)), 6) AS std, round(avg((s > 0.02013::DOUBLE)::INT), 6) AS fraction_high, 0.0::DOUBLE AS fraction_low FROM c""")
 def rs_metrics(spark, sf_dir):
-    return _rounded(O.rejection_metrics(rollouts(spark, sf_dir), "seq_sum_k2", 0.02))
+    return _rounded(O.rejection_metrics(rollouts(spark, sf_dir), "seq_sum_k2", 0.02013))
 
 
 @query("offpolicy_metrics", f"""WITH {OFF}, p AS (SELECT row_id, sum(olp * m) / sum(m) AS o, sum(rlp * m) / sum(m) AS r, exp(greatest(-20, least(20, sum(lr * m)))) AS w FROM x GROUP BY row_id HAVING sum(m) > 0),

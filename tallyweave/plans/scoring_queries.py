@@ -40,10 +40,10 @@ def eval_rollup_bootstrap(spark, sf_dir):
 
 
 @query("eval_expected_best", f"""WITH {GRP}, o AS (SELECT uid, round(s, 9) AS s, row_number() OVER (PARTITION BY uid ORDER BY s) AS i, count(*) OVER (PARTITION BY uid) AS n FROM s)
-SELECT uid, round(sum(s * (power(i / n, 4) - power((i - 1) / n, 4))), 6) AS best4 FROM o GROUP BY uid""")
+SELECT uid, round(sum(s * (power(i / n, 4) - power((i - 1) / n, 4))) + 1e-9, 6) AS best4 FROM o GROUP BY uid""")
 def eval_expected_best(spark, sf_dir):
     got = _scores(spark, sf_dir).groupBy("uid").agg(F.collect_list("score").alias("s"))
-    return got.select("uid", r6(E.expected_extreme(F.col("s"), 4), "best4"))
+    return got.select("uid", r6(E.expected_extreme(F.col("s"), 4) + 1e-9, "best4"))
 
 
 @query("eval_majority", f"""WITH {GRP}, v AS (SELECT uid, pred, count(*) AS n, min(row_id) AS f, arg_min(round(s, 9), row_id) AS v FROM s GROUP BY uid, pred), k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, f) AS k FROM v)
