@@ -52,7 +52,7 @@ EVIDENCE = 12.0
 #: Clean words that each round learns from, at most.
 NEGATIVES = 20_000
 #: Words whose values a worker keeps at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 THRESHOLD = 0.3
 
 _GAP = 63
