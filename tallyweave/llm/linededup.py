@@ -30,6 +30,8 @@ from tallyweave.llm.common import importable, materialize, partitions
 #: Characters that are stripped from both ends of a line.
 WHITE = " \t\n\v\f\r"
 LEAST = 10
+#: Bytes of bitmaps, with their keys, up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
 
@@ -143,8 +145,14 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
+    """docs with `_line_keep`, null for documents that lose nothing.
+
+    The bitmaps' size is summed up first: up to BROADCAST_BYTES they are sent to the documents,
+    beyond it both sides are shuffled and merged.
+    """
     bitmaps = keep_bitmaps(docs, least).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("keep", "_line_keep")
-    return docs.join(bitmaps.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == bitmaps["_line_doc"], "left").drop("_line_doc")
+    size = bitmaps.agg(F.sum(F.length("_line_keep") + 64).alias("bytes")).first()["bytes"] or 0
+    return docs.join(bitmaps.hint("broadcast" if size <= BROADCAST_BYTES else "merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == bitmaps["_line_doc"], "left").drop("_line_doc")
 
 
 def drop_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:

@@ -111,6 +111,12 @@ def test_line_dedup(spark, sf, odd, none):
     assert linededup.line_digests(none).count() == 0
 
 
+def test_line_dedup_without_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    got = [tuple(r) for r in linededup.line_digests(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
+    assert sorted(got, key=str) == sorted(brute_lines(docs(spark, sf)), key=str)
+
+
 def test_line_dedup_key_over_many_partitions(spark):
     rows = [(i, f"the very same line everywhere\nown line of document {i}") for i in range(400, 0, -1)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
