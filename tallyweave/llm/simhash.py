@@ -104,12 +104,6 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _pieces(low: int, high: int, parts: int) -> list[tuple[int, int]]:
-    """Bits low..high cut into (shift, mask) of near equal widths."""
-    edges = [low + (high - low) * k // parts for k in range(parts + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
