@@ -20,6 +20,7 @@ Repeated rows get equal results. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,6 +38,10 @@ from tallyweave.llm.minhash import shingles
 PIVOTS = 16
 #: Rows of one combination above which its rows are dealt again.
 HOT = 4096
+#: Words of the sketch that bounds how much two shingle sets differ.
+SKETCH = 8
+#: Members of a block from which each round of comparisons with the others starts.
+ROUNDS = (0, 1, 64, 4096)
 _M = (1 << 64) - 1
 
 
@@ -244,54 +249,45 @@ def _remix(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_prints(docs: DataFrame, *, parts: int = 4) -> DataFrame:
-    """(doc_id, key, prints array<long>): `parts` 64-bit SimHashes of the distinct longer words of every text.
+def set_prints(docs: DataFrame, *, threshold: float, width: int) -> DataFrame:
+    """(doc_id, digest, n, sketch array<long>, prefix array<long>) of every text's set of n different shingles.
 
-    key is a hash of the whole text.
-    Words are lowered and stripped of edge punctuation; those of up to three characters, which
-    all texts of a language share, don't count unless there are no others.
+    prefix is the n - ceil(threshold * n) + 1 least hashes: two sets alike by the threshold share
+    one of them. A bit of sketch is the parity of the hashes that fall on it, so two sketches differ
+    in no more bits than the sets in hashes. digest is a hash of the whole set.
     """
     importable(docs.sparkSession)
-    edge = b".,;:!?\"'()[]{}<>|*#$%&+-_/\\~`^=@"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices(batch.column(2).to_pylist(), 1_000_000):
-                hashes = []
-                for t in part:
-                    words = {w.strip(edge) for w in t.encode().lower().split()}
-                    hashes.append([xxhash.xxh64_intdigest(w, 42) for w in sorted([w for w in words if len(w) > 3] or words)])
-                ends = np.cumsum([len(h) for h in hashes])
-                flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(ends[-1]))
-                made = [majority(_remix(flat, k), ends).view(np.int64) for k in range(parts)]
-                rows = pa.array(np.stack(made, axis=1).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(done, len(part)) for k in (0, 1)], rows], names=["doc_id", "key", "prints"])
+            for part in slices(batch.column(1).to_pylist(), 1_000_000):
+                sets = _sets(part, width)
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                mixed = _remix(np.concatenate(sets).view(np.uint64), 1)
+                sketch = np.zeros(len(sets) * SKETCH, np.uint64)
+                at = np.repeat(np.arange(len(sets)) * SKETCH, n) + (mixed >> np.uint64(6)).astype(np.int64) % SKETCH
+                np.bitwise_xor.at(sketch, at, np.uint64(1) << (mixed & np.uint64(63)))
+                digest = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64)
+                least = [x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(done, len(part)), pa.array(digest), pa.array(n), _lists(sketch.view(np.int64).reshape(-1, SKETCH)), _lists(least)],
+                    names=["doc_id", "digest", "n", "sketch", "prefix"],
+                )
                 done += len(part)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    src = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, prints array<long>")
+    src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest long, n long, sketch array<long>, prefix array<long>")
 
 
-def bit_masks(count: int, bits: int, words: int, seed: int, base: list[int] | None = None) -> list[list[int]]:
-    """`count` masks over words * 64 bits with `bits` bits set at random, on top of those of base."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        mask = list(base or [0] * words)
-        free = [b for b in range(64 * words) if not mask[b // 64] >> (b % 64) & 1]
-        for b in rng.choice(free, bits, replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        out.append(mask)
-    return out
+def _sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted hashes of the different shingles of `width` lowered words, for each text."""
+    hashes, made = shingles([t.encode().lower() for t in texts], width)
+    return [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(made)[:-1])]
 
 
-def _masked(df: DataFrame, masks: list[list[int]], first: int) -> DataFrame:
-    """A row for each mask, numbered from `first`: hash of the prints under it as `under`."""
-    keys = [F.struct(F.lit(first + i).cast("long").alias("mask"), F.xxhash64(*[F.col(f"p{w}").bitwiseAND(F.lit(_signed(x))) for w, x in enumerate(m)]).alias("under")) for i, m in enumerate(masks)]
-    prints = [f"p{w}" for w in range(len(masks[0]))]
-    return df.select("name", *prints, F.explode(F.array(*keys)).alias("k")).select("k.mask", "k.under", "name", *prints)
+def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -301,52 +297,134 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             done = 0
             for part in slices(batch.column(1).to_pylist(), 1_000_000):
-                hashes, made = shingles([t.encode().lower() for t in part], width)
-                sets = [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(made)[:-1])]
-                ends = np.cumsum([0, *map(len, sets)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), lists], names=["name", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), _lists(_sets(part, width))], names=["name", "shingles"])
                 done += len(part)
 
     return docs.mapInArrow(run, "name long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bits: int = 32, parts: int = 4, tables: int = 20) -> DataFrame:
-    """(doc_id, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Columns of longs, a row each, cut between runs of equal values of the first."""
+    rest: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = np.stack([c.to_numpy() for c in batch.columns])
+        other = np.flatnonzero(got[0] != got[0, -1])
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if rest and (whole or rest[-1][0, -1] != got[0, 0]):
+            yield np.concatenate([*rest, got[:, :whole]], axis=1)
+            rest = []
+        elif whole:
+            yield got[:, :whole]
+        rest.append(got[:, whole:].copy())
+    if rest:
+        yield np.concatenate(rest, axis=1)
+
+
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
-    Candidates are texts whose wide fingerprints differ in `bits` of parts * 64 bits or fewer; at
-    this width one changed word in 45, a likeness of 0.8, moves 17 bits on average. They meet
-    where they agree in one of `tables` random sets of bits; a set has three bits more than the
-    number of texts, so chance meetings stay in proportion to the input. A set's block of over HOT
-    rows is dealt again by further bits. A block's candidates are the links of a spanning forest of
-    least distances, and each link is verified on the shingles themselves. Texts without words are
-    equal to each other.
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, name) of the shingles that several names have; shingles of the same names make one block.
+
+    Rows come ordered, as (shingle, name). Blocks whose hashes should be equal only make a larger block.
     """
-    spark = docs.sparkSession
-    importable(spark)
-    prints = materialize(wide_prints(docs, parts=parts), "wide-prints")
-    names = [f"p{w}" for w in range(parts)]
-    distinct = prints.filter("doc_id is not null").groupBy("key", "prints").agg(F.min(F.col("doc_id").cast("long")).alias("name"))
-    distinct = materialize(distinct.select("name", "key", *[F.col("prints")[w].alias(f"p{w}") for w in range(parts)]), "wide-names")
-    size = max(16, min(30, distinct.count().bit_length() + 3))
-    masks = bit_masks(tables, size, parts, 11)
-    keyed = _masked(distinct, masks, 0)
-    sizes = materialize(keyed.groupBy("mask", "under").count().filter("count > 1"), "wide-blocks")
-    links = _linked(keyed.join(sizes.filter(F.col("count") <= HOT).select("mask", "under"), ["mask", "under"], "left_semi"), bits, 4)
-    hot = sizes.filter(F.col("count") > HOT).select("mask", "under")
-    for t in sorted(r["mask"] for r in hot.select("mask").distinct().collect()):  # at most `tables`
-        rows = _masked(distinct, [masks[t]], t).join(hot.filter(F.col("mask") == t), ["mask", "under"], "left_semi").select("name", *names)
-        links = links.unionByName(_linked(_masked(rows, bit_masks(8, 12, parts, 100 + t, masks[t]), 1000 * (t + 1)), bits, 4))
-    pairs = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    for shingle, name in _runs(batches):
+        new = _first_of(shingle, name)
+        shingle, name = shingle[new], name[new]
+        starts = np.flatnonzero(_first_of(shingle))
+        sizes = np.diff(np.append(starts, len(name)))
+        several = np.repeat(sizes > 1, sizes)
+        block = np.repeat(np.add.reduceat(_remix(name.view(np.uint64), 3), starts).view(np.int64), sizes)[several]
+        name = name[several]
+        order = np.lexsort((name, block))
+        block, name = block[order], name[order]
+        new = _first_of(block, name)
+        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(name[new])], names=["block", "name"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a block with different labels that may be alike; a is one of its members `first` to `last`, b a later one.
+
+    Rows come ordered, as (block, name, label, n, sketch words...). Sets alike by the threshold have
+    sizes in that ratio at least and differ in (1 - t) / (1 + t) of their summed sizes at most.
+    """
+    share = (1 - threshold) / (1 + threshold)
+    for got in _runs(batches):
+        block, name, label, n = got[:4]
+        sketch = np.ascontiguousarray(got[4:].T).view(np.uint64)
+        starts = np.flatnonzero(_first_of(block))
+        sizes = np.diff(np.append(starts, len(block)))
+        start = np.repeat(starts, sizes)
+        rank = np.arange(len(block)) - start
+        later = np.arange(len(block))
+        for i in range(first, min(last, int(sizes.max()) - 1)):
+            later = later[rank[later] > i]
+            a, b = start[later] + i, later
+            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            may = np.flatnonzero((label[a] != label[b]) & (low >= threshold * high - 1e-9))
+            may = may[distances(sketch[a[may]], sketch[b[may]]) <= share * (low + high)[may] + 1e-9]
+            if len(may):
+                yield pa.RecordBatch.from_arrays([pa.array(name[a[may]]), pa.array(name[b[may]])], names=["a", "b"])
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(u, v): the pairs whose shingles are alike."""
     asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(asked.hint("merge"), "name", "left_semi")
-    sets = materialize(shingle_sets(texts, width), "wide-shingles")
+    sets = materialize(shingle_sets(texts, width), "near-shingles")
     both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.withColumn("_n", common).filter(F.col("_n") >= threshold * (F.size("x") + F.size("y") - F.col("_n")))
-    labels = component_labels(materialize(alike.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "wide-alike"))
-    of = distinct.join(labels, distinct["name"] == labels["node"], "left").select("key", F.coalesce("label", "name").alias("component_id"))
-    return prints.join(of, "key", "left").select("doc_id", F.coalesce("component_id", F.col("doc_id").cast("long")).alias("component_id"))
+    return materialize(alike.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-alike")
+
+
+def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
+
+    No pair is lost, whatever the size of the input. Texts of equal shingle sets collapse first. Two
+    sets alike by the threshold share one of their least hashes (see set_prints), so texts meet in
+    the blocks of those. Within a block a pair is discarded by its sizes or by its sketches, both of which
+    bound the likeness, and else verified on the shingles themselves. Only verified links unite. A block's
+    first member is compared with all others, then, round by round, further members with those that verified
+    links have not united with them, until each block is one component or all of it was compared; so
+    a large group takes no more pairs than it has rows in its blocks. Texts without words are equal to each other.
+    """
+    spark = docs.sparkSession
+    importable(spark)
+    prints = materialize(set_prints(docs, threshold=threshold, width=width), "set-prints")
+    named = materialize(prints.filter("doc_id is not null").groupBy("digest", "n").agg(F.min(F.col("doc_id").cast("long")).alias("name")), "set-names")
+    own = prints.withColumn("name", F.col("doc_id").cast("long")).join(named.hint("merge"), ["digest", "n", "name"], "left_semi")
+    own = materialize(own.select("name", "n", "sketch", "prefix"), "set-own")
+    dealt = own.select(F.explode("prefix").alias("shingle"), "name").repartition("shingle").sortWithinPartitions("shingle", "name")
+    blocks = materialize(dealt.mapInArrow(_shared, "block long, name long").distinct(), "near-blocks")
+    words = [F.col("sketch")[w].alias(f"s{w}") for w in range(SKETCH)]
+    rows = materialize(blocks.join(own.select("name", "n", *words).hint("merge"), "name").select("block", "name", "n", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
+    links, labels = None, None
+    for first, last in zip(ROUNDS, [*ROUNDS[1:], 1 << 62], strict=True):
+        if labels is None:
+            rows = rows.withColumn("label", F.col("name"))
+        else:
+            rows = rows.drop("label").join(labels.hint("merge"), rows["name"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "name"))
+            left = rows.groupBy("block").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter((F.col("k") > first + 1) & (F.col("x") != F.col("y")))
+            rows = materialize(rows.join(left.select("block").hint("merge"), "block", "left_semi"), "near-rows")
+            if rows.isEmpty():
+                break
+        dealt = rows.select("block", "name", "label", "n", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
+        pairs = dealt.mapInArrow(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold), "a long, b long")
+        pairs = materialize(pairs.distinct(), "near-pairs")
+        if labels is not None and pairs.isEmpty():
+            continue
+        alike = _alike(docs, pairs, threshold, width)
+        links = alike if links is None else links.unionByName(alike)
+        labels = materialize(component_labels(links), "near-labels")
+    of = named.join(labels, named["name"] == labels["node"], "left").select("digest", "n", F.coalesce("label", "name").alias("component_id"))
+    return prints.select("doc_id", "digest", "n").join(of, ["digest", "n"], "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:

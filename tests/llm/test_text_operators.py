@@ -217,6 +217,38 @@ def test_near_copies_of_a_large_group(spark, monkeypatch, hot):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(100, 160)]
 
 
+def brute_copies(rows, threshold=0.8):
+    """The smallest doc_id of each text's component by five-word Jaccard."""
+    sets = []
+    for _, text in rows:
+        w = text.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = components(len(rows), lambda a, b: len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]))
+    return {i: rows[r][0] for (i, _), r in zip(rows, root, strict=True)}
+
+
+def near_copies(spark, rows):
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_near_copies_with_contiguous_changes(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for n in (12, 40, 200, 500, 1500):
+        for _ in range(4):
+            base, cut = [word() for _ in range(n)], int(rng.uniform(0.06, 0.25) * n)
+            at = rng.randrange(n - cut)
+            changed = [word() for _ in range(cut)]
+            spread = [word() if rng.random() < 0.02 else w for w in base]
+            texts += [base, base + changed, base[:-cut], base[:at] + changed[: cut // 2] + base[at + cut // 2 :], base[:-3] + changed[:3], spread, sorted(base)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_copies(rows)
+    assert len(set(want.values())) < 0.6 * len(rows)
+    assert near_copies(spark, rows) == want
+
+
 def test_keep_one_odd_rows(odd, none):
     got = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
     assert None in got and got.count(1) == 1 and 2 not in got and (3 in got) and 4 not in got
