@@ -249,6 +249,18 @@ def test_near_copies_with_contiguous_changes(spark):
     assert near_copies(spark, rows) == want
 
 
+def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUNDS", (0, 1, 4, 16))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(300)]
+    rows = [(i, " ".join([word() for _ in range(22)] + base[22:] if i % 2 else base[:at] + [word() for _ in range(24)] + base[at + 24 :])) for i in range(40) for at in [6 * i]]
+    rows += [(99, " ".join(base))]
+    want = brute_copies(rows)
+    assert set(want.values()) == {0}
+    assert near_copies(spark, rows) == want
+
+
 def test_keep_one_odd_rows(odd, none):
     got = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
     assert None in got and got.count(1) == 1 and 2 not in got and (3 in got) and 4 not in got
