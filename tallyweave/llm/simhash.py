@@ -158,23 +158,20 @@ def close_pairs(fps: np.ndarray, bits: int, pivots: np.ndarray) -> Iterator[tupl
             yield order[a], order[a + step]
 
 
-def spanning_links(fps: np.ndarray, bits: int, pivots: np.ndarray, step: int | None = None) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the close pairs; with `step`, of one of least distances, rounded up to steps."""
+def spanning_links(fps: np.ndarray, bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the close pairs."""
     label = np.arange(len(fps))
     out = []
-    for level in range(step or bits, bits + 1, step or bits):
-        for left, right in close_pairs(fps, level, pivots):
-            open_ = label[left] != label[right]
-            for a, b in zip(left[open_].tolist(), right[open_].tolist(), strict=True):
-                if label[a] != label[b]:
-                    label[label == max(label[a], label[b])] = min(label[a], label[b])
-                    out.append((a, b))
-        if not label.any():
-            break
+    for left, right in close_pairs(fps, bits, pivots):
+        open_ = label[left] != label[right]
+        for a, b in zip(left[open_].tolist(), right[open_].tolist(), strict=True):
+            if label[a] != label[b]:
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+                out.append((a, b))
     return out
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], bits: int, step: int | None) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) between names within each run of rows of equal (mask, under).
 
     Rows come in that order, as (mask, under, name, fingerprint words...).
@@ -191,7 +188,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int, step: int | None)
         a, b = [block[2, near]], [block[2, near + 1]]
         for i in np.flatnonzero(ends - starts > 2).tolist():
             names = block[2, starts[i] : ends[i]]
-            found = np.array(spanning_links(fps[starts[i] : ends[i]], bits, pivots, step), np.int64).reshape(-1, 2)
+            found = np.array(spanning_links(fps[starts[i] : ends[i]], bits, pivots), np.int64).reshape(-1, 2)
             a.append(names[found[:, 0]])
             b.append(names[found[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -211,10 +208,10 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int, step: int | None)
         yield links(rest)
 
 
-def _linked(rows: DataFrame, bits: int, step: int | None = None) -> DataFrame:
+def _linked(rows: DataFrame, bits: int) -> DataFrame:
     """(a, b): links within the blocks of (mask, under, name, fingerprint words...) rows."""
     dealt = rows.repartition("mask", "under").sortWithinPartitions("mask", "under", "name")
-    return dealt.mapInArrow(lambda batches: _block_links(batches, bits, step), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _block_links(batches, bits), "a long, b long")
 
 
 def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:

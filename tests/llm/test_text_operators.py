@@ -249,6 +249,20 @@ def test_near_copies_with_contiguous_changes(spark):
     assert near_copies(spark, rows) == want
 
 
+def test_near_copies_verify_before_they_unite(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(200)]
+        copy = [word() if i in (50, 100, 150) else w for i, w in enumerate(base)]
+        mixed = [x for i, w in enumerate(base) for x in ([w, "of"] if i % 8 == 0 else [w])]
+        rows += [(3 * k + j, " ".join(t)) for j, t in enumerate(rng.sample([base, copy, mixed], 3))]
+    want = brute_copies(rows)
+    assert len(set(want.values())) == 24
+    assert near_copies(spark, rows) == want
+
+
 def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ROUNDS", (0, 1, 4, 16))
     rng = random.Random(6)
