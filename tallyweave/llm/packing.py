@@ -38,8 +38,6 @@ CACHE_WORDS = 300_000
 PLAIN = "\u0250"
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 _WHITE = regex.compile(r"\s").search
-#: Bins that the search looks at for each bin it tries to empty.
-PARTNERS = 64
 
 _PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
@@ -189,58 +187,101 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, partners: int = PARTNERS) -> list[list[int]]:
+def _gains(sizes: list[int], room: int, capacity: int) -> np.ndarray:
+    """For every document size, whether a bin with this room gets fuller by taking it for none, one or two of its own."""
+    out = np.zeros(capacity + 2, np.int32)
+    if room:
+        one, count = np.unique(np.array(sizes, np.int64), return_counts=True)
+        two = np.add.outer(one, one)
+        two = np.concatenate([two[np.triu_indices(len(one), 1)], 2 * one[count > 1]])
+        given = np.unique(np.concatenate([[0], one, two]))
+        np.add.at(out, given + 1, 1)
+        np.add.at(out, np.minimum(given + room, capacity) + 1, -1)
+    return np.cumsum(out)[: capacity + 1] > 0
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search between underfull bins; every exchange raises the sum of squared fills, so it ends.
 
     The emptiest bin gives: a document moves to a fuller bin that has room for it, or is
     exchanged for a smaller one, or for two that are together smaller, so that the fuller bin
-    gets fuller still. A bin that gave everything is gone.
+    gets fuller still. A bin that gave everything is gone. A table of the sizes each bin can take
+    finds the takers among all underfull bins; a bin that has none waits until a bin it could
+    give to changes. The search ends where nothing helps, or at the least number of bins the
+    summed lengths allow.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    low = 0
-    while low < len(under) - 1:
-        giver, changed = under[low], False
-        for taker in reversed(under[low + 1 :][-partners:]):
-            if not bins[giver]:
-                break
-            changed |= _exchange(bins, fill, lengths, giver, taker, capacity)
-        if not bins[giver] or not changed:
-            low += 1
-        else:
-            rest = [b for b in under[low:] if fill[b] < capacity]
-            rest.sort(key=lambda b: fill[b])
-            under, low = rest, 0
+    least = -(-sum(lengths) // capacity)
+    under = [b for b in range(len(bins)) if sum(lengths[i] for i in bins[b]) < capacity]
+    own = [bins[b] for b in under]
+    fill = np.array([sum(lengths[i] for i in b) for b in own], np.int64)
+    takes = np.zeros((capacity + 1, len(own)), bool)
+    # different sizes of a bin, filled up with 0, which no bin takes; as many as fit a bin
+    width = int((2 * capacity + 0.25) ** 0.5 + 0.5)
+    sizes = np.zeros((len(own), width), np.int64)
+    waits = np.zeros(len(own), bool)
+
+    def changed(b: int) -> None:
+        takes[:, b] = _gains([lengths[i] for i in own[b]], capacity - int(fill[b]), capacity)
+        have = sorted({lengths[i] for i in own[b]} - {0})
+        sizes[b] = 0
+        sizes[b, : len(have)] = have
+
+    for b in range(len(own)):
+        changed(b)
+    used = max((np.count_nonzero(x) for x in sizes), default=0)
+    many = len(bins)
+    while many > least:
+        order = np.where(waits | (fill == 0) | (fill == capacity), capacity + 1, fill)
+        giver = int(order.argmin())
+        if order[giver] > capacity:
+            break
+        mine = sizes[giver][sizes[giver] > 0]
+        able = takes[mine].any(axis=0) & (fill >= fill[giver])
+        able[giver] = False
+        taker = int(np.where(able, fill, -1).argmax())
+        if not able[taker] or not (gain := _exchange(own, lengths, giver, taker, capacity - int(fill[taker]))):
+            waits[giver] = True
+            continue
+        fill[giver] -= gain
+        fill[taker] += gain
+        many -= not own[giver]
+        for b in (giver, taker):
+            changed(b)
+            used = max(used, np.count_nonzero(sizes[b]))
+            waits[b] = False
+        for b in (giver, taker):
+            waits &= ~(takes[:, b][sizes[:, :used]].any(axis=1) & (fill <= fill[b]))
+    for b, items in zip(under, own, strict=True):
+        bins[b] = items
     return [b for b in bins if b]
 
 
-def _exchange(bins: list[list[int]], fill: list[int], lengths: list[int], giver: int, taker: int, capacity: int) -> bool:
-    """Make the taker as full as one move or exchange with the giver can; says whether it got fuller."""
-    room = capacity - fill[taker]
-    if room <= 0 or fill[taker] < fill[giver]:
-        return False
+def _exchange(bins: list[list[int]], lengths: list[int], giver: int, taker: int, room: int) -> int:
+    """Make the taker, which has `room`, as full as one move or exchange with the giver can; says by how much."""
     best, gain = None, 0
-    mine = sorted(bins[taker], key=lambda i: lengths[i])
+    mine: list[int] = []
+    for i in sorted(bins[taker], key=lambda i: lengths[i]):
+        if len(mine) < 2 or lengths[mine[-2]] != lengths[i]:  # two of a size are all that an exchange takes
+            mine.append(i)
     sizes = [lengths[i] for i in mine]
-    for x in bins[giver]:
-        n = lengths[x]
+    for n, x in {lengths[x]: x for x in bins[giver]}.items():
         if n <= room and n > gain:
             best, gain = ((x,), ()), n
         at = bisect_left(sizes, n - room)  # the smallest that makes room for x
         if at < len(sizes) and 0 < n - sizes[at] <= room and n - sizes[at] > gain:
             best, gain = ((x,), (mine[at],)), n - sizes[at]
-        for k in range(min(len(sizes), 12)):  # two for one
+        for k in range(len(sizes)):  # two for one
+            if 2 * sizes[k] >= n:
+                break
             at = bisect_left(sizes, n - room - sizes[k], k + 1)
             if at < len(sizes) and 0 < (d := n - sizes[k] - sizes[at]) <= room and d > gain:
                 best, gain = ((x,), (mine[k], mine[at])), d
     if best is None:
-        return False
+        return 0
     give, take = best
     bins[giver] = [i for i in bins[giver] if i not in give] + list(take)
     bins[taker] = [i for i in bins[taker] if i not in take] + list(give)
-    fill[giver] -= gain
-    fill[taker] += gain
-    return True
+    return gain
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

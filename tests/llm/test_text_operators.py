@@ -378,6 +378,24 @@ def test_local_search_empties_bins():
         assert all(sum(lengths[i] for i in b) <= 100 for b in better)
 
 
+def helps(giver, taker, capacity):
+    """Whether the fuller bin of sizes gets fuller by a document of the other, for none, one or two of its own."""
+    room = capacity - sum(taker)
+    given = {0, *taker, *(a + b for k, a in enumerate(taker) for b in taker[k + 1 :])}
+    return sum(taker) >= sum(giver) and any(0 < x - s <= room for x in set(giver) for s in given)
+
+
+def test_local_search_leaves_no_exchange():
+    for low, high, many, seed in ((400, 1400, 2500, 1), (30, 1000, 2500, 2)):
+        rng = random.Random(seed)
+        lengths = [rng.randint(low, high) for _ in range(many)]
+        bins = packing.improve(packing.best_fit(lengths, 2048), lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(many))
+        under = [[lengths[i] for i in b] for b in bins if sum(lengths[i] for i in b) < 2048]
+        done = len(bins) == -(-sum(lengths) // 2048)
+        assert done or not any(helps(a, b, 2048) for a in under for b in under if a is not b)
+
+
 def test_word_ids_equal_the_library():
     own = packing.WordIds(P.path("word_bpe_49k.json"))
     rng = random.Random(2)
