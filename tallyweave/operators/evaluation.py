@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,13 @@ def majority(pairs: list[tuple]) -> object:
     return max(counts.values(), key=lambda c: c[0])[1]
 
 
+@lru_cache(maxsize=64)
+def _picks(n: int, size: int, draws: int, seed: int) -> np.ndarray:
+    """Item numbers of each draw, a row each; the same for all prompts of n samples."""
+    state = np.random.RandomState(seed)
+    return np.stack([state.choice(n, size=size, replace=True) for _ in range(draws)])
+
+
 def _prompt_metrics(values: list[float], votes: list | None, draws: int, seed: int) -> list[tuple[str, float]]:
     n = len(values)
     out = [(f"mean@{n}", float(np.mean(values)))]
@@ -46,8 +54,7 @@ def _prompt_metrics(values: list[float], votes: list | None, draws: int, seed: i
         out.append((f"std@{n}", float(np.std(values))))
         array = np.asarray(values)
         for k in subset_sizes(n):
-            state = np.random.RandomState(seed)
-            picks = np.stack([state.choice(n, size=k, replace=True) for _ in range(draws)])
+            picks = _picks(n, k, draws, seed)
             for name, got in (("best", array[picks].max(axis=1)), ("worst", array[picks].min(axis=1))):
                 out += [(f"{name}@{k}/mean", float(got.mean())), (f"{name}@{k}/std", float(got.std()))]
             if votes is not None:

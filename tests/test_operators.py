@@ -17,6 +17,7 @@ from tallyweave.operators import metrics as M
 from tallyweave.operators import offpolicy as O
 from tallyweave.operators import stats as S
 from tallyweave.operators import verbs
+from tallyweave.plans import scoring_queries
 
 ROW = "row_id long, uid string, rewards array<double>, mask array<int>"
 
@@ -187,6 +188,22 @@ def test_rollup_fixture_and_bootstrap(spark):
     assert E.subset_sizes(1) == [1] and E.subset_sizes(2) == [2] and E.subset_sizes(10) == [2, 4, 8, 10]
 
 
+def test_bootstrap_query_takes_all_prompts_and_draws(spark, sf):
+    prompts = {}
+    for r in scoring_queries._scores(spark, sf).orderBy("row_id").collect():
+        prompts.setdefault((r["data_source"], r["uid"]), []).append((r["pred"], r["score"]))
+    want = {}
+    for (source, _), pairs in prompts.items():
+        values, n = [v for _, v in pairs], len(pairs)
+        want.setdefault((source, f"mean@{n}"), []).append(float(np.mean(values)))
+        for k in E.subset_sizes(n) if n > 1 else ():
+            for name, f in (("best", max), ("worst", min)):
+                want.setdefault((source, f"{name}@{k}/mean"), []).append(E.bootstrap(values, k, [f])[0][0])
+            want.setdefault((source, f"maj@{k}/mean"), []).append(E.bootstrap(pairs, k, [E.majority])[0][0])
+    got = {(r["data_source"], r["metric"]): r["value"] for r in scoring_queries.eval_rollup_bootstrap(spark, sf).collect()}
+    assert want and {k: got[k] for k in want} == {k: pytest.approx(float(np.mean(v)), abs=2e-6) for k, v in want.items()}
+
+
 def test_balancing():
     rng = random.Random(1)
     for equal in (False, True):
