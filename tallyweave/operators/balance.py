@@ -38,7 +38,9 @@ class _Parts:
         return self.sets[0][0] - self.sets[-1][0]
 
     def __lt__(self, other: _Parts) -> bool:
-        return (-self.spread, [(-s, x) for s, x in self.sets]) < (-other.spread, [(-s, x) for s, x in other.sets])
+        if self.spread != other.spread:
+            return self.spread > other.spread
+        return [(-s, x) for s, x in self.sets] < [(-s, x) for s, x in other.sets]
 
     def joined(self, other: _Parts) -> _Parts:
         """Largest of one with smallest of the other."""
@@ -53,7 +55,7 @@ def differencing(lengths: Sequence[int], parts: int, equal_size: bool = False) -
             raise ValueError(f"{len(order)} items don't divide into {parts} parts")
         start = [_Parts([(lengths[i], [i]) for i in order[at : at + parts]]) for at in range(0, len(order), parts)]
     else:
-        start = [_Parts([(lengths[i], [i])] + [(0, []) for _ in range(parts - 1)]) for i in order]
+        start = [_Parts([(lengths[i], [i])] + [(0, [])] * (parts - 1)) for i in order]
     heapq.heapify(start)
     while len(start) > 1:
         a, b = heapq.heappop(start), heapq.heappop(start)

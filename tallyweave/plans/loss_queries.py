@@ -65,7 +65,17 @@ def batch_kl(spark, sf_dir):
 f AS (SELECT DISTINCT name, 0 AS i, 0.2::DOUBLE AS b FROM k UNION ALL SELECT f.name, f.i + 1, f.b * (1 + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, k.value / 10 - 1)) * 64 / 1000) FROM f JOIN k ON k.name = f.name AND k.i = f.i + 1)
 SELECT name, CAST(i AS INTEGER) AS step, round(b, 6) AS coefficient FROM f WHERE i > 0""")
 def adaptive_kl_path(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 200 and value is not null")
+    return _kl_path(table(spark, sf_dir, "events").filter("event_id < 200"))
+
+
+@query("adaptive_kl_path_all")
+def adaptive_kl_path_all(spark, sf_dir):
+    """The path over all events; adaptive_kl_path takes those that its SQL does. Tested in Python."""
+    return _kl_path(table(spark, sf_dir, "events"))
+
+
+def _kl_path(events):
+    e = events.filter("value is not null")
     seq = e.groupBy(F.col("event_type").alias("name")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("t"))
     path = D.coefficient_path(F.col("t.value"), 0.2, 10.0, 1000.0, 64)
     return seq.select("name", F.posexplode(path).alias("p", "b")).select("name", (F.col("p") + 1).alias("step"), r6("b", "coefficient"))

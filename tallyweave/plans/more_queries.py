@@ -133,6 +133,7 @@ def tempered_entropy(spark, sf_dir):
 
 @query("micro_batches")
 def micro_batches(spark, sf_dir):
-    """Token-budget micro-batches of 16 conversations; tested in Python."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("seqlen")).filter("conv_id < 16")
-    return B.assign_micro(c.withColumnRenamed("conv_id", "row_id"), 20_000, divided_by=2)
+    """Token-budget micro-batches of all conversations, the budget that of the longest at least; tested in Python."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("seqlen"))
+    longest = c.agg(F.max("seqlen").alias("n")).first()["n"] or 0
+    return B.assign_micro(c.withColumnRenamed("conv_id", "row_id"), max(20_000, longest), divided_by=2)

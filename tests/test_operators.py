@@ -17,7 +17,7 @@ from tallyweave.operators import metrics as M
 from tallyweave.operators import offpolicy as O
 from tallyweave.operators import stats as S
 from tallyweave.operators import verbs
-from tallyweave.plans import scoring_queries
+from tallyweave.plans import batch_queries, loss_queries, more_queries, scoring_queries
 
 ROW = "row_id long, uid string, rewards array<double>, mask array<int>"
 
@@ -204,6 +204,30 @@ def test_bootstrap_query_takes_all_prompts_and_draws(spark, sf):
     assert want and {k: got[k] for k in want} == {k: pytest.approx(float(np.mean(v)), abs=2e-6) for k, v in want.items()}
 
 
+def test_balance_queries_take_all_conversations(spark, sf):
+    lengths = dict(spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.length("text"))).collect())
+    assert len(lengths) > 16
+    for made, part in ((batch_queries.balanced_parts(spark, sf), "part"), (more_queries.micro_batches(spark, sf), "micro")):
+        rows = made.collect()
+        assert {r["row_id"]: r["seqlen"] for r in rows} == lengths and len(rows) == len(lengths)
+        sums = {}
+        for r in rows:
+            sums[r[part]] = sums.get(r[part], 0) + r["seqlen"]
+        assert max(sums.values()) - min(sums.values()) <= max(lengths.values())
+    report = batch_queries.balance_report(spark, sf).first()
+    assert report["after_mean"] == pytest.approx(sum(lengths.values()) / 8)
+
+
+def test_kl_path_of_all_events(spark, sf):
+    want, at = {}, {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").filter("value is not null").orderBy("event_id").collect():
+        step, b = at.get(r["event_type"], (0, 0.2))
+        at[r["event_type"]] = step + 1, b * (1 + max(-0.2, min(0.2, r["value"] / 10 - 1)) * 64 / 1000)
+        want[r["event_type"], step + 1] = at[r["event_type"]][1]
+    got = {(r["name"], r["step"]): r["coefficient"] for r in loss_queries.adaptive_kl_path_all(spark, sf).collect()}
+    assert len(want) == 1000 and got == {k: pytest.approx(v, rel=1e-6, abs=1e-6) for k, v in want.items()}
+
+
 def test_balancing():
     rng = random.Random(1)
     for equal in (False, True):
