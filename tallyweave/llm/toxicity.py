@@ -54,6 +54,8 @@ NEGATIVES = 20_000
 #: Words whose values a worker keeps at most.
 CACHE_WORDS = 250_000
 THRESHOLD = 0.3
+#: Characters, with padding, that are coded together.
+CELLS = 1 << 20
 
 _GAP = 63
 _STRIP = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#$%&+-_/\\~`^=@"
@@ -116,10 +118,15 @@ def _norms(codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _by_length(words: list[str], step: int = 4096) -> Iterator[np.ndarray]:
-    """Positions of the words in runs of like length."""
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for at in range(0, len(order), step):
-        yield order[at : at + step]
+    """Positions of the words in runs of like length, of at most `step` words and, padded to their longest, CELLS characters; a longer word is a run of its own."""
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lens, kind="stable")
+    at = 0
+    while at < len(order):
+        own = lens[order[at : at + step]]
+        many = max(1, int(np.count_nonzero(own * np.arange(1, len(own) + 1) <= CELLS)))
+        yield order[at : at + many]
+        at += many
 
 
 def table_values(words: list[str], table: np.ndarray) -> np.ndarray:

@@ -441,6 +441,16 @@ def test_toxicity_table_is_the_kernel():
     assert kernel[0, 0] > 0.6 > 0.2 > kernel[0, 1]
 
 
+def test_toxicity_of_long_words():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij.") for _ in range(n)) for n in [*range(1, 40)] * 20 + [50_000, 2_000_000]]
+    table = np.random.default_rng(12).random(64**3, np.float32) * toxicity._WHOLE
+    for rows in toxicity._by_length(words):
+        assert len(rows) == 1 or len(rows) * max(len(words[i]) for i in rows.tolist()) <= 1 << 20
+    want = [toxicity.table_values([w], table)[0] for w in words]
+    assert np.allclose(toxicity.table_values(words, table), want)
+
+
 def test_toxicity_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(odd, labels)
