@@ -40,6 +40,8 @@ PIVOTS = 16
 HOT = 4096
 #: Words of the sketch that bounds how much two shingle sets differ.
 SKETCH = 8
+#: Size from which a shingle set is cut into parts, a power of two; sketches of larger sets would tell nothing.
+WHOLE = 512
 #: Members of a block from which each round of comparisons with the others starts.
 ROUNDS = (0, 1, 64, 4096)
 _M = (1 << 64) - 1
@@ -247,34 +249,51 @@ def _remix(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, *, threshold: float, width: int) -> DataFrame:
-    """(doc_id, digest, n, sketch array<long>, prefix array<long>) of every text's set of n different shingles.
-
-    prefix is the n - ceil(threshold * n) + 1 least hashes: two sets alike by the threshold share
-    one of them. A bit of sketch is the parity of the hashes that fall on it, so two sketches differ
-    in no more bits than the sets in hashes. digest is a hash of the whole set.
+    """(doc_id, digest, n, head, part, size, sketch array<long>, prefix array<long>): the parts of every text's set of n different shingles.
+
+    A set of WHOLE hashes or more is cut by their first bits into 2**level parts. If two sets are alike by
+    the threshold, so are their shares of some part; a set emits the parts of its level and of the
+    levels of larger sets that it can be alike, so that the two have a level in common.
+    prefix is the size - ceil(threshold * size) + 1 least hashes of a part: parts alike by the threshold
+    share one of them. A bit of sketch is the parity of the hashes that fall on it, so two sketches differ
+    in no more bits than the parts in hashes. digest is a hash of the whole set; head marks one row of each text.
     """
     importable(docs.sparkSession)
+    level = lambda n: max(0, n.bit_length() - (WHOLE - 1).bit_length())
+
+    def parts(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(level(len(x)), level(int(len(x) / threshold + 1e-9)) + 1):
+            cuts = [int(c) for c in np.searchsorted(x, (np.arange(1, 1 << k) - (1 << k >> 1)) << (64 - k))] if k else []
+            for q, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(x)], strict=True)):
+                yield k << 32 | q, x[a:b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for part in slices(batch.column(1).to_pylist(), 1_000_000):
                 sets = _sets(part, width)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                mixed = _remix(np.concatenate(sets).view(np.uint64), 1)
-                sketch = np.zeros(len(sets) * SKETCH, np.uint64)
-                at = np.repeat(np.arange(len(sets)) * SKETCH, n) + (mixed >> np.uint64(6)).astype(np.int64) % SKETCH
+                cut = [(i, not k, p, x) for i, s in enumerate(sets) for k, (p, x) in enumerate(parts(s))]
+                row = np.array([c[0] for c in cut], np.int64)
+                pieces = [c[3] for c in cut]
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                mixed = _remix(np.concatenate(pieces).view(np.uint64), 1)
+                sketch = np.zeros(len(pieces) * SKETCH, np.uint64)
+                at = np.repeat(np.arange(len(pieces)) * SKETCH, size) + (mixed >> np.uint64(6)).astype(np.int64) % SKETCH
                 np.bitwise_xor.at(sketch, at, np.uint64(1) << (mixed & np.uint64(63)))
                 digest = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64)
-                least = [x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] for x in sets]
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
+                least = [x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] for x in pieces]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(digest), pa.array(n), _lists(sketch.view(np.int64).reshape(-1, SKETCH)), _lists(least)],
-                    names=["doc_id", "digest", "n", "sketch", "prefix"],
-                )
+                    [
+                        batch.column(0).take(pa.array(row + done)), pa.array(digest[row]), pa.array(n[row]), pa.array([c[1] for c in cut]), pa.array([c[2] for c in cut], pa.int64()), pa.array(size),
+                        _lists(sketch.view(np.int64).reshape(-1, SKETCH)), _lists(least),
+                    ],
+                    names=["doc_id", "digest", "n", "head", "part", "size", "sketch", "prefix"],
+                )
                 done += len(part)
 
     src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest long, n long, sketch array<long>, prefix array<long>")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest long, n long, head boolean, part long, size long, sketch array<long>, prefix array<long>")
 
 
 def _sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -327,34 +346,34 @@ def _first_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, name) of the shingles that several names have; shingles of the same names make one block.
+    """(block, name, part) of the shingles of a part that several names have; those of the same part and names make one block.
 
-    Rows come ordered, as (shingle, name). Blocks whose hashes should be equal only make a larger block.
+    Rows come ordered, as (shingle, name, part). Blocks whose hashes should be equal only make a larger block.
     """
-    for shingle, name in _runs(batches):
-        new = _first_of(shingle, name)
-        shingle, name = shingle[new], name[new]
+    for shingle, name, part in _runs(batches):
+        new = _first_of(shingle, name, part)
+        shingle, name, part = shingle[new], name[new], part[new]
         starts = np.flatnonzero(_first_of(shingle))
         sizes = np.diff(np.append(starts, len(name)))
         several = np.repeat(sizes > 1, sizes)
-        block = np.repeat(np.add.reduceat(_remix(name.view(np.uint64), 3), starts).view(np.int64), sizes)[several]
-        name = name[several]
-        order = np.lexsort((name, block))
-        block, name = block[order], name[order]
-        new = _first_of(block, name)
-        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(name[new])], names=["block", "name"])
+        block = np.repeat(np.add.reduceat(_remix(name.view(np.uint64) ^ _remix(part.view(np.uint64), 4), 3), starts).view(np.int64), sizes)[several]
+        name, part = name[several], part[several]
+        order = np.lexsort((part, name, block))
+        block, name, part = block[order], name[order], part[order]
+        new = _first_of(block, name, part)
+        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(name[new]), pa.array(part[new])], names=["block", "name", "part"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of a block with different labels that may be alike; a is one of its members `first` to `last`, b a later one.
 
-    Rows come ordered, as (block, name, label, n, sketch words...). Sets alike by the threshold have
+    Rows come ordered, as (block, name, label, n, size, sketch words...). Sets or parts alike by the threshold have
     sizes in that ratio at least and differ in (1 - t) / (1 + t) of their summed sizes at most.
     """
     share = (1 - threshold) / (1 + threshold)
     for got in _runs(batches):
-        block, name, label, n = got[:4]
-        sketch = np.ascontiguousarray(got[4:].T).view(np.uint64)
+        block, name, label, n, size = got[:5]
+        sketch = np.ascontiguousarray(got[5:].T).view(np.uint64)
         starts = np.flatnonzero(_first_of(block))
         sizes = np.diff(np.append(starts, len(block)))
         start = np.repeat(starts, sizes)
@@ -363,9 +382,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, thresh
         for i in range(first, min(last, int(sizes.max()) - 1)):
             later = later[rank[later] > i]
             a, b = start[later] + i, later
-            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            may = np.flatnonzero((label[a] != label[b]) & (low >= threshold * high - 1e-9))
-            may = may[distances(sketch[a[may]], sketch[b[may]]) <= share * (low + high)[may] + 1e-9]
+            may = label[a] != label[b]
+            for of in (n, size):
+                may &= np.minimum(of[a], of[b]) >= threshold * np.maximum(of[a], of[b]) - 1e-9
+            may = np.flatnonzero(may)
+            may = may[distances(sketch[a[may]], sketch[b[may]]) <= share * (size[a] + size[b])[may] + 1e-9]
             if len(may):
                 yield pa.RecordBatch.from_arrays([pa.array(name[a[may]]), pa.array(name[b[may]])], names=["a", "b"])
 
@@ -385,7 +406,7 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> D
     """(doc_id, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
 
     No pair is lost, whatever the size of the input. Texts of equal shingle sets collapse first. Two
-    sets alike by the threshold share one of their least hashes (see set_prints), so texts meet in
+    sets alike by the threshold share one of the least hashes of a part (see set_prints), so texts meet in
     the blocks of those. Within a block a pair is discarded by its sizes or by its sketches, both of which
     bound the likeness, and else verified on the shingles themselves. Only verified links unite. A block's
     first member is compared with all others, then, round by round, further members with those that verified
@@ -395,13 +416,15 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> D
     spark = docs.sparkSession
     importable(spark)
     prints = materialize(set_prints(docs, threshold=threshold, width=width), "set-prints")
-    named = materialize(prints.filter("doc_id is not null").groupBy("digest", "n").agg(F.min(F.col("doc_id").cast("long")).alias("name")), "set-names")
+    named = materialize(prints.filter("head and doc_id is not null").groupBy("digest", "n").agg(F.min(F.col("doc_id").cast("long")).alias("name")), "set-names")
     own = prints.withColumn("name", F.col("doc_id").cast("long")).join(named.hint("merge"), ["digest", "n", "name"], "left_semi")
-    own = materialize(own.select("name", "n", "sketch", "prefix"), "set-own")
-    dealt = own.select(F.explode("prefix").alias("shingle"), "name").repartition("shingle").sortWithinPartitions("shingle", "name")
-    blocks = materialize(dealt.mapInArrow(_shared, "block long, name long").distinct(), "near-blocks")
+    own = materialize(own.select("name", "n", "part", "size", "sketch", "prefix"), "set-own")
+    # a shingle of different levels is a different one
+    dealt = own.select(F.explode("prefix").alias("shingle"), "name", "part").select(F.col("shingle").bitwiseXOR(F.shiftright("part", 32)).alias("shingle"), "name", "part")
+    dealt = dealt.repartition("shingle").sortWithinPartitions("shingle", "name", "part")
+    blocks = materialize(dealt.mapInArrow(_shared, "block long, name long, part long").distinct(), "near-blocks")
     words = [F.col("sketch")[w].alias(f"s{w}") for w in range(SKETCH)]
-    rows = materialize(blocks.join(own.select("name", "n", *words).hint("merge"), "name").select("block", "name", "n", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
+    rows = materialize(blocks.join(own.select("name", "part", "n", "size", *words).hint("merge"), ["name", "part"]).select("block", "name", "n", "size", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
     links, labels = None, None
     for first, last in zip(ROUNDS, [*ROUNDS[1:], 1 << 62], strict=True):
         if labels is None:
@@ -412,7 +435,7 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> D
             rows = materialize(rows.join(left.select("block").hint("merge"), "block", "left_semi"), "near-rows")
             if rows.isEmpty():
                 break
-        dealt = rows.select("block", "name", "label", "n", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
+        dealt = rows.select("block", "name", "label", "n", "size", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
         pairs = dealt.mapInArrow(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold), "a long, b long")
         pairs = materialize(pairs.distinct(), "near-pairs")
         if labels is not None and pairs.isEmpty():
@@ -421,7 +444,7 @@ def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> D
         links = alike if links is None else links.unionByName(alike)
         labels = materialize(component_labels(links), "near-labels")
     of = named.join(labels, named["name"] == labels["node"], "left").select("digest", "n", F.coalesce("label", "name").alias("component_id"))
-    return prints.select("doc_id", "digest", "n").join(of, ["digest", "n"], "left").select("doc_id", "component_id")
+    return prints.filter("head").select("doc_id", "digest", "n").join(of, ["digest", "n"], "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
