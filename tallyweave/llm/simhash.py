@@ -270,7 +270,7 @@ def set_prints(docs: DataFrame, *, threshold: float, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices(batch.column(1).to_pylist(), 1_000_000):
+            for part in slices(batch.column(1).to_pylist(), 250_000):
                 sets = _sets(part, width)
                 cut = [(i, not k, p, x) for i, s in enumerate(sets) for k, (p, x) in enumerate(parts(s))]
                 row = np.array([c[0] for c in cut], np.int64)
@@ -312,7 +312,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices(batch.column(1).to_pylist(), 1_000_000):
+            for part in slices(batch.column(1).to_pylist(), 250_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), _lists(_sets(part, width))], names=["name", "shingles"])
                 done += len(part)
 
