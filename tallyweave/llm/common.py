@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.scratch import fresh_path as scratch_path
 from tallyweave.scratch import materialize
 from tallyweave.session import importable
 
-__all__ = ["importable", "materialize", "partitions", "scratch_path", "table"]
+__all__ = ["importable", "materialize", "new_name", "partitions", "scratch_path", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from `name`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_slices(texts: pa.Array, size: int) -> Iterator[list[str]]:
+    """The column's texts in runs of about `size` bytes, nulls as empty ones; a longer text is a run of its own.
+
+    Only one run at a time stands in memory as Python objects.
+    """
+    ends = pc.binary_length(texts).fill_null(0).to_numpy().astype("int64").cumsum()
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(ends.searchsorted(before + size, side="right")))
+        yield [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

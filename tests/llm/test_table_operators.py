@@ -116,7 +116,9 @@ def test_top_k_odd_rows(spark):
 # --- WARC -----------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast_bytes", [warc.BROADCAST_BYTES, 0])
+def test_warc_round_trip(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast_bytes)
     rows = [(i, f"http://x/{i} y", ("page %d " % i) * (i * 50)) for i in range(1, 60)] + [(100, None, None), (101, "u", ""), (102, "u", "same"), (103, "u", "same"), (103, "u", "same"), (None, "u", "same"), (None, "v", "alone"), (104, "u", "é漢\x1f\x8b\x08")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
     files = warc.archive_pages(df)
@@ -132,6 +134,18 @@ def test_warc_round_trip(spark):
         assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(101, 100), (103, 102), (None, 102)}
 
 
+def test_warc_ranges_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK", 2000)
+    rng = np.random.default_rng(3)
+    rows = [(i, "u", rng.bytes(400).hex()) for i in range(80)]
+    files = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    ranges = warc._ranges(files, 700)
+    at = [r["p"] for r in ranges.select(F.spark_partition_id().alias("p")).collect()]
+    assert len(at) >= 40 and max(map(at.count, at)) <= 4 and len(set(at)) >= 10
+    got = warc.read_archives(files, span=700, payloads=False)
+    assert "payload" not in got.columns and sorted(r["page_id"] for r in got.collect()) == list(range(80))
+
+
 def test_warc_least_payload_and_files(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string").coalesce(1)
     files = warc.archive_pages(df, least=3, path=scratch_path(spark, "warc-test"))
