@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
-from tallyweave.operators.stats import group_stats, tokens, whiten
+from tallyweave.operators import order
+from tallyweave.operators.stats import group_stats, whiten
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -166,34 +167,37 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 
 
 def _optimal_baseline(df: DataFrame, zero_tail: bool, compact: bool, epsilon: float) -> DataFrame:
-    """Long form of the optimal-token-baseline estimators; see their docstrings."""
-    weights = ["is_weights"] if "is_weights" in df.columns else []
-    long = tokens(df, "rewards", "mask", "old_logp", "sum_pi_sq", *weights, keep=("row_id", "uid"))
-    back = Window.partitionBy("row_id").orderBy(F.desc("pos"))
-    long = long.withColumn("ret", F.sum(F.col("rewards") * F.col("mask")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    used = long.filter("mask <> 0") if compact else long
-    ahead = Window.partitionBy("row_id").orderBy("pos")
-    square = F.col("is_weights") * F.col("is_weights") if weights else F.lit(1.0)
-    energy = (1 - 2 * F.exp("old_logp") + F.col("sum_pi_sq")) * square * F.col("mask")
-    used = used.withColumn("w", F.sum(energy).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-    used = used.withColumn("at", (F.row_number().over(ahead) - 1) if compact else F.col("pos"))
-    place = Window.partitionBy("uid", "at")
-    base = F.sum(F.col("ret") * F.col("w") * F.col("mask")).over(place) / (F.sum(F.col("w") * F.col("mask")).over(place) + epsilon)
-    used = used.withColumn("b", base)
-    lens = df.select("row_id", "uid", A.array_sum("mask").alias("len"))
-    rank = Window.partitionBy("uid").orderBy(F.desc("len"))
-    lens = lens.withColumn("rows", F.count("*").over(Window.partitionBy("uid"))).withColumn("nth", F.row_number().over(rank)).withColumn("second", F.lead("len").over(rank))
-    lens = lens.withColumn("tail", F.when((F.col("nth") == 1) & (F.col("len") > F.col("second")), F.col("second")))
-    used = used.join(lens.select("row_id", "rows", "tail"), "row_id")
-    kept = F.when(F.col("rows") == 1, 0.0)
-    if zero_tail:
-        kept = kept.when(F.col("tail").isNotNull() & (F.col("at") >= F.col("tail")), 0.0)
-    used = used.withColumn("b", kept.otherwise(F.col("b"))).withColumn("a", (F.col("ret") - F.col("b")) * F.col("mask"))
+    """The optimal-token-baseline estimators; see their docstrings.
+
+    Running sums stay in the rows' arrays. Only sums by (group, position) are shuffled, pre-aggregated, and
+    come back as one array a group.
+    """
+    names = {"r": "rewards", "m": "mask", "o": "old_logp", "p": "sum_pi_sq"} | ({"w": "is_weights"} if "is_weights" in df.columns else {})
+    whole = F.arrays_zip(*[F.col(c).alias(k) for k, c in names.items()])
+    energy = lambda x: (1 - 2 * F.exp(x["o"]) + x["p"]) * (x["w"] * x["w"] if "w" in names else 1.0) * x["m"]
+    made = df.withColumn("_ret", A.reverse_scan(whole, {"g": F.lit(0.0)}, lambda s, x: {"g": s["g"] + F.coalesce(x["r"] * x["m"], F.lit(0.0))}, "g"))
+    made = made.withColumn("_t", F.arrays_zip(F.col("_ret").alias("ret"), F.transform(whole, energy).alias("e"), F.col("mask").alias("m")))
     if compact:
-        used = long.select("row_id", "pos", "ret").join(used.select("row_id", "pos", "a"), ["row_id", "pos"], "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "a", "ret")))
-    arrays = used.groupBy("row_id").agg(ordered.alias("t")).select("row_id", F.col("t.a").alias("advantages"), F.col("t.ret").alias("returns"))
-    return df.join(arrays, "row_id", "left").select(*df.columns, "advantages", "returns")
+        made = made.withColumn("_t", F.filter("_t", lambda x: x["m"] != 0))
+    made = made.withColumn("_w", A.running(F.transform("_t", lambda x: x["e"]))).withColumn("_len", A.array_sum("mask"))
+    one = made.select("uid", F.posexplode(F.arrays_zip(F.col("_t").alias("t"), F.col("_w").alias("w"))).alias("at", "x")).select("uid", "at", F.col("x.t.ret").alias("ret"), (F.col("x.w") * F.col("x.t.m")).alias("w"))
+    places = one.groupBy("uid", "at").agg((F.sum(F.col("ret") * F.col("w")) / (F.sum("w") + epsilon)).alias("b"))
+    base = places.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "b"))).alias("_b")).select(F.col("uid").alias("_u"), F.col("_b.b").alias("_b"))
+    lens = made.groupBy("uid", "_len").agg(F.count("*").alias("n")).groupBy("uid").agg(F.sum("n").alias("_rows"), F.max("_len").alias("_top"), F.max_by("n", "_len").alias("_tops"), F.slice(F.sort_array(F.collect_set("_len"), False), 2, 1).alias("_second"))
+    lens = lens.withColumnRenamed("uid", "_v")
+    got = made.join(lens, F.col("uid").eqNullSafe(F.col("_v"))).join(base, F.col("uid").eqNullSafe(F.col("_u")), "left")
+    at = F.transform(A.running(F.transform("mask", lambda m: (m != 0).cast("int"))), lambda x: (x - 1).cast("int")) if compact else F.transform("mask", lambda _, i: i)
+    got = got.withColumn("_tail", F.when((F.col("_len") == F.col("_top")) & (F.col("_tops") == 1), F.get("_second", F.lit(0))))
+
+    def place(x: Column) -> Column:
+        kept = F.when(F.col("_rows") == 1, 0.0)
+        if zero_tail:
+            kept = kept.when(F.col("_tail").isNotNull() & (x["at"] >= F.col("_tail")), 0.0)
+        value = (x["ret"] - kept.otherwise(F.get("_b", x["at"]))) * x["m"]
+        return F.when(x["m"] != 0, value).otherwise(0.0) if compact else value
+
+    advantage = F.transform(F.arrays_zip(F.col("_ret").alias("ret"), F.col("mask").alias("m"), at.alias("at")), place)
+    return got.select(*df.columns, advantage.alias("advantages"), F.col("_ret").alias("returns"))
 
 
 @register("optimal_token_baseline")
@@ -218,7 +222,7 @@ def resample(df: DataFrame, method: str = "pow", power: float = 2.0, seed: int =
 
     pow: abs(score) ** power. max_min: 1 for the batch's largest or smallest score, else 0 (equal weights
     where that leaves none). max_random: 0.4 for the largest, 0.1 for others. Draws are seeded
-    uniforms that meet the rows' running weights in a range join within coarse cells.
+    uniforms, put in order together with the rows' running weights; each takes the row before it.
     """
     scored = _scored(df)
     stats = scored.agg(F.max("_s").alias("_hi"), F.min("_s").alias("_lo"))
@@ -228,21 +232,12 @@ def resample(df: DataFrame, method: str = "pow", power: float = 2.0, seed: int =
     if method not in kinds:
         raise ValueError(f"unknown method {method!r}")
     weighted = scored.select("row_id", kinds[method].alias("w"))
-    cells = weighted.select("row_id", "w", F.pmod(F.xxhash64("row_id"), F.lit(256)).alias("cell"))
-    totals = cells.groupBy("cell").agg(F.sum("w").alias("t"), F.count("*").alias("n")).orderBy("cell").collect()  # 256 rows
-    whole, rows = sum(r["t"] for r in totals), sum(r["n"] for r in totals)
-    if not rows:
+    whole = weighted.agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
+    if not whole["n"]:
         return df.withColumn("draw", F.lit(None).cast("long"))
-    at, starts = 0.0, []
-    for r in totals:
-        starts.append((r["cell"], at, at + r["t"]))
-        at += r["t"]
-    spark = df.sparkSession
-    bounds = F.broadcast(spark.createDataFrame(starts, "cell int, low double, high double"))
-    w = Window.partitionBy("cell").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = cells.join(bounds, "cell").select("row_id", "cell", (F.col("low") + F.sum("w").over(w)).alias("upto"), "w").filter("w > 0")
-    edge = edge.withColumn("from", F.col("upto") - F.col("w"))
-    draws = spark.range(rows).select(F.col("id").alias("draw"), (F.rand(seed) * whole).alias("u"))
-    celled = draws.join(bounds, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", "u", "cell")
-    picked = celled.join(edge, (celled["cell"] == edge["cell"]) & (F.col("u") >= F.col("from")) & (F.col("u") < F.col("upto"))).select("draw", "row_id")
-    return picked.join(df, "row_id").select(*df.columns, "draw")
+    if not whole["w"]:
+        weighted, whole = weighted.withColumn("w", F.lit(1.0)), {"w": float(whole["n"]), "n": whole["n"]}
+    edges = order.prefix_sums(weighted.filter("w > 0"), ["row_id"], F.col("w"), "at").select("at", "row_id", F.lit(None).cast("long").alias("draw"))
+    draws = df.sparkSession.range(whole["n"]).select((F.rand(seed) * whole["w"]).alias("at"), F.lit(None).cast("long").alias("row_id"), F.col("id").alias("draw"))
+    met = order.carried(edges.unionByName(draws), ["at", F.col("draw").asc_nulls_first()], "row_id", "row_id")
+    return met.filter("draw is not null").join(df, "row_id").select(*df.columns, "draw")

@@ -12,16 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators import order
+from tallyweave.operators.order import numbered
+
 ID = "row_id"
 
 
-def with_row_ids(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def with_row_ids(df: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     """Number rows from 0 in the given order, without gathering them in one task."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    indexed = dealt.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))  # only a running index over partitions is imperative
-    from pyspark.sql import types as T
-
-    return df.sparkSession.createDataFrame(indexed, T.StructType([*df.schema.fields, T.StructField(ID, T.LongType())]))
+    return numbered(df, by, ID)
 
 
 def select(df: DataFrame, columns: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
@@ -57,13 +56,8 @@ def where(df: DataFrame, mask: Column) -> DataFrame:
 
 
 def renumber(df: DataFrame) -> DataFrame:
-    """Close the gaps in row_id: counts by blocks of ids are summed up, then rows are numbered within their block."""
-    block = F.floor(F.col(ID) / 65536)
-    counts = df.groupBy(block.alias("_b")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = Window.partitionBy("_b").orderBy(ID)
-    numbered = df.withColumn("_b", block).withColumn("_k", F.row_number().over(own) - 1).join(before, "_b")
-    return numbered.withColumn(ID, (F.col("_before") + F.col("_k")).cast("long")).select(*df.columns)
+    """Close the gaps in row_id."""
+    return numbered(df, [ID], ID).select(*df.columns)
 
 
 def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None, step: int | None = None, rows: int | None = None) -> DataFrame:
@@ -90,11 +84,7 @@ def repeat_each(df: DataFrame, times: str | Column) -> DataFrame:
     """Every row as often as its own count says, numbered anew; a count of 0 drops it."""
     count = F.col(times) if isinstance(times, str) else times
     made = df.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.greatest(count.cast("int"), F.lit(0)))))
-    block = F.floor(F.col(ID) / 4096)
-    counts = made.groupBy(block.alias("_b")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = made.withColumn("_b", block).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(ID)) - 1).join(before, "_b")
-    return numbered.withColumn(ID, (F.col("_before") + F.col("_i")).cast("long")).select(*df.columns)
+    return numbered(made, [ID], ID).select(*df.columns)
 
 
 def unfold(df: DataFrame, parts: int, columns: Sequence[str]) -> DataFrame:
@@ -215,21 +205,26 @@ def transitions(df: DataFrame, columns: Sequence[str], group: str, order: str) -
 def run_positions(df: DataFrame, key: str, out: str = "run_pos") -> DataFrame:
     """Add the position of each row within its run of equal keys in row order.
 
-    Runs are found by comparing neighbours, then numbered over blocks of ids, so no task sees all rows.
+    Neighbours are compared within range partitions. Whose run a partition's first rows go on with is
+    told by a row a partition: its first and last key and where its last run starts.
     """
-    block = F.floor(F.col(ID) / 65536)
-    firsts = df.groupBy(block.alias("_b")).agg(F.max_by(key, ID).alias("_last"), F.max(ID).alias("_hi"))
-    order = Window.orderBy("_b")
-    carried = firsts.select("_b", F.lag("_last").over(order).alias("_prev"), F.lag("_hi").over(order).alias("_prev_id"))
-    own = Window.partitionBy("_b").orderBy(ID)
-    made = df.withColumn("_b", block).join(F.broadcast(carried), "_b")  # a row for each 65536
-    lagged = F.coalesce(F.lag(F.struct(F.col(key).alias("k"))).over(own), F.when(F.col("_prev_id").isNotNull(), F.struct(F.col("_prev").alias("k"))))
-    made = made.withColumn("_new", lagged.isNull() | ~lagged["k"].eqNullSafe(F.col(key)))
-    made = made.withColumn("_start", F.max(F.when(F.col("_new"), F.col(ID))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = made.groupBy("_b").agg(F.max(F.when(F.col("_new"), F.col(ID))).alias("_s"))
-    open_ = heads.select("_b", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
-    made = made.join(F.broadcast(open_), "_b").withColumn(out, F.col(ID) - F.coalesce("_start", "_open"))
-    return made.select(*df.columns, F.col(out).cast("long").alias(out))
+    rows, part, _ = order.placed(df, [ID], "runs")
+    own = Window.partitionBy(part).orderBy(ID)
+    last, start, new, head, low, carried = (order.fresh(df, f"_{x}") for x in ("last", "start", "new", "head", "low", "carried"))
+    k = F.struct(F.col(key).alias("k"))
+    made = rows.withColumn(last, F.lag(k).over(own))
+    made = made.withColumn(new, F.when(F.col(last).isNotNull(), ~F.col(last)["k"].eqNullSafe(F.col(key))))  # null: the partition's first row
+    made = made.withColumn(start, F.max(F.when(F.col(new), F.col(ID))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(part).agg(F.min_by(k, ID).alias(head), F.max_by(k, ID).alias(last), F.min(ID).alias(low))
+    opened = made.groupBy(part).agg(F.max(F.when(F.col(new), F.col(ID))).alias(start))
+    joined = ends.join(opened, part).withColumn(new, F.coalesce(F.lag(last).over(Window.orderBy(part)).eqNullSafe(F.col(head)), F.lit(False)))  # a row a partition
+    at, heads = None, []
+    for r in sorted(joined.select(part, new, low, start).collect(), key=lambda r: r[part]):
+        at = at if r[new] else r[low]
+        heads.append((r[part], at))
+        at = r[start] if r[start] is not None else at
+    small = F.broadcast(df.sparkSession.createDataFrame(heads, f"{part} int, {carried} long"))
+    return made.join(small, part).withColumn(out, (F.col(ID) - F.coalesce(start, carried)).cast("long")).select(*df.columns, out)
 
 
 def sample_rows(df: DataFrame, count: int, shuffle: bool = False, seed: int = 0, rows: int | None = None) -> DataFrame:
