@@ -1,12 +1,12 @@
 """Best-fit packing by swap-based local search (operator 10).
 
 Texts become token ids plus an end id; only documents over the capacity are cut, into full
-pieces and a last shorter one. Pieces are dealt by a hash of (doc_id, piece) to groups of
-about GROUP pieces, a number that follows the input. Each group is packed best fit first,
+pieces and a last shorter one. Pieces are dealt by a hash of their ids and their place in the
+written table to groups of about GROUP pieces, a number that follows the input. Each group is packed best fit first,
 longest first, then improved: between underfull bins a move, a one-for-one or a two-for-one
 exchange is made whenever it raises the sum of squared fills, until the emptiest bins are
-empty or nothing helps. The bins a group leaves underfull are opened again and packed once
-more together with those of other groups, in fewer groups.
+empty or nothing helps. The bins a group leaves with ROOM tokens of room or more are opened again
+and packed once more together with those of other groups, in fewer groups.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1. A null
 doc_id packs like any other. Repeated rows are packed as often as they come. An empty table
@@ -15,6 +15,7 @@ gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -26,18 +27,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.bpe import slices
-from tallyweave.llm.common import importable, materialize
+from tallyweave.llm.common import importable, materialize, text_slices
 
 CAPACITY = 2048
 #: Pieces that one task packs together, about.
 GROUP = 20_000
+#: Room from which a bin is opened again; 1 opens all that are not full.
+ROOM = CAPACITY // 32
+#: Bytes of text that a worker holds as Python objects.
+SLICE = 4 << 20
 #: Words whose ids a worker keeps in each of two generations, about; the older one goes when the newer is full.
 CACHE_WORDS = 300_000
-#: Below this letters have their composed form already.
-PLAIN = "\u0250"
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-_WHITE = regex.compile(r"\s").search
+#: What sends a word to the whole tokenizer: letters that may have another composed form, white space that splits no word here.
+_ODD = re.compile("[^\0-\u024f]|[\x1c-\x1f\x85\xa0]").search
+#: The tokenizer's pre-tokens, and the space between the words that are split together.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| ").findall
+#: Stands between the ids of words that are looked up together.
+_BREAK = b"\xff\xff\xff\xff"
 
 _PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
@@ -56,21 +62,27 @@ def _recalled(missing: Iterable, old: dict, new: dict) -> list:
 class WordIds:
     """Ids of texts by a BPE tokenizer that splits at white space before anything else, with word ends in its tokens.
 
+    The strings of special tokens become their ids, as the library has it; with `special` False they are text.
     ASCII letters are lowered first: the vocabulary has lower case only, its normalizer lowers all
-    letters. Words of plain letters are split into the tokenizer's pre-tokens here, so that a
-    pre-token is encoded once whatever punctuation stands around it, many of them in one call:
-    each ends with the one token that has the word-end mark. Other words go to the tokenizer as
-    they are.
+    letters. Words of plain letters are split into the tokenizer's pre-tokens here, all of them in one
+    pass, so that a pre-token is encoded once whatever punctuation stands around it; the tokenizer's
+    model gets many of them in one call, and each ends with the one token that has the word-end
+    mark. Other words go to the whole tokenizer as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # special strings are cut out before
+        marks = {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items() if special and t.special}
+        self.specials = {**marks}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")") if marks else None
+        self.parts_only = Tokenizer(self.tokenizer.model)
+        self.parts_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.is_end[ends] = True
@@ -79,49 +91,59 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
-    def _learn_parts(self, parts: list[str]) -> bool:
-        """Add the ids of these pre-tokens; False if their ends can't be told."""
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Add the ids of these pre-tokens."""
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
             lines = [some[i : i + 256] for i in range(0, len(some), 256)]
-            for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            for line, e in zip(lines, self.parts_only.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
-                if len(ends) != len(line):
-                    return False
-                raw, ends = ids.tobytes(), ends.tolist()
+                ends = ((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()
+                raw = ids.tobytes()
                 self.parts.update(zip(line, [raw[i:j] for i, j in zip([0, *ends], ends)], strict=True))
-        return True
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for w in new:
-            text = w.decode().lower()
-            (plain if max(text) < PLAIN and not _WHITE(text) else other).append((w, text))
-        split = [_PARTS(text) for _, text in plain]
+        if not new:
+            return
+        together = b" ".join(new).decode().lower()
+        plain = new
+        if _ODD(together):
+            texts = together.split(" ")
+            odd = [bool(_ODD(t)) for t in texts]
+            plain = [w for w, o in zip(new, odd, strict=True) if not o]
+            other = [w for w, o in zip(new, odd, strict=True) if o]
+            together = " ".join([t for t, o in zip(texts, odd, strict=True) if not o])
+            for at in range(0, len(other), 4096):
+                some = other[at : at + 4096]
+                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                    self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        if not plain:
+            return
+        split = _PARTS(together)
         if len(self.parts) > CACHE_WORDS:
             self.old_parts, self.parts = self.parts, {}
-        missing = {p for x in split for p in x if p not in self.parts}
-        if self._learn_parts(_recalled(missing, self.old_parts, self.parts)):
-            get = self.parts.__getitem__
-            self.cache.update((w, b"".join(map(get, x))) for (w, _), x in zip(plain, split, strict=True))
-        else:
-            other += plain
-        for at in range(0, len(other), 4096):
-            some = [w for w, _ in other[at : at + 4096]]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.parts[" "] = _BREAK
+        self._learn_parts(_recalled(set(split).difference(self.parts), self.old_parts, self.parts))
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, split)), "<u4")
+        raw, ends = ids.tobytes(), (np.flatnonzero(ids == 0xFFFFFFFF) * 4).tolist()
+        self.cache.update(zip(plain, [raw[i:j] for i, j in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        split = [t.encode().lower().split() for t in texts]
+        cut = [self.cut.split(t) if self.cut and self.cut.search(t) else None for t in texts]
+        split = [t.encode().lower().split() if c is None else [w for x in c[::2] for w in x.encode().lower().split()] for t, c in zip(texts, cut, strict=True)]
         words = set().union(*split) if split else set()
-        missing = [w for w in words if w not in self.cache]
+        missing = list(words.difference(self.cache))
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.old, self.cache, missing = self.cache, {}, list(words)
         self._learn(_recalled(missing, self.old, self.cache))
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        return [b"".join(map(get, x)) if c is None else self._with_specials(c) for x, c in zip(split, cut, strict=True)]
+
+    def _with_specials(self, cut: list[str]) -> bytes:
+        """Ids of texts, all words of which are known, with the strings of special tokens between them."""
+        get = self.cache.__getitem__
+        return b"".join([self.specials[x] if k % 2 else b"".join(map(get, x.encode().lower().split())) for k, x in enumerate(cut)])
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -142,7 +164,7 @@ def cut_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_i
         own = word_ids(path)
         for batch in batches:
             done = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for part in text_slices(batch.column(1), SLICE):
                 row, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(own.encode(part), done):
                     ids += end
@@ -284,8 +306,8 @@ def _exchange(bins: list[list[int]], lengths: list[int], giver: int, taker: int,
     return gain
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Pieces with sequence_id, offset: at most `capacity` ids a sequence, offsets gapless from 0.
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP, room: int = ROOM) -> DataFrame:
+    """Pieces, a written table, with sequence_id, offset: at most `capacity` ids a sequence, offsets gapless from 0.
 
     A sequence_id is the group's number, the round and the bin's number within the group.
     """
@@ -305,7 +327,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) ->
                 for i in items:
                     seq[i], offset[i] = b, at
                     at += lengths[i]
-                if not second and at < capacity - capacity // 32:
+                if not second and capacity - at >= room:
                     leave[items] = True
             base = (int(key[0]) * 2 + second) << 24
             return rows[fields].assign(sequence_id=base + seq, offset=offset, open=leave)
@@ -314,14 +336,15 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group: int = GROUP) ->
 
     sizes = pieces.agg(F.count("*").alias("n")).first()["n"]
     groups = max(1, -(-sizes // group))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # the place tells rows that repeat apart; a written table gives every attempt the same ones
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     first = materialize(pieces.withColumn("_g", spread).groupBy("_g").applyInPandas(packer(False), out), "packed")
     left = first.filter("open").agg(F.count("*").alias("n")).first()["n"]
     again = max(1, -(-left // group))
-    late = first.filter("open").select(*fields).withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(again)))
+    late = first.filter("open").select(*fields).withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(again)))
     return first.filter("not open").drop("open").unionByName(late.groupBy("_g").applyInPandas(packer(True), out).drop("open"))
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 0, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 0, group: int = GROUP, room: int = ROOM) -> DataFrame:
     """Cut and pack all documents; the texts are read and tokenized once, then only piece lengths travel."""
-    return pack(materialize(cut_documents(docs, path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity, group=group)
+    return pack(materialize(cut_documents(docs, path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity, group=group, room=room)

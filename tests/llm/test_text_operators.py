@@ -331,7 +331,6 @@ def brute_pieces(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -344,7 +343,8 @@ def brute_pieces(rows):
 @pytest.mark.parametrize("group", [20_000, 37])
 def test_packing(spark, sf, odd, group):
     path = P.path("word_bpe_49k.json")
-    for df, rows in ((table(spark, sf, "documents"), docs(spark, sf)), (odd, [x[:2] for x in ODD])):
+    special = [(1, "hi <|endoftext|> you"), (2, "a<|endoftext|>b <|startoftext|>"), (3, "<|ENDOFTEXT|>"), (3, "<|endoftext|>")]
+    for df, rows in ((table(spark, sf, "documents"), docs(spark, sf)), (odd, [x[:2] for x in ODD]), (spark.createDataFrame(special, "doc_id long, text string"), special)):
         got = packing.pack_documents(df, path, group=group).collect()
         assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=str) == sorted(brute_pieces(rows), key=str)
         places = {}
@@ -357,7 +357,7 @@ def test_packing(spark, sf, odd, group):
                 at += length
             assert at <= 2048
         bound = -(-sum(r["length"] for r in got) // 2048)
-        assert len(places) <= bound * 1.1 + 2
+        assert len(places) <= (bound + 1 if group > len(got) else bound * 1.02 + 2)
 
 
 def test_packing_of_nothing(none):
@@ -396,12 +396,28 @@ def test_local_search_leaves_no_exchange():
         assert done or not any(helps(a, b, 2048) for a in under for b in under if a is not b)
 
 
-def test_word_ids_equal_the_library():
-    own = packing.WordIds(P.path("word_bpe_49k.json"))
+@pytest.mark.parametrize("words", [packing.CACHE_WORDS, 200])
+def test_word_ids_equal_the_library(monkeypatch, words):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", words)
+    path = P.path("word_bpe_49k.json")
     rng = random.Random(2)
-    texts = ["<|endoftext|> it's WE'LL", "", "   ", "\x1c a"] + ["".join(rng.choice("abÉçß'sdtİΣσ漢é 0123́<|>.,-\nve") for _ in range(rng.randint(0, 90))) for _ in range(300)]
-    for text, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["<|endoftext|> it's WE'LL", "", "   ", "\x1c a", "é<|endoftext|>\u0301x", "a<|endoftext|>b<|startoftext|><|ENDOFTEXT|>", "x\x85y z\xa0q"]
+    texts += ["".join(rng.choice("abÉçß'sdtİΣσ漢é 0123\u0301<|>.,-\nve²½\x00\x1c") for _ in range(rng.randint(0, 90))) for _ in range(600)]
+    for special in (True, False):
+        theirs = Tokenizer.from_file(path)
+        theirs.encode_special_tokens = not special
+        own = packing.WordIds(path, special)
+        for at in range(0, len(texts), 50):
+            for text, ids in zip(texts[at : at + 50], own.encode(texts[at : at + 50]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_deals_repeated_rows_to_many_groups(spark):
+    df = spark.createDataFrame([(1, "the very same row")] * 400, "doc_id long, text string")
+    got = packing.pack_documents(df, P.path("word_bpe_49k.json"), capacity=64, group=40).collect()
+    assert len(got) == 400 and len({r["sequence_id"] >> 25 for r in got}) > 4
 
 
 # --- toxicity ------------------------------------------------------------------------------------
