@@ -12,8 +12,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyweave.operators import order
 from tallyweave.scratch import fresh_path
 
 QUEUE_OUT = "queue long, produced long, dropped long, size long, oldest long, newest long"
@@ -70,8 +72,6 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    from pyspark.sql import types as T
-
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
 
 
@@ -119,3 +119,84 @@ def draw(df: DataFrame, count: int, seed: int = 0, key: str = "row_id") -> DataF
     if n < count:
         raise ValueError(f"{n} rows, {count} wanted")
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)
+
+
+COMMANDS = ("put", "get", "version", "clear", "stats", "close")
+COMMAND_OUT = "queue long, at long, op string, sample_id long, accepted boolean, size long, produced long, consumed long, dropped long, version long, bytes long, open boolean"
+COMMAND_STATE = "ids array<bigint>, sizes array<bigint>, counts array<bigint>, version long, open boolean"
+
+
+def command_queue(commands: DataFrame, capacity: int, *, key: str = "queue") -> DataFrame:
+    """What a bounded queue answers to each command, in order of `at`, with its statistics after it.
+
+    commands: (queue, at, op, value, bytes). "put" adds sample `value` of so many bytes; a full queue drops
+    its oldest and says accepted = false. "get" takes the oldest, null where there is none. "version" sets
+    the version, "clear" drops all that wait (these count neither as dropped nor as consumed), "stats"
+    only reports, "close" ends: later puts are not accepted and change nothing, gets go on until the
+    queue is empty. Unknown ops report accepted = null. A micro-batch's commands are taken in order;
+    micro-batches must come in order. State is bounded by the capacity.
+    """
+
+    def answer(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, sizes, counts, version, open_ = state.get if state.exists else ([], [], [0, 0, 0], 0, True)
+        ids, sizes, (produced, consumed, dropped) = list(ids), list(sizes), list(counts)
+        rows = sorted((int(a), o, None if pd.isna(v) else int(v), 0 if pd.isna(b) else int(b)) for f in frames for a, o, v, b in zip(f["at"], f["op"], f["value"], f["bytes"], strict=True))
+        out = []
+        for at, op, value, size in rows:
+            accepted, sample = op in COMMANDS or None, None
+            if op == "put":
+                sample, accepted = value, open_
+                if open_:
+                    produced += 1
+                    ids.append(value)
+                    sizes.append(size)
+                    if len(ids) > capacity:
+                        ids, sizes, dropped, accepted = ids[1:], sizes[1:], dropped + 1, False
+            elif op == "get":
+                accepted = bool(ids)
+                if ids:
+                    sample, consumed = ids[0], consumed + 1
+                    ids, sizes = ids[1:], sizes[1:]
+            elif op == "version":
+                version = value or 0
+            elif op == "clear":
+                ids, sizes = [], []
+            elif op == "close":
+                open_ = False
+            out.append((k[0], at, op, sample, accepted, len(ids), produced, consumed, dropped, version, sum(sizes), open_))
+        state.update((ids, sizes, [produced, consumed, dropped], version, open_))
+        names = [x.split(" ")[0] for x in COMMAND_OUT.split(", ")]
+        yield pd.DataFrame({n: pd.Series(v, dtype="Int64" if n == "sample_id" else "boolean" if n == "accepted" else None) for n, v in zip(names, zip(*out), strict=True)} if out else {n: [] for n in names})
+
+    return commands.groupBy(key).applyInPandasWithState(answer, COMMAND_OUT, COMMAND_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def paced(requests: DataFrame, rate: float, most: float | None = None, *, key: str = "queue") -> DataFrame:
+    """(key, at, time, tokens, granted): when a token bucket grants each request, asked one after the other.
+
+    requests: (key, at, time, tokens). The bucket starts full, holds `most` tokens (`rate` by default) and gains
+    `rate` a second. A request waits until its tokens are there; one over `most` is granted once what it
+    lacks has had time to come, and leaves the bucket owing it.
+    """
+    most = most or rate
+    schema = requests.select(key, "at", "time", "tokens").schema
+
+    def grant(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at").reset_index(drop=True)
+        held, now, granted = most, None, []
+        for time, tokens in zip(frame["time"], frame["tokens"], strict=True):
+            start = time if now is None else max(now, time)
+            held = held if now is None else min(most, held + (start - now) * rate)
+            wait = max(0.0, (tokens - held) / rate)
+            held, now = held + wait * rate - tokens, start + wait
+            granted.append(now)
+        return frame.assign(granted=granted)
+
+    return requests.select(key, "at", "time", "tokens").groupBy(key).applyInPandas(grant, T.StructType([*schema.fields, T.StructField("granted", T.DoubleType())]))
+
+
+def servers(requests: DataFrame, count: int, *, request: str = "request_id", at: str = "at") -> DataFrame:
+    """Add `server`: requests with an id seen before go where it went first, new ids in turn to the next server."""
+    first = requests.groupBy(request).agg(F.min(at).alias("_first"))
+    turn = order.numbered(first, ["_first", request], "_turn").select(F.col(request).alias("_id"), F.pmod("_turn", F.lit(count)).cast("int").alias("server"))
+    return requests.join(turn, F.col(request).eqNullSafe(F.col("_id"))).drop("_id")
