@@ -1,8 +1,8 @@
 """Length-balanced partitions: k-way differencing, groups kept whole, token budgets.
 
-A batch's lengths are assigned on the driver: a batch is what one training step takes, so its
-rows are bounded by MAX_ROWS, which is checked. Whole corpora are balanced by sharding or
-packing, which are distributed.
+A batch's lengths are assigned on the driver: a batch is what one training step takes, a few
+thousand sequences as a rule and MAX_ROWS at most. Larger tables are dealt out in order of length,
+back and forth over the parts, without leaving the executors.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one batch at most; more raise an error.
-MAX_ROWS = 2_000_000
+from tallyweave.operators import order
+
+#: Rows of one batch that are assigned on the driver.
+MAX_ROWS = 200_000
 #: Fixed values of the workload model: work is LINEAR * n + n * n.
 LINEAR = 24576
 
@@ -119,17 +121,36 @@ def restore(parts: Sequence[Sequence[int]]) -> list[int]:
     return out
 
 
-def assign(df: DataFrame, parts: int, *, length: str = "seqlen", uid: str | None = None, equal_size: bool = False, work: bool = False) -> DataFrame:
-    """Add `part` and `place` (the position within the part) to the rows of one batch, keyed by row_id."""
-    columns = ["row_id", length, *([uid] if uid else [])]
+def dealt(df: DataFrame, parts: int, *, length: str = "seqlen", part: str = "part") -> DataFrame:
+    """Add `part` and `place`: rows in order of length, longest first, go to parts 0, 1, ... and back again; counts differ by one at most."""
+    at = order.fresh(df, "_at")
+    ranked = order.numbered(df, [F.desc(length), F.col("row_id")], at)
+    turn, k = F.floor(F.col(at) / parts).cast("int"), F.pmod(F.col(at), F.lit(parts)).cast("int")
+    return ranked.withColumn(part, F.when(turn % 2 == 0, k).otherwise(parts - 1 - k)).withColumn("place", turn).drop(at)
+
+
+def _rows(df: DataFrame, columns: list[str]) -> list | None:
+    """The batch's rows in order; None where there are more than MAX_ROWS."""
     rows = df.select(*columns).orderBy("row_id").limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"a batch has at most {MAX_ROWS} rows")
+    return rows if len(rows) <= MAX_ROWS else None
+
+
+def assign(df: DataFrame, parts: int, *, length: str = "seqlen", uid: str | None = None, equal_size: bool = False, work: bool = False, how: str = "differencing") -> DataFrame:
+    """Add `part` and `place` (the position within the part), keyed by row_id.
+
+    how: "differencing" or "greedy". Tables over MAX_ROWS are dealt out by length, which can't keep runs of a uid whole.
+    """
+    rows = _rows(df, ["row_id", length, *([uid] if uid else [])])
+    if rows is None:
+        if uid:
+            raise ValueError(f"runs of a uid are kept whole in batches of at most {MAX_ROWS} rows")
+        return dealt(df, parts, length=length)
     lengths = [r[length] for r in rows]
     if uid:
         made = balanced_groups(lengths, [r[uid] for r in rows], parts)
     else:
-        made = balanced([LINEAR * n + n * n for n in lengths] if work else lengths, parts, equal_size)
+        weights = [LINEAR * n + n * n for n in lengths] if work else lengths
+        made = greedy(weights, parts, equal_size) if how == "greedy" else balanced(weights, parts, equal_size)
     placed = [(rows[i]["row_id"], p, k) for p, members in enumerate(made) for k, i in enumerate(members)]
     return df.join(df.sparkSession.createDataFrame(placed, "row_id long, part int, place int"), "row_id")
 
@@ -145,9 +166,13 @@ def imbalance(df: DataFrame, parts: int, *, length: str = "seqlen", part: str =
 
 def assign_micro(df: DataFrame, max_tokens: int, *, length: str = "seqlen", divided_by: int = 1, at_least: int = 1) -> DataFrame:
     """Add `micro` and `place`: token-budget micro-batches of one batch, keyed by row_id; ordering by row_id restores it."""
-    rows = df.select("row_id", length).orderBy("row_id").limit(MAX_ROWS + 1).collect()
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"a batch has at most {MAX_ROWS} rows")
+    rows = _rows(df, ["row_id", length])
+    if rows is None:
+        whole = df.agg(F.sum(length).alias("s"), F.max(length).alias("m")).first()
+        if whole["m"] > max_tokens:
+            raise ValueError(f"a sequence of {whole['m']} tokens is over the budget of {max_tokens}")
+        count = max(at_least, -(-whole["s"] // max_tokens))
+        return dealt(df, -(-count // divided_by) * divided_by, length=length, part="micro")
     made = micro_batches([r[length] for r in rows], max_tokens, divided_by=divided_by, at_least=at_least)
     placed = [(rows[i]["row_id"], m, k) for m, members in enumerate(made) for k, i in enumerate(members)]
     return df.join(df.sparkSession.createDataFrame(placed, "row_id long, micro int, place int"), "row_id")

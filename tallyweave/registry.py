@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.plans import advantage_queries, batch_queries, loss_queries, more_queries, scoring_queries, tables  # noqa: F401  they register their queries
+from tallyweave.plans import advantage_queries, batch_queries, batch_tools, loss_queries, more_queries, scoring_queries, tables  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
