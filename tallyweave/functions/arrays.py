@@ -143,8 +143,8 @@ def last_place(value: ColumnLike, like: ColumnLike) -> Column:
 
 
 def response_part(a: ColumnLike, prompt_length: Column, response_length: Column) -> Column:
-    """Of model outputs over prompt and response, those that predict the response: shifted left by one."""
-    return F.slice(col(a), F.greatest(prompt_length, F.lit(1)), response_length)
+    """Of model outputs over prompt and response, those that predict the response: shifted left by one; none for a length under 1."""
+    return F.slice(col(a), F.greatest(prompt_length, F.lit(1)), F.greatest(response_length, F.lit(0)))
 
 
 def tempered(logits: ColumnLike, temperature: float) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
+from tallyweave.operators import order
 
 KINDS = ("kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3")
 
@@ -62,6 +64,21 @@ def coefficient_path(measured: Column, start: float, target: float, horizon: flo
     return F.aggregate(measured, first, step, lambda acc: acc["out"])
 
 
+def coefficient_rows(df: DataFrame, measured: str, group: str, by: str, start: float, target: float, horizon: float, steps: int, out: str = "log_coefficient") -> DataFrame:
+    """Add `step` (from 1) and the logarithm of the coefficient after each row of its group, in order of `by`.
+
+    Each row multiplies the coefficient by a factor of its own, so logarithms are summed up over range
+    partitions, however many rows a group has.
+    """
+    factor = F.log(1 + A.clip(F.col(measured) / target - 1, -0.2, 0.2) * steps / horizon)
+    rank, sofar, first, base = (order.fresh(df, x) for x in ("_rank", "_sofar", "_first", "_base"))
+    summed = order.numbered(order.prefix_sums(df, [group, by], factor, sofar), [group, by], rank)
+    starts = summed.groupBy(F.col(group).alias("_of")).agg(F.min(rank).alias(first), F.min_by(sofar, rank).alias(base))
+    joined = summed.join(starts, F.col(group).eqNullSafe(F.col("_of")))
+    made = joined.withColumn("step", F.col(rank) - F.col(first) + 1).withColumn(out, F.lit(math.log(start)) + F.col(sofar) - F.col(base) + factor)
+    return made.select(*df.columns, "step", out)
+
+
 def apply_penalty(df: DataFrame, coefficient: float, kind: str = "kl", *, scores: str = "scores", logp: str = "old_logp", ref: str = "ref_logp", mask: str = "mask") -> DataFrame:
     """Add `rewards`: scores less coefficient times the masked divergence."""
     return df.withColumn("rewards", F.zip_with(scores, A.masked(divergence(logp, ref, kind), mask), lambda s, d: s - coefficient * d))

@@ -61,16 +61,16 @@ def batch_kl(spark, sf_dir):
     return _rounded(D.batch_divergence(rollouts(spark, sf_dir)))
 
 
-@query("adaptive_kl_path", """WITH RECURSIVE k AS (SELECT event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, value FROM events WHERE event_id < 200 AND value IS NOT NULL),
-f AS (SELECT DISTINCT name, 0 AS i, 0.2::DOUBLE AS b FROM k UNION ALL SELECT f.name, f.i + 1, f.b * (1 + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, k.value / 10 - 1)) * 64 / 1000) FROM f JOIN k ON k.name = f.name AND k.i = f.i + 1)
-SELECT name, CAST(i AS INTEGER) AS step, round(b, 6) AS coefficient FROM f WHERE i > 0""")
+@query("adaptive_kl_path", """WITH k AS (SELECT event_type AS name, event_id, ln(1 + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, value / 10 - 1)) * 64 / 1000) AS f FROM events WHERE value IS NOT NULL)
+SELECT name, row_number() OVER w AS step, round(ln(0.2::DOUBLE) + sum(f) OVER w, 6) + 0.0 AS log_coefficient FROM k WINDOW w AS (PARTITION BY name ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def adaptive_kl_path(spark, sf_dir):
-    return _kl_path(table(spark, sf_dir, "events").filter("event_id < 200"))
+    e = table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("name"), "event_id", "value")
+    return D.coefficient_rows(e, "value", "name", "event_id", 0.2, 10.0, 1000.0, 64).select("name", "step", r6("log_coefficient", "log_coefficient"))
 
 
 @query("adaptive_kl_path_all")
 def adaptive_kl_path_all(spark, sf_dir):
-    """The path over all events; adaptive_kl_path takes those that its SQL does. Tested in Python."""
+    """The same path folded over an array of each type's events. Tested in Python."""
     return _kl_path(table(spark, sf_dir, "events"))
 
 

@@ -117,10 +117,10 @@ def number_forms(spark, sf_dir):
     )
 
 
-@query("response_part", f"WITH {TOK}, n AS (SELECT row_id, count(*) AS n FROM tok GROUP BY row_id) SELECT row_id, round(sum(olp), 6) + 0.0 AS total FROM tok JOIN n USING (row_id) WHERE n >= 3 AND pos >= 1 AND pos < n - 1 GROUP BY row_id")
+@query("response_part", f"WITH {TOK}, n AS (SELECT row_id, count(*) AS n FROM tok GROUP BY row_id) SELECT row_id, round(coalesce(sum(olp) FILTER (pos >= 1 AND pos < n - 1), 0), 6) + 0.0 AS total FROM tok JOIN n USING (row_id) GROUP BY row_id")
 def response_part(spark, sf_dir):
     """Outputs over a prompt of two tokens and the rest, shifted by one."""
-    made = rollouts(spark, sf_dir).filter(F.size("old_logp") >= 3)
+    made = rollouts(spark, sf_dir)
     part = A.response_part("old_logp", F.lit(2), F.size("old_logp") - 2)
     return made.select("row_id", r6(A.array_sum(part), "total"))
 

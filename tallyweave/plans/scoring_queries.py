@@ -118,9 +118,9 @@ def score_final_answer(spark, sf_dir):
     return made.select("s_suppkey", "v.pred", "v.score", "v.acc")
 
 
-@query("score_math_equal", """SELECT n_nationkey, true AS decimal, true AS percent, n_nationkey % 2 = 0 AS pair FROM nation WHERE n_nationkey > 0""")
+@query("score_math_equal", """SELECT n_nationkey, true AS decimal, true AS percent, n_nationkey % 2 = 0 AS pair FROM nation""")
 def score_math_equal(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey > 0")
+    n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     half, share = (k / 2).cast("string"), F.concat((k * 10).cast("string"), F.lit("%"))
     pair = F.concat(F.lit("("), k.cast("string"), F.lit(", 2)"))
