@@ -111,6 +111,34 @@ def test_line_dedup(spark, sf, odd, none):
     assert linededup.line_digests(none).count() == 0
 
 
+SHARED_IDS = [
+    (1, "a common line here\nfirst"),
+    (2, "a common line here\nx"),
+    (2, "a unique line of the second row\na common line here"),
+    (2, "a unique line of the second row\na common line here"),
+    (None, "a line that has no id at all\nA common line here "),
+    (None, "some other line without an id\na line that has no id at all"),
+    (9, "a line that has no id at all"),
+]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [linededup.BROADCAST_BYTES, 0])
+def test_line_dedup_of_rows_that_share_an_id(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", broadcast_bytes)
+    df = spark.createDataFrame(SHARED_IDS, "doc_id long, text string").withColumn("keep", F.lit(1)).withColumn("_line_keep", F.lit("x")).withColumn("_line_doc", F.lit(2))
+    got = [tuple(r) for r in linededup.line_digests(df).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
+    assert sorted(got, key=str) == sorted(brute_lines(SHARED_IDS), key=str)
+    kept = linededup.drop_lines(df)
+    assert kept.columns == df.columns and {r["_line_keep"] for r in kept.collect()} == {"x"}
+    assert sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in kept.collect()) == sorted(x[3] for x in brute_lines(SHARED_IDS))
+
+
+def test_drop_lines_leaves_null_texts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SLICE", 5)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "one line of text\n\nb"), (4, "b\none line of text")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in linededup.drop_lines(df).collect()) == [(1, None), (2, ""), (3, "one line of text\n\nb"), (4, "b")]
+
+
 def test_line_dedup_without_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
     got = [tuple(r) for r in linededup.line_digests(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
