@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in local mode a temporary folder where it is unset."""
+    """spark.checkpoint.dir; where it is unset and all runs in one process, a temporary folder."""
     global _OWN
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN is None:
         _OWN = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
@@ -50,4 +51,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and outlives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def release(df: DataFrame) -> None:
+    """Delete what `materialize` wrote for this very DataFrame, once nothing reads it any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
