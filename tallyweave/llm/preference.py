@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.common import new_name
+
 #: How a turn is rendered.
 START, MIDDLE, END = "<|start|>", "\n", "<|end|>\n"
 
@@ -54,11 +56,12 @@ def format_pairs(pairs: DataFrame, *, chosen: str = "chosen", rejected: str = "r
     """pairs with prefix_turns, prompt, and for either side its completion and mask spans; the two inputs are dropped."""
     n = common_prefix(F.col(chosen), F.col(rejected))
     rest = lambda c: F.slice(c, F.col("prefix_turns") + 1, F.greatest(F.size(c), F.lit(1)))
-    out = pairs.withColumn("prefix_turns", n).withColumn("_c", rest(F.col(chosen))).withColumn("_r", rest(F.col(rejected)))
+    left, right = new_name(pairs, "_chosen_rest"), new_name(pairs, "_rejected_rest")
+    out = pairs.withColumn("prefix_turns", n).withColumn(left, rest(F.col(chosen))).withColumn(right, rest(F.col(rejected)))
     keep = [c for c in pairs.columns if c not in (chosen, rejected, "prefix_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")]
     return out.select(
         *keep, "prefix_turns", render(F.slice(chosen, F.lit(1), F.col("prefix_turns"))).alias("prompt"),
-        render(F.col("_c")).alias("chosen_text"), mask_spans(F.col("_c")).alias("chosen_mask"), render(F.col("_r")).alias("rejected_text"), mask_spans(F.col("_r")).alias("rejected_mask"),
+        render(F.col(left)).alias("chosen_text"), mask_spans(F.col(left)).alias("chosen_mask"), render(F.col(right)).alias("rejected_text"), mask_spans(F.col(right)).alias("rejected_mask"),
     )
 
 

@@ -9,12 +9,18 @@ survivors are compacted before the next block. What a task returns is k rows a q
 second grouping keeps the k best of all tasks.
 
 Queries travel to the tasks in blocks of bounded bytes (QUERY_BYTES), each against all rows;
-a larger query set makes more blocks, not larger ones.
+a larger query set makes more blocks, not larger ones, and a block's results are written
+before the next block is read. A task works off QUERIES of them with ROWS candidates at a time.
+
+Floating point holds scores exactly where the product of the largest norms is under 2**53. Where
+it isn't, floating point with an error bound only finds what may be among the best, and whole
+numbers of any length decide.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part,
 nor do rows without an id. Vectors of other lengths than the query's are no candidates of it.
-Ties go to the smaller id. Rows that repeat an id are candidates each. An empty table gives
-no rows. Extra columns are not read.
+Components and scores that no long holds count as the largest or smallest long. Ties go to the
+smaller id. Rows that repeat an id are candidates each. An empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable
+from tallyweave.llm.common import importable, materialize
 
 #: Bytes of the integer query vectors that are sent to the tasks at once, at most about.
 QUERY_BYTES = 16 << 20
 DIMS = 16
-#: Candidates that are searched together.
-ROWS = 8192
+#: Candidates and queries that are searched together.
+ROWS, QUERIES = 8192, 512
+_LONGEST = (1 << 63) - 1
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -75,18 +82,49 @@ def search_block(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: n
             best[q] = sorted([*best[q], *zip((-score).astype(np.int64).tolist(), ids[at].tolist())])[:k]
 
 
+def search_wide(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: np.ndarray, best: list, k: int) -> None:
+    """The same for long integers of any size."""
+    c, q = cand.astype(np.float64), queries.astype(np.float64)
+    lengths = np.sqrt((c * c).sum(0))
+    slack = (cand.shape[0] + 8) * 2.0**-52
+    for n in range(len(q)):
+        own = np.flatnonzero(ids != qids[n])
+        score = q[n] @ c[:, own]
+        error = slack * (np.sqrt(q[n] @ q[n]) * lengths[own]) + 1
+        least = -float(best[n][-1][0]) if len(best[n]) == k else -np.inf
+        if len(own) > k:
+            least = max(least, float(np.partition(score - error, len(own) - k)[len(own) - k]))
+        # beyond a long scores are equal, so the threshold stays within
+        least = -np.inf if least < -(2.0**62) else min(least, 2.0**63) - abs(min(least, 2.0**63)) * 2.0**-52
+        stay = own[score + error >= least]
+        exact = [min(max(sum(map(int.__mul__, queries[n].tolist(), cand[:, i].tolist())), -_LONGEST - 1), _LONGEST) for i in stay.tolist()]
+        best[n] = sorted([*best[n], *zip([-s for s in exact], ids[stay].tolist(), strict=True)])[:k]
+
+
 def _searcher(block, k: int, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = {n: (np.array(qids, np.int64), np.array(rows, np.float64)) for n, (qids, rows) in block.value.items()}
+        groups = block.value
+        most = {n: float(np.sqrt((np.square(rows.astype(np.float64))).sum(1).max(initial=0))) for n, (_, rows) in groups.items()}
         best = {n: [[] for _ in qids] for n, (qids, _) in groups.items()}
         waiting: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {n: ([], []) for n in groups}
 
         def search(n: int) -> None:
             ids, vectors = waiting[n]
             if ids:
-                search_block(np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors).T), *groups[n], best[n], k, dims)
+                some, cand = np.concatenate(ids), np.ascontiguousarray(np.concatenate(vectors).T)
                 ids.clear()
                 vectors.clear()
+                own = cand.astype(np.float64)
+                exact = most[n] * float(np.sqrt((own * own).sum(0).max(initial=0))) * (1 + 1e-9) < 2.0**53
+                qids, rows = groups[n]
+                for at in range(0, len(qids), QUERIES):
+                    tile = slice(at, at + QUERIES)
+                    found = best[n][tile]
+                    if exact:
+                        search_block(some, own, qids[tile], rows[tile].astype(np.float64), found, k, dims)
+                    else:
+                        search_wide(some, cand, qids[tile], rows[tile], found, k)
+                    best[n][tile] = found
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
@@ -99,7 +137,7 @@ def _searcher(block, k: int, dims: int):
                     for a in range(0, len(rows), ROWS):
                         some = rows[a : a + ROWS]
                         waiting[n][0].append(ids[some])
-                        waiting[n][1].append(flat[starts[some][:, None] + np.arange(n)].astype(np.float64))
+                        waiting[n][1].append(flat[starts[some][:, None] + np.arange(n)])
                         if sum(map(len, waiting[n][0])) >= ROWS:
                             search(n)
         for n, (qids, _) in groups.items():
@@ -114,26 +152,27 @@ def _searcher(block, k: int, dims: int):
 def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = DIMS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products with other rows.
 
-    is_query: a Column over id_col. Scores must stay under 2**53 in size; larger ones raise an error.
+    is_query: a Column over id_col.
     """
     spark = vectors.sparkSession
     importable(spark)
     whole = integer_vectors(vectors, id_col, vec_col, scale)
     asked = integer_vectors(vectors.filter(is_query), id_col, vec_col, scale)
     size = asked.agg(F.sum(8 * F.size("v") + 8).alias("bytes")).first()["bytes"] or 0
-    widest = whole.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("most")).first()["most"] or 0
-    if widest >= 2**53:
-        raise ValueError("scores may pass 2**53; use a smaller scale")
     blocks = max(1, -(-size // query_bytes))
     parts = []
     for b in range(blocks):
-        groups: dict[int, tuple[list, list]] = {}
+        lists: dict[int, tuple[list, list]] = {}
         for r in asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toLocalIterator():  # about query_bytes
-            own = groups.setdefault(len(r["v"]), ([], []))
+            own = lists.setdefault(len(r["v"]), ([], []))
             own[0].append(r["id"])
-            own[1].append(r["v"])
-        sent = spark.sparkContext.broadcast(groups)
-        parts.append(whole.mapInArrow(_searcher(sent, k, dims), "query_id long, vec_id long, score long"))
+            own[1].append(np.array(r["v"], np.int64))
+        sent = spark.sparkContext.broadcast({n: (np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in lists.items()})
+        part = whole.mapInArrow(_searcher(sent, k, dims), "query_id long, vec_id long, score long")
+        if blocks > 1:
+            part = materialize(part, "top-k")
+            sent.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -1,10 +1,12 @@
 import base64
 import gzip
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyweave.llm import preference, queries, sharding, topk, warc
@@ -29,6 +31,40 @@ def check_shards(rows, shards=8, tolerance=0.05):
     return groups
 
 
+def brute_shards(rows, shards=8):
+    """The operator's rule, spelled out: (doc_id, size, crc, shard) of (doc_id, text) rows."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    groups = {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        groups.setdefault((signed(xxhash.xxh64_intdigest(raw, 42)), zlib.crc32(raw), len(raw) + 1), []).append(i)
+    total, count = sum(k[2] * len(v) for k, v in groups.items()), len(rows)
+    large = [k for k in sorted(groups) if k[2] * len(groups[k]) * sharding.HEAVY > total or len(groups[k]) * sharding.HEAVY > count]
+    load, out = [0.0] * shards, []
+    for k in sorted(large, key=lambda k: (-k[2] * len(groups[k]), large.index(k))):
+        assert k[2] * len(groups[k]) <= total / shards  # splits have a test of their own
+        s = min(range(shards), key=lambda s: (load[s], s))
+        load[s] += k[2] * len(groups[k])
+        out += [(i, k[2], k[1], s) for i in groups[k]]
+    room = [max(0.0, total / shards - x) for x in load]
+    rest = sum(k[2] * len(groups[k]) for k in groups if k not in large)
+    cuts = [rest * sum(room[: s + 1]) / (sum(room) or 1) for s in range(shards - 1)]
+    at = 0
+    for k in sorted(set(groups) - set(large)):
+        size = k[2] * len(groups[k])
+        out += [(i, k[2], k[1], sum(at + size / 2 >= c for c in cuts)) for i in groups[k]]
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("heavy", [sharding.HEAVY, 40])
+def test_sharding_against_brute_force(spark, sf, monkeypatch, heavy):
+    monkeypatch.setattr(sharding, "HEAVY", heavy)
+    df = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (5, ""), (5, "")], "doc_id long, text string"))
+    got = [tuple(r) for r in sharding.shard_rows(df, 8).select("doc_id", "size", "text_crc32", "shard").collect()]
+    assert sorted(got, key=str) == sorted(brute_shards([(r["doc_id"], r["text"]) for r in df.collect()]), key=str)
+
+
 def test_sharding(spark, sf):
     rows = sharding.shard_rows(table(spark, sf, "documents")).collect()
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
@@ -87,11 +123,12 @@ def test_preference_runs_without_python(spark, sf):
 
 
 def brute_top(rows, queries_, k):
-    whole = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    whole = [(i, [clip(math.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in whole:
         if q in queries_:
-            best = sorted((-int(v @ c), i) for i, c in whole if i != q and len(c) == len(v))[:k]
+            best = sorted((-clip(sum(a * b for a, b in zip(v, c, strict=True))), i) for i, c in whole if i != q and len(c) == len(v))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return out
 
@@ -113,6 +150,25 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(df.filter("vec_id = 99"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("query_bytes", [16 << 20, 40])
+def test_top_k_of_large_values(spark, query_bytes):
+    rng = np.random.default_rng(8)
+    large = [(i, [float(x) for x in rng.integers(-(1 << 40), 1 << 40, 6)]) for i in range(60)]
+    large += [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60, 120)] + [(200, [1e6, 0.0, 0.0, 0.0, 0.0, 0.0]), (250, [1e6, 1.0, 0.0, 0.0, 0.0, 0.0]), (251, [1e300] * 6), (252, [-1e300] * 6), (300, [1e300] * 6)]
+    got = topk.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, query_bytes=query_bytes).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_top(large, {0, 50, 100, 200, 250, 300}, 5))
+
+
+# --- preference names ---
+
+
+def test_format_pairs_leaves_other_columns(spark):
+    turns = "array<struct<role: string, text: string>>"
+    df = spark.createDataFrame([([("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c")], "own", 7)], f"chosen {turns}, rejected {turns}, _c string, _chosen_rest int")
+    (r,) = preference.format_pairs(df).collect()
+    assert (r["_c"], r["_chosen_rest"], r["prefix_turns"]) == ("own", 7, 1)
+
+
 # --- WARC -----------------------------------------------------------------------------------------
 
 
