@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.scratch import fresh_path as scratch_path
-from tallyweave.scratch import materialize
+from tallyweave.scratch import materialize, release
 from tallyweave.session import importable
 
-__all__ = ["importable", "materialize", "new_name", "partitions", "scratch_path", "table", "text_slices"]
+__all__ = ["importable", "materialize", "new_name", "partitions", "release", "scratch_path", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

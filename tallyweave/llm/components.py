@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps on DataFrames.
 
 Each step is a grouped minimum and a join, so a hub is pre-aggregated before the shuffle and
-nothing is collected. Every round is written to the shared folder, which cuts the lineage.
+nothing is collected. Every round is written to the shared folder, which cuts the lineage, and
+the round before it is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import materialize
+from tallyweave.llm.common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +34,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     seen = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        release(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (state["n"], state["s"]) == seen:
             break

@@ -13,14 +13,16 @@ other pivots, and the survivors verified by their real distance. A task emits li
 spanning forest, never all pairs. A combination with more rows than HOT is dealt again by
 the bits that it doesn't fix, in the same lossless way.
 
+Components are of fingerprints; the smallest doc_id is looked up when they are known.
+
 Defined results: a null or empty text has fingerprint zero; zero is linked like any other.
-Null doc_ids take part but name no component unless nothing else is in it (null then).
-Repeated rows get equal results. An empty table gives no rows. Extra columns are not read.
+Rows with a null doc_id link like any other but name no component; where a component has no
+other rows its name is null. Repeated rows get equal results. An empty table gives no rows.
+Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,20 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.bpe import slices
-from tallyweave.llm.common import importable, materialize
-from tallyweave.llm.components import component_labels
-from tallyweave.llm.minhash import shingles
+from tallyweave.llm.common import importable, materialize, text_slices
+from tallyweave.llm.nearsets import distances, grouped, least_of_components, near_sets, pivot_values, set_prints, stay_rows
 
-PIVOTS = 16
+#: Bytes of text that a worker holds as Python objects.
+SLICE = 1 << 20
 #: Rows of one combination above which its rows are dealt again.
 HOT = 4096
-#: Words of the sketch that bounds how much two shingle sets differ.
-SKETCH = 8
-#: Size from which a shingle set is cut into parts, a power of two; sketches of larger sets would tell nothing.
-WHOLE = 512
-#: Members of a block from which each round of comparisons with the others starts.
-ROUNDS = (0, 1, 64, 4096)
 _M = (1 << 64) - 1
 
 
@@ -99,7 +94,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for part in text_slices(batch.column(1), SLICE):
                 hashes = [shingle_hashes(t.encode().lower(), width) for t in part]
                 ends = np.cumsum([len(h) for h in hashes])
                 flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(ends[-1]))
@@ -132,16 +127,6 @@ def _keyed(df: DataFrame, masks: list[int]) -> DataFrame:
     return df.select("fp", F.explode(pick).alias("k")).select("fp", "k.mask", "k.under")
 
 
-def pivot_values(words: int = 1, count: int = PIVOTS, seed: int = 7) -> np.ndarray:
-    """Reference fingerprints, a row of words each."""
-    return np.random.default_rng(seed).integers(0, 1 << 64, (count, words), dtype=np.uint64)
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of rows of 64-bit words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
-
-
 def close_pairs(fps: np.ndarray, bits: int, pivots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows within `bits` bits, found by the pivot table, a step of the sorted order at a time."""
     table = distances(fps[:, None, :], pivots[None, :, :])
@@ -162,14 +147,25 @@ def close_pairs(fps: np.ndarray, bits: int, pivots: np.ndarray) -> Iterator[tupl
 
 def spanning_links(fps: np.ndarray, bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
     """Links of a spanning forest of the close pairs."""
-    label = np.arange(len(fps))
+    root = np.arange(len(fps))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
     out = []
     for left, right in close_pairs(fps, bits, pivots):
-        open_ = label[left] != label[right]
+        open_ = root[left] != root[right]  # roots were made direct after the last step
         for a, b in zip(left[open_].tolist(), right[open_].tolist(), strict=True):
-            if label[a] != label[b]:
-                label[label == max(label[a], label[b])] = min(label[a], label[b])
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
                 out.append((a, b))
+        if open_.any():
+            while (root != root[root]).any():
+                root = root[root]
     return out
 
 
@@ -178,7 +174,8 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 
     Rows come in that order, as (mask, under, name, fingerprint words...).
     """
-    rest = pivots = None
+    held: list[np.ndarray] = []
+    pivots = None
 
     def links(block: np.ndarray) -> pa.RecordBatch:
         """Of whole runs only."""
@@ -198,16 +195,18 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        got = np.stack([batch.column(k).to_numpy() for k in range(batch.num_columns)])
-        rest = got if rest is None else np.concatenate([rest, got], axis=1)
-        pivots = pivot_values(len(rest) - 3) if pivots is None else pivots
-        other = np.flatnonzero((rest[0] != rest[0, -1]) | (rest[1] != rest[1, -1]))
-        if len(other):
-            whole = int(other[-1]) + 1
-            yield links(rest[:, :whole])
-            rest = rest[:, whole:].copy()
-    if rest is not None and rest.shape[1]:
-        yield links(rest)
+        got = np.stack([c.to_numpy() for c in batch.columns])
+        pivots = pivot_values(len(got) - 3) if pivots is None else pivots
+        other = np.flatnonzero((got[0] != got[0, -1]) | (got[1] != got[1, -1]))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if held and (whole or tuple(held[-1][:2, -1]) != tuple(got[:2, 0])):  # what is held ends here or with the next rows
+            yield links(np.concatenate([*held, got[:, :whole]], axis=1))
+            held = []
+        elif whole:
+            yield links(got[:, :whole])
+        held.append(got[:, whole:].copy())
+    if held:
+        yield links(np.concatenate(held, axis=1))
 
 
 def _linked(rows: DataFrame, bits: int) -> DataFrame:
@@ -235,219 +234,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2) -> DataFr
     prints = materialize(fingerprints(docs, width=width), "fingerprints")
     named = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-names")
     links = materialize(fingerprint_links(named.select("fp"), bits), "fingerprint-links")
-    pairs = links.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(named.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-    labels = component_labels(pairs.select("u", "v"))
-    of = named.join(labels, named["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    of = least_of_components(named, "fp", links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def _remix(x: np.ndarray, k: int) -> np.ndarray:
-    """Another hash for each k."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def set_prints(docs: DataFrame, *, threshold: float, width: int) -> DataFrame:
-    """(doc_id, digest, n, head, part, size, sketch array<long>, prefix array<long>): the parts of every text's set of n different shingles.
+def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, row, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
 
-    A set of WHOLE hashes or more is cut by their first bits into 2**level parts. If two sets are alike by
-    the threshold, so are their shares of some part; a set emits the parts of its level and of the
-    levels of larger sets that it can be alike, so that the two have a level in common.
-    prefix is the size - ceil(threshold * size) + 1 least hashes of a part: parts alike by the threshold
-    share one of them. A bit of sketch is the parity of the hashes that fall on it, so two sketches differ
-    in no more bits than the parts in hashes. digest is a hash of the whole set; head marks one row of each text.
+    The prints are sets of shingles here (see nearsets), their Hamming sketches go through pivot tables, and
+    what the tables leave is verified on the shingles. No pair is lost, whatever the size of the input.
     """
     importable(docs.sparkSession)
-    level = lambda n: max(0, n.bit_length() - (WHOLE - 1).bit_length())
-
-    def parts(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for k in range(level(len(x)), level(int(len(x) / threshold + 1e-9)) + 1):
-            cuts = [int(c) for c in np.searchsorted(x, (np.arange(1, 1 << k) - (1 << k >> 1)) << (64 - k))] if k else []
-            for q, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(x)], strict=True)):
-                yield k << 32 | q, x[a:b]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for part in slices(batch.column(1).to_pylist(), 250_000):
-                sets = _sets(part, width)
-                cut = [(i, not k, p, x) for i, s in enumerate(sets) for k, (p, x) in enumerate(parts(s))]
-                row = np.array([c[0] for c in cut], np.int64)
-                pieces = [c[3] for c in cut]
-                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                mixed = _remix(np.concatenate(pieces).view(np.uint64), 1)
-                sketch = np.zeros(len(pieces) * SKETCH, np.uint64)
-                at = np.repeat(np.arange(len(pieces)) * SKETCH, size) + (mixed >> np.uint64(6)).astype(np.int64) % SKETCH
-                np.bitwise_xor.at(sketch, at, np.uint64(1) << (mixed & np.uint64(63)))
-                digest = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets), np.uint64, len(sets)).view(np.int64)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                least = [x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] for x in pieces]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row + done)), pa.array(digest[row]), pa.array(n[row]), pa.array([c[1] for c in cut]), pa.array([c[2] for c in cut], pa.int64()), pa.array(size),
-                        _lists(sketch.view(np.int64).reshape(-1, SKETCH)), _lists(least),
-                    ],
-                    names=["doc_id", "digest", "n", "head", "part", "size", "sketch", "prefix"],
-                )
-                done += len(part)
-
-    src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, digest long, n long, head boolean, part long, size long, sketch array<long>, prefix array<long>")
-
-
-def _sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """Sorted hashes of the different shingles of `width` lowered words, for each text."""
-    hashes, made = shingles([t.encode().lower() for t in texts], width)
-    return [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(made)[:-1])]
-
-
-def _lists(rows: list[np.ndarray] | np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-
-
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(name, shingles array<long>): sorted hashes of the different shingles of `width` lowered words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for part in slices(batch.column(1).to_pylist(), 250_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), _lists(_sets(part, width))], names=["name", "shingles"])
-                done += len(part)
-
-    return docs.mapInArrow(run, "name long, shingles array<long>")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Columns of longs, a row each, cut between runs of equal values of the first."""
-    rest: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        got = np.stack([c.to_numpy() for c in batch.columns])
-        other = np.flatnonzero(got[0] != got[0, -1])
-        whole = int(other[-1]) + 1 if len(other) else 0
-        if rest and (whole or rest[-1][0, -1] != got[0, 0]):
-            yield np.concatenate([*rest, got[:, :whole]], axis=1)
-            rest = []
-        elif whole:
-            yield got[:, :whole]
-        rest.append(got[:, whole:].copy())
-    if rest:
-        yield np.concatenate(rest, axis=1)
-
-
-def _first_of(*columns: np.ndarray) -> np.ndarray:
-    """Whether a row differs from the one before."""
-    out = np.ones(len(columns[0]), bool)
-    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    return out
+    prints = materialize(set_prints(docs, threshold=threshold, width=width), "set-prints")
+    return grouped(prints, near_sets(docs, prints, threshold=threshold, width=width))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, name, part) of the shingles of a part that several names have; those of the same part and names make one block.
+def keep_one(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The documents of each group's smallest doc_id, with their columns.
 
-    Rows come ordered, as (shingle, name, part). Blocks whose hashes should be equal only make a larger block.
-    """
-    for shingle, name, part in _runs(batches):
-        new = _first_of(shingle, name, part)
-        shingle, name, part = shingle[new], name[new], part[new]
-        starts = np.flatnonzero(_first_of(shingle))
-        sizes = np.diff(np.append(starts, len(name)))
-        several = np.repeat(sizes > 1, sizes)
-        block = np.repeat(np.add.reduceat(_remix(name.view(np.uint64) ^ _remix(part.view(np.uint64), 4), 3), starts).view(np.int64), sizes)[several]
-        name, part = name[several], part[several]
-        order = np.lexsort((part, name, block))
-        block, name, part = block[order], name[order], part[order]
-        new = _first_of(block, name, part)
-        yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(name[new]), pa.array(part[new])], names=["block", "name", "part"])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a block with different labels that may be alike; a is one of its members `first` to `last`, b a later one.
-
-    Rows come ordered, as (block, name, label, n, size, sketch words...). Sets or parts alike by the threshold have
-    sizes in that ratio at least and differ in (1 - t) / (1 + t) of their summed sizes at most.
+    Rows are judged by doc_id and text, so rows that share a doc_id may differ in whether they stay; equal
+    rows stay together. Documents without a doc_id go where their group has one and else stay.
     """
-    share = (1 - threshold) / (1 + threshold)
-    for got in _runs(batches):
-        block, name, label, n, size = got[:5]
-        sketch = np.ascontiguousarray(got[5:].T).view(np.uint64)
-        starts = np.flatnonzero(_first_of(block))
-        sizes = np.diff(np.append(starts, len(block)))
-        start = np.repeat(starts, sizes)
-        rank = np.arange(len(block)) - start
-        later = np.arange(len(block))
-        for i in range(first, min(last, int(sizes.max()) - 1)):
-            later = later[rank[later] > i]
-            a, b = start[later] + i, later
-            may = label[a] != label[b]
-            for of in (n, size):
-                may &= np.minimum(of[a], of[b]) >= threshold * np.maximum(of[a], of[b]) - 1e-9
-            may = np.flatnonzero(may)
-            may = may[distances(sketch[a[may]], sketch[b[may]]) <= share * (size[a] + size[b])[may] + 1e-9]
-            if len(may):
-                yield pa.RecordBatch.from_arrays([pa.array(name[a[may]]), pa.array(name[b[may]])], names=["a", "b"])
-
-
-def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(u, v): the pairs whose shingles are alike."""
-    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(asked.hint("merge"), "name", "left_semi")
-    sets = materialize(shingle_sets(texts, width), "near-shingles")
-    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.withColumn("_n", common).filter(F.col("_n") >= threshold * (F.size("x") + F.size("y") - F.col("_n")))
-    return materialize(alike.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-alike")
-
-
-def near_copies(docs: DataFrame, *, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, component_id): components of texts whose five-word shingles are alike by `threshold` or more.
-
-    No pair is lost, whatever the size of the input. Texts of equal shingle sets collapse first. Two
-    sets alike by the threshold share one of the least hashes of a part (see set_prints), so texts meet in
-    the blocks of those. Within a block a pair is discarded by its sizes or by its sketches, both of which
-    bound the likeness, and else verified on the shingles themselves. Only verified links unite. A block's
-    first member is compared with all others, then, round by round, further members with those that verified
-    links have not united with them, until each block is one component or all of it was compared; so
-    a large group takes no more pairs than it has rows in its blocks. Texts without words are equal to each other.
-    """
-    spark = docs.sparkSession
-    importable(spark)
-    prints = materialize(set_prints(docs, threshold=threshold, width=width), "set-prints")
-    named = materialize(prints.filter("head and doc_id is not null").groupBy("digest", "n").agg(F.min(F.col("doc_id").cast("long")).alias("name")), "set-names")
-    own = prints.withColumn("name", F.col("doc_id").cast("long")).join(named.hint("merge"), ["digest", "n", "name"], "left_semi")
-    own = materialize(own.select("name", "n", "part", "size", "sketch", "prefix"), "set-own")
-    # a shingle of different levels is a different one
-    dealt = own.select(F.explode("prefix").alias("shingle"), "name", "part").select(F.col("shingle").bitwiseXOR(F.shiftright("part", 32)).alias("shingle"), "name", "part")
-    dealt = dealt.repartition("shingle").sortWithinPartitions("shingle", "name", "part")
-    blocks = materialize(dealt.mapInArrow(_shared, "block long, name long, part long").distinct(), "near-blocks")
-    words = [F.col("sketch")[w].alias(f"s{w}") for w in range(SKETCH)]
-    rows = materialize(blocks.join(own.select("name", "part", "n", "size", *words).hint("merge"), ["name", "part"]).select("block", "name", "n", "size", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
-    links, labels = None, None
-    for first, last in zip(ROUNDS, [*ROUNDS[1:], 1 << 62], strict=True):
-        if labels is None:
-            rows = rows.withColumn("label", F.col("name"))
-        else:
-            rows = rows.drop("label").join(labels.hint("merge"), rows["name"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "name"))
-            left = rows.groupBy("block").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter((F.col("k") > first + 1) & (F.col("x") != F.col("y")))
-            rows = materialize(rows.join(left.select("block").hint("merge"), "block", "left_semi"), "near-rows")
-            if rows.isEmpty():
-                break
-        dealt = rows.select("block", "name", "label", "n", "size", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
-        pairs = dealt.mapInArrow(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold), "a long, b long")
-        pairs = materialize(pairs.distinct(), "near-pairs")
-        if labels is not None and pairs.isEmpty():
-            continue
-        alike = _alike(docs, pairs, threshold, width)
-        links = alike if links is None else links.unionByName(alike)
-        labels = materialize(component_labels(links), "near-labels")
-    of = named.join(labels, named["name"] == labels["node"], "left").select("digest", "n", F.coalesce("label", "name").alias("component_id"))
-    return prints.filter("head").select("doc_id", "digest", "n").join(of, ["digest", "n"], "left").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
-    """The documents of each group's smallest doc_id, with their columns; documents without a doc_id stay."""
-    stays = materialize(near_copies(docs, threshold=threshold).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    return docs.join(stays.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = near_copies(docs, threshold=threshold, width=width)
+    return stay_rows(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
