@@ -6,8 +6,8 @@ hashes (multiply and add, modulo 2**64, upper bits) keeps its minimum over a tex
 A fingerprint is the upper 16 bits of each minimum, in base64. The share of equal components
 estimates the Jaccard likeness of two texts' shingle sets.
 
-`near_duplicate_links` joins band keys of the signatures in Spark and verifies the Jaccard
-likeness of what meets on the shingle sets themselves.
+`bands` joins band keys of the signatures in Spark and verifies the Jaccard likeness of what
+meets on the shingle sets themselves.
 
 Defined results: null texts count as empty. Texts of fewer words than a shingle have one
 shingle, the whole; texts without words have none, and a fingerprint of their own that is
@@ -22,12 +22,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, partitions
+from tallyweave.llm.common import importable, partitions
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -99,33 +98,31 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a >> np.uint32(16)) == (b >> np.uint32(16))).mean(axis=1)
 
 
+def band_keys(made: np.ndarray) -> np.ndarray:
+    """Texts x BANDS array of longs from texts' signatures, a key for each run of components."""
+    whole = made.reshape(len(made), BANDS, -1).astype(np.uint64) * _C[: PERMUTATIONS // BANDS]
+    return _mix(np.add.reduce(whole, axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _with_neighbours(docs: DataFrame) -> DataFrame:
     """(bucket, halo, key, doc_id, text): runs of doc_ids, each followed (halo 1) by the row that comes next.
 
-    Buckets are ranges of doc_id of about equal row counts, found from a histogram of doc_id alone.
+    Buckets are ranges of doc_id of about equal row counts, cut at quantiles of doc_id.
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)))
     wanted = 10 * partitions(spark)
-    cells = 32 * wanted
     ids = src.filter("doc_id is not null").select(F.col("doc_id").cast("double").alias("x"))
-    low, high = (ids.approxQuantile("x", [0.001, 0.999], 0.0005) or [0.0, 0.0])[:2]
-    step = max((high - low) / cells, 1e-9)
-    cell = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col("key").cast("double") - F.lit(low)) / F.lit(step)))).cast("int")
-    counts = {r["cell"]: r for r in src.select("key", cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.max("key").alias("most")).collect()}  # `cells` rows at most
-    if not counts:
-        return src.select(F.lit(0).alias("bucket"), F.lit(0).alias("halo"), "key", "doc_id", "text")
-    total, seen, bucket_of, most = sum(r["n"] for r in counts.values()), 0, [], {}
-    for c in range(cells):
-        bucket_of.append(seen * wanted // total if seen < total else wanted - 1)
-        if c in counts:
-            most[bucket_of[-1]] = counts[c]["most"]
-            seen += counts[c]["n"]
+    cuts = ids.approxQuantile("x", [k / wanted for k in range(1, wanted)], 0.25 / wanted)
+    from pyspark.ml.feature import Bucketizer
+
+    find = Bucketizer(splits=[-float("inf"), *sorted(set(cuts or [0.0])), float("inf")], inputCol="x", outputCol="b")
+    own = find.transform(src.withColumn("x", F.col("key").cast("double"))).select(F.col("b").cast("int").alias("bucket"), F.lit(0).alias("halo"), "key", "doc_id", "text")
+    most = {r["bucket"]: r["most"] for r in own.groupBy("bucket").agg(F.max("key").alias("most")).collect()}  # a row a bucket
     used = sorted(most)
-    follows = [(most[a], b) for a, b in zip([used[-1], *used], used, strict=False)]  # bucket b ends with what has the largest id below it
-    own = src.withColumn("bucket", F.element_at(F.lit(bucket_of), cell + 1)).withColumn("halo", F.lit(0))
-    small = F.broadcast(spark.createDataFrame(follows, "key long, bucket int"))  # a row a bucket
-    return own.select("bucket", "halo", "key", "doc_id", "text").unionByName(src.join(small, "key").select("bucket", F.lit(1).alias("halo"), "key", "doc_id", "text"))
+    follows = [(most[a], b) for a, b in zip([used[-1], *used], used, strict=False)] if used else []  # bucket b ends with what has the largest id below it
+    small = F.broadcast(spark.createDataFrame(follows, "key long, bucket int"))
+    return own.unionByName(src.join(small, "key").select("bucket", F.lit(1).alias("halo"), "key", "doc_id", "text"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -159,7 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         waiting, size, kind = [], 0, pa.int64()
         for batch in batches:
             kind = batch.column(2).type
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in (x for at in range(0, batch.num_rows, 256) for x in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)):
                 waiting.append(row)
                 size += len(row[3])
                 if size > 2_000_000 and len(waiting) > 1:
@@ -172,55 +169,3 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), "text").select("bucket", "halo", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _banded(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, shingles): a row for each band key of each distinct text, under its smallest doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t.encode() for t in part.column(1).to_pylist()]
-                hashes, made = shingles(texts, width)
-                sets = [np.unique(x).view(np.int64) for x in np.split(hashes, np.cumsum(made)[:-1])]
-                keys = _mix(np.add.reduce(signatures(texts, width).reshape(len(texts), BANDS, -1).astype(np.uint64) * _C[: PERMUTATIONS // BANDS], axis=2) + np.arange(BANDS, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["doc_id", "keys", "shingles"])
-
-    texts = docs.filter("text is not null and doc_id is not null").groupBy(F.sha2("text", 256)).agg(F.min(F.struct("doc_id", "text")).alias("m")).select(F.col("m.doc_id").cast("long").alias("doc_id"), "m.text")
-    made = texts.mapInArrow(run, "doc_id long, keys array<long>, shingles array<long>")
-    return made.select("doc_id", F.explode("keys").alias("key"), "shingles")
-
-
-def near_duplicate_links(docs: DataFrame, *, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """(u, v): links between different texts, named by their smallest doc_id, of Jaccard likeness `threshold` or more.
-
-    Links of a band's members form a spanning forest: pairs that links already connect are not compared again.
-    """
-    importable(docs.sparkSession)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        ids, sets = rows["doc_id"].tolist(), [np.asarray(s) for s in rows["shingles"]]
-        root = list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                if find(i) == find(j) or min(len(sets[i]), len(sets[j])) < threshold * max(len(sets[i]), len(sets[j])):
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common and common >= threshold * (len(sets[i]) + len(sets[j]) - common):
-                    root[find(j)] = find(i)
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    banded = materialize(_banded(docs, width), "minhash-bands")
-    shared = banded.groupBy("key").count().filter("count > 1").select("key")
-    return banded.join(shared, "key", "left_semi").groupBy("key").applyInPandas(run, "u long, v long").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, linededup, minhash, packing, preference, sharding, simhash, topk, toxicity, warc
+from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, sharding, simhash, topk, toxicity, warc
 from tallyweave.llm.common import importable, table
 
 
@@ -36,6 +36,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join of operator 4 over all documents."""
+    return bands.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "component_id")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
@@ -64,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, minhash_groups)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, linededup, minhash, packing, simhash, toxicity
+from tallyweave.llm import bands, bpe, linededup, minhash, nearsets, packing, simhash, toxicity
 from tallyweave.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, count int, name string, _k int"
@@ -212,6 +212,15 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_chain_through_rows_without_an_id(spark, monkeypatch):
+    prints = {"a": 0, "b": 3, "c": 15, "d": 255 << 20}
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (7, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    value = F.create_map(*[F.lit(x) for kv in prints.items() for x in kv])[F.col("text")].cast("long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", value.alias("fp")))
+    got = sorted(((r["fp"], r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(0, 1, 1), (3, None, 1), (15, 7, 1), (255 << 20, None, None), (255 << 20, None, None)], key=str)
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_simhash_links_lose_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
@@ -255,11 +264,15 @@ def brute_copies(rows, threshold=0.8):
     return {i: rows[r][0] for (i, _), r in zip(rows, root, strict=True)}
 
 
-def near_copies(spark, rows):
-    return {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+SEARCHES = [simhash.near_copies, bands.near_duplicates]
+
 
+def near_copies(spark, rows, search=simhash.near_copies):
+    return {r["doc_id"]: r["component_id"] for r in search(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
-def test_near_copies_with_contiguous_changes(spark):
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_near_copies_with_contiguous_changes(spark, search):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
     texts = []
@@ -274,7 +287,32 @@ def test_near_copies_with_contiguous_changes(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     want = brute_copies(rows)
     assert len(set(want.values())) < 0.6 * len(rows)
-    assert near_copies(spark, rows) == want
+    assert near_copies(spark, rows, search) == want
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_near_copies_of_the_table(spark, sf, search):
+    rows = sorted(docs(spark, sf))
+    assert near_copies(spark, rows, search) == brute_copies(rows)
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_near_copies_of_odd_rows(spark, odd, none, search):
+    got = sorted(((r["doc_id"], r["component_id"]) for r in search(odd).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 3), (None, None), (4, 3), (5, 5), (6, 6)], key=str)
+    assert search(none).count() == 0
+
+
+def test_near_copies_name_rows_by_their_text(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    a, b, c = ([word() for _ in range(100)] for _ in range(3))
+    rows = [(3, a), (5, [*a, "x"]), (5, b), (None, [*b, "y"]), (None, c), (5, b), (None, c)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").withColumn("_kept_doc", F.lit(1))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(3, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (None, " ".join(c)), (None, " ".join(c))]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
 def test_near_copies_verify_before_they_unite(spark):
@@ -292,7 +330,7 @@ def test_near_copies_verify_before_they_unite(spark):
 
 
 def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "ROUNDS", (0, 1, 4, 16))
+    monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 16))
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     base = [word() for _ in range(300)]
@@ -332,6 +370,51 @@ def test_minhash_edits(spark, sf, odd, none):
     assert minhash.fingerprint_edits(none).count() == 0
 
 
+def brute_signature(text, width=5):
+    """Minima of the universal hashes over a text's shingles, in whole numbers modulo 2**64."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    def word(w):
+        power, total = 1, len(w)
+        for i, c in enumerate(w):
+            power = power * 0x9E3779B97F4A7C15 & full if i % 4096 else 0x9E3779B97F4A7C15
+            total += power * (c + (i >> 12) * 257 + 1)
+        return mix(total & full)
+
+    words = [word(w) for w in text.encode().split()]
+    many = min(len(words), width)
+    made = [mix((many + sum(x * int(c) for x, c in zip(words[i : i + many], minhash._C))) & full) for i in range(len(words) - many + 1)] if words else []
+    return [min(((h * int(a) + int(b)) & full for h in made), default=full) >> 32 for a, b in zip(minhash._A, minhash._B, strict=True)]
+
+
+def test_minhash_signatures_against_brute_force():
+    rng = random.Random(7)
+    texts = ["", " \t", "one", "one two three four", "one two three four five", "漢字 é x 😀 a b", "x" * 9000 + " a b c d e"]
+    texts += [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    made = minhash.signatures([t.encode() for t in texts])
+    for text, own in zip(texts, made.tolist(), strict=True):
+        assert own == brute_signature(text)
+
+
+def test_minhash_edit_rows_of_an_odd_table(odd):
+    """Descending doc_id, nulls last, repeats by text; the last row's edit takes from the first."""
+    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, row in enumerate(order):
+        text, after = row[1] or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        make = lambda t: minhash.fingerprint(np.array(brute_signature(t), np.uint32))
+        want.append((row[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), make(text), make(edited)))
+    got = minhash.fingerprint_edits(odd).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_minhash_estimates_jaccard():
     rng = random.Random(5)
     words = [str(rng.random()) for _ in range(600)]
@@ -343,15 +426,6 @@ def test_minhash_estimates_jaccard():
         assert abs(minhash.likeness(a[None], b[None])[0] - want) < 0.15
 
 
-def test_minhash_links(spark):
-    rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
-    base = [word() for _ in range(200)]
-    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base[:-1], word()])), (4, " ".join(word() for _ in range(200))), (5, None)]
-    got = minhash.near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["u"], r["v"]) for r in got} == {(1, 3)}
-
-
 # --- packing -------------------------------------------------------------------------------------
 
 
@@ -495,6 +569,61 @@ def test_toxicity_of_long_words():
     assert np.allclose(toxicity.table_values(words, table), want)
 
 
+def test_toxicity_of_windows_of_a_long_word(monkeypatch):
+    rng = random.Random(13)
+    table = np.random.default_rng(12).random(64**3, np.float32) * toxicity._WHOLE
+    words = ["".join(rng.choice("abcdefghij.") for _ in range(n)) for n in (300, 301, 999)] + ["a" * 500]
+    want = toxicity.table_values(words, table)
+    monkeypatch.setattr(toxicity, "CELLS", 100)
+    assert np.allclose(toxicity.table_values(words, table), want)
+
+
+def brute_value(word, weights):
+    """Sum over gapped three-character subsequences, from their definition."""
+    code = lambda c: int(toxicity._CODE[ord(c)])
+    total = norm = 0.0
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
+                three = [code(word[x]) for x in (i, j, k)]
+                if toxicity._GAP not in three:
+                    w = toxicity.DECAY ** (k - i - 2)
+                    total += w * weights[three[0] << 12 | three[1] << 6 | three[2]]
+                    norm += w * w
+    return total / np.sqrt(norm or 1.0)
+
+
+def test_toxicity_scores_against_brute_force():
+    rng = random.Random(14)
+    texts = [sentences(rng, 30, ["blockhead"]) for _ in range(60)] + [sentences(rng, 30) for _ in range(120)]
+    machine = toxicity.fit(texts, [1] * 60 + [0] * 120)
+    for text in ["", "a b", "block.head and b l o c k h e a d", *texts[:5], *texts[-5:]]:
+        values = sorted((brute_value(w, machine.table) + machine.bias for w in set(toxicity.words_of(text))), reverse=True)
+        x = [min(max(v, -1.5), 1.5) for v in [*values, -1.5, -1.5][:2]]
+        a, b, c = machine.slope
+        assert abs(machine.scores([text])[0] - 1 / (1 + np.exp(-(a + b * x[0] + c * x[1])))) < 1e-4
+
+
+def test_toxicity_learns_from_bounded_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share: seen.append((sorted(texts), sorted(labels))))
+    keys = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    df = spark.createDataFrame([(k, "x" * 1000 if n == 0 else f"text {n} " * 4) for n, k in enumerate(keys)] + [(keys[1], "text 1 " * 4), (keys[2], "other text")], "doc_id long, text string").withColumn("row", F.lit(1))
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(keys)], "doc_id long, toxic int")
+    toxicity.train(df, labels, chars=500)
+    toxicity.train(df, labels, chars=100)
+    toxicity.train(df, labels, sample=1)
+    assert len(seen[0][0]) == 8 and "other text" in seen[0][0]
+    assert 0 < sum(map(len, seen[1][0])) <= 100
+    assert 2 <= len(seen[2][0]) <= 3 and set(seen[2][1]) == {0, 1}
+
+
+def test_keep_clean_with_a_score_column(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string").withColumn("_score", F.lit("own"))
+    kept = toxicity.keep_clean(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert kept.columns == df.columns and [r["_score"] for r in kept.collect()] == ["own"] * 2
+
+
 def test_toxicity_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(odd, labels)
