@@ -116,6 +116,15 @@ def source_means(df: DataFrame, scores: str, *, source: str = "data_source") ->
     return df.groupBy(F.col(source).alias("data_source")).agg(F.avg(per).alias("score"))
 
 
+def evaluate(df: DataFrame, score: Callable[[Column, Column, Column], Column], *, responses: str = "responses", source: str = "data_source", truth: str = "reward_model.ground_truth") -> DataFrame:
+    """(name, value): "test_score/<source>" with the mean over rows of each row's mean score over its responses.
+
+    score(source, response, truth) is a column. Rows without responses take no part.
+    """
+    scored = df.select(F.col(source).alias("data_source"), F.transform(responses, lambda r: score(F.col(source), r, F.col(truth)).cast("double")).alias("s")).filter(F.size("s") > 0)
+    return source_means(scored, "s").select(F.concat(F.lit("test_score/"), "data_source").alias("name"), F.col("score").alias("value"))
+
+
 def section(variable: str | Column, metric: str | Column, core: str, n_max: Column) -> Column:
     """val-core for the core variable's mean, maj and best at the most samples, else val-aux."""
     variable, metric = (F.col(c) if isinstance(c, str) else c for c in (variable, metric))

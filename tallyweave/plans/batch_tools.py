@@ -9,6 +9,7 @@ from tallyweave.functions import managers as R
 from tallyweave.functions import scoring as S
 from tallyweave.operators import balance as B
 from tallyweave.operators import batches as H
+from tallyweave.operators import evaluation as E
 from tallyweave.operators import flops as W
 from tallyweave.operators import metrics as M
 from tallyweave.operators import verbs as V
@@ -16,6 +17,7 @@ from tallyweave.plans.batch_queries import BATCH, batch
 from tallyweave.plans.tables import TOK, query, r6, rollouts, table
 from tallyweave.scratch import fresh_path
 from tallyweave.sources import datasets as D
+from tallyweave.sources import files
 from tallyweave.sources import growing as G
 from tallyweave.sources import preprocess as P
 from tallyweave.sources import sinks as K
@@ -163,6 +165,36 @@ def chat_prompts(spark, sf_dir):
     return got.select(F.col("prompt")[0]["content"].alias("content"), F.col("reward_model.ground_truth").alias("truth"), F.element_at("extra_info", "index").alias("index"))
 
 
+@query("image_questions", "SELECT CAST(item_id AS VARCHAR) AS index, text AS question, CAST(item_id % 7 AS VARCHAR) AS truth, 2 AS images FROM benchmark")
+def image_questions(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("problem"), (F.col("item_id") % 7).cast("string").alias("answer"), F.array(F.lit(b"a"), F.lit(b"b")).alias("images"))
+    got = P.image_questions(b, "train")
+    return got.select(F.element_at("extra_info", "index").alias("index"), F.element_at("extra_info", "question").alias("question"), F.col("reward_model.ground_truth").alias("truth"), F.size("images").alias("images"))
+
+
+@query("spoken_turns", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY conv_id")
+def spoken_turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    turn = F.struct("turn", F.when(F.col("role") == "assistant", "gpt").otherwise("human").alias("from"), F.col("text").alias("value"))
+    made = P.spoken_turns(c.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("conversations")))
+    return made.select("conv_id", F.size("messages").cast("long").alias("turns"), F.size(F.filter("messages", lambda m: m["role"] == "assistant")).cast("long").alias("answers"))
+
+
+@query("evaluation_scores", "SELECT 'test_score/' || o_orderpriority AS name, round(avg(((o_orderstatus = 'F')::INT + 1) / 2.0::DOUBLE), 6) AS value FROM orders GROUP BY o_orderpriority")
+def evaluation_scores(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("data_source"), F.array("o_orderstatus", F.lit("F")).alias("responses"), F.lit("F").alias("truth"))
+    got = E.evaluate(o, lambda source, response, truth: (response == truth).cast("double"), truth="truth")
+    return got.select("name", r6("value", "value"))
+
+
+@query("dataset_resumed", "SELECT row_number() OVER (ORDER BY item_id) - 1 AS row_id, item_id FROM benchmark")
+def dataset_resumed(spark, sf_dir):
+    """A dataset made again from its state as text, its files copied first."""
+    file = files.copied(spark, f"{sf_dir}/benchmark.parquet", fresh_path(spark, "copies"))
+    state = files.DatasetState.of(file, ["item_id"]).to_json()
+    return files.DatasetState.from_json(state).resume(spark).select("row_id", "item_id")
+
+
 @query("retrieved_passages", "SELECT item_id, 'Doc 1 (Title: first ' || item_id || ')' || chr(10) || 'line' || chr(10) || chr(10) || 'Doc 2 (Title: second)' AS shown FROM benchmark")
 def retrieved_passages(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")

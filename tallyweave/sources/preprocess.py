@@ -6,6 +6,8 @@ struct<style, ground_truth>, extra_info map<string, string>.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,22 @@ from tallyweave.functions import scoring as S
 #: Instructions that prompts end with.
 STEPS_MARKED = 'Let\'s think step by step and output the final answer after "####".'
 STEPS_BOXED = "Let's think step by step and output the final answer within \\boxed{}."
+THINK_FIRST = (
+    "You FIRST think about the reasoning process as an internal monologue and then provide the final answer. "
+    "The reasoning process MUST BE enclosed within <think> </think> tags. The final answer MUST BE put in \\boxed{}."
+)
 
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def canonical(df: DataFrame, source: str | Column, prompt: Column, ability: str, truth: Column, split: str, index: Column, extra: dict[str, Column] | None = None, style: str = "rule") -> DataFrame:
+def canonical(df: DataFrame, source: str | Column, prompt: Column, ability: str, truth: Column, split: str, index: Column, extra: dict[str, Column] | None = None, style: str = "rule", keep: Sequence[str] = ()) -> DataFrame:
     info = {"split": F.lit(split), "index": index.cast("string"), **(extra or {})}
     pairs = [x for k, v in info.items() for x in (F.lit(k), v.cast("string"))]
     return df.select(
         (F.lit(source) if isinstance(source, str) else source).alias("data_source"), prompt.alias("prompt"), F.lit(ability).alias("ability"),
-        F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.create_map(*pairs).alias("extra_info"),
+        F.struct(F.lit(style).alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.create_map(*pairs).alias("extra_info"), *keep,
     )
 
 
@@ -86,6 +92,22 @@ def search_questions(df: DataFrame, split: str, system: str, prefix: str, index:
     return canonical(df, F.concat(F.lit("searchR1_"), F.col("data_source")), turns, "fact-reasoning", truth, split, F.col(index), {"question": F.col("question")})
 
 
+def image_questions(df: DataFrame, split: str, source: str = "hiyouga/geometry3k", question: str = "problem", answer: str = "answer", images: str = "images", index: str = "row_id") -> DataFrame:
+    """Questions about images, which pass through beside the prompt."""
+    turns = F.array(message("user", F.concat(F.col(question), F.lit(" " + THINK_FIRST))))
+    return canonical(df, source, turns, "math", F.col(answer), split, F.col(index), {"answer": F.col(answer), "question": F.col(question)}, keep=[images])
+
+
+#: Names of speakers and their roles.
+SPEAKERS = {"gpt": "assistant", "human": "user"}
+
+
+def spoken_turns(df: DataFrame, turns: str = "conversations") -> DataFrame:
+    """array<struct<from, value>> turns as a messages column; an unknown speaker is an error."""
+    role = lambda t: F.when(t["from"] == "gpt", SPEAKERS["gpt"]).when(t["from"] == "human", SPEAKERS["human"]).otherwise(F.raise_error(F.concat(F.lit("unknown speaker "), F.coalesce(t["from"], F.lit("null")))))
+    return df.withColumn("messages", F.transform(turns, lambda t: F.struct(role(t).alias("role"), t["value"].alias("content")))).drop(turns)
+
+
 def conversations(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
     """Question and answer as a messages column."""
     return df.withColumn("messages", F.array(message("user", F.col(question)), message("assistant", F.col(answer))))
