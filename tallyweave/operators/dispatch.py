@@ -33,7 +33,10 @@ def replicas(df: DataFrame, mapping: Sequence[int]) -> DataFrame:
 
 
 def run(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """f on each rank's rows, in row order; what it returns keeps its rank."""
+    """f on each rank's rows, in row order; what it returns keeps its rank.
+
+    A rank's rows are one task's, as a rank's share of a training batch is; f that needs no whole rank goes to `stream`.
+    """
 
     def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return f(rows.sort_values("row_id")).assign(rank=key[0])

@@ -227,11 +227,23 @@ def run_positions(df: DataFrame, key: str, out: str = "run_pos") -> DataFrame:
     return made.join(small, part).withColumn(out, (F.col(ID) - F.coalesce(start, carried)).cast("long")).select(*df.columns, out)
 
 
-def sample_rows(df: DataFrame, count: int, shuffle: bool = False, seed: int = 0, rows: int | None = None) -> DataFrame:
-    """At most `count` rows: the first ones, or with shuffle those numpy's seeded generator picks, in row order of the pick."""
+def hashed_rows(df: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """`count` rows in order of a seeded hash of row_id, numbered anew; each task keeps its first ones only."""
+    at = order.fresh(df, "_hash")
+    taken = df.withColumn(at, F.xxhash64(F.lit(seed), ID)).orderBy(at, ID).limit(count)
+    return numbered(taken, [at, ID], ID).select(*df.columns)
+
+
+def sample_rows(df: DataFrame, count: int, shuffle: bool = False, seed: int = 0, rows: int | None = None, draw: str = "numpy") -> DataFrame:
+    """At most `count` rows: the first ones, or with shuffle a seeded draw in the order of the draw.
+
+    draw: "numpy" gives what numpy's generator picks and holds up to 50 * count numbers on the driver; "hash" holds none.
+    """
     n = rows if rows is not None else df.count()
     if not 0 < count < n:
         return df
     if not shuffle:
         return df.filter(F.col(ID) < count)
+    if draw == "hash":
+        return hashed_rows(df, count, seed)
     return gather(df, np.random.default_rng(seed).choice(n, size=count, replace=False).tolist())

@@ -25,7 +25,7 @@ def _outcome(value: str, where: str = "") -> str:
 @query("flagship_grpo_by_segment", f"""WITH {GRP}, a AS (SELECT data_source, (s - CASE WHEN c = 1 THEN 0 ELSE mu END) / (CASE WHEN c = 1 THEN 1 ELSE sd END + 1e-6) AS a, s FROM g)
 SELECT data_source, count(*) AS responses, round(avg(s), 6) + 0.0 AS score_mean, round(avg(a), 6) + 0.0 AS advantage_mean, round(stddev_samp(a), 6) + 0.0 AS advantage_std, round(min(a), 6) + 0.0 AS advantage_min, round(max(a), 6) + 0.0 AS advantage_max FROM a GROUP BY data_source""")
 def flagship(spark, sf_dir):
-    scored = rollouts(spark, sf_dir).select("row_id", "uid", "data_source", A.array_sum("rewards").alias("s"))
+    scored = rollouts(spark, sf_dir, "rewards").select("row_id", "uid", "data_source", A.array_sum("rewards").alias("s"))
     g = S.group_stats(F.col("s"), "uid")
     one = g["n"] == 1
     made = scored.withColumn("a", (F.col("s") - F.when(one, 0.0).otherwise(g["mean"])) / (F.when(one, 1.0).otherwise(g["std"]) + 1e-6))
@@ -34,12 +34,12 @@ def flagship(spark, sf_dir):
 
 @query("masked_mean_rows", f"WITH {TOK} SELECT row_id, round(sum(r * m), 6) + 0.0 AS total, round(sum(r * m) / (sum(m) + 1e-8), 6) + 0.0 AS mean FROM tok GROUP BY row_id")
 def masked_mean_rows(spark, sf_dir):
-    return rollouts(spark, sf_dir).select("row_id", r6(A.masked_sum("rewards", "mask"), "total"), r6(A.masked_mean("rewards", "mask"), "mean"))
+    return rollouts(spark, sf_dir, "rewards", "mask").select("row_id", r6(A.masked_sum("rewards", "mask"), "total"), r6(A.masked_mean("rewards", "mask"), "mean"))
 
 
 @query("masked_moments", f"WITH {TOK} SELECT CAST(sum(m) AS DOUBLE) AS n, round(sum(r * m), 6) AS total, round(avg(r) FILTER (m = 1), 6) AS mean, round(var_samp(r) FILTER (m = 1), 6) AS var FROM tok")
 def masked_moments(spark, sf_dir):
-    return S.masked_moments(rollouts(spark, sf_dir), "rewards", "mask").select("n", r6("sum", "total"), r6("mean", "mean"), r6("var", "var"))
+    return S.masked_moments(rollouts(spark, sf_dir, "rewards", "mask"), "rewards", "mask").select("n", r6("sum", "total"), r6("mean", "mean"), r6("var", "var"))
 
 
 def _whiten_sql(shift: str) -> str:
@@ -48,46 +48,46 @@ def _whiten_sql(shift: str) -> str:
 
 @query("masked_whiten", _whiten_sql(""))
 def masked_whiten(spark, sf_dir):
-    made = S.whiten(rollouts(spark, sf_dir), "rewards", "mask", "white")
+    made = S.whiten(rollouts(spark, sf_dir, "rewards", "mask"), "rewards", "mask", "white")
     return S.tokens(made, "white", keep=("row_id",)).select("row_id", "pos", r6("white", "white"))
 
 
 @query("masked_whiten_keep_mean", _whiten_sql(" + mu"))
 def masked_whiten_keep_mean(spark, sf_dir):
-    made = S.whiten(rollouts(spark, sf_dir), "rewards", "mask", "white", shift_mean=False)
+    made = S.whiten(rollouts(spark, sf_dir, "rewards", "mask"), "rewards", "mask", "white", shift_mean=False)
     return S.tokens(made, "white", keep=("row_id",)).select("row_id", "pos", r6("white", "white"))
 
 
 @query("group_mean_std", f"WITH {GRP} SELECT uid, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 0 ELSE avg(s) END, 6) + 0.0 AS mean, round(CASE WHEN count(*) = 1 THEN 1 ELSE sqrt(greatest(var_samp(s), 1e-6)) END, 6) + 0.0 AS std FROM s GROUP BY uid")
 def group_mean_std(spark, sf_dir):
-    scored = rollouts(spark, sf_dir).select("uid", A.array_sum("rewards").alias("s"))
+    scored = rollouts(spark, sf_dir, "rewards").select("uid", A.array_sum("rewards").alias("s"))
     return S.group_mean_std(scored, "s", "uid").select("uid", "n", r6("mean", "mean"), r6("std", "std"))
 
 
 @query("masked_mean_exact", f"WITH {TOK} SELECT round(sum(r * m) / sum(m), 6) AS mean FROM tok")
 def masked_mean_exact(spark, sf_dir):
-    return S.masked_mean_exact(rollouts(spark, sf_dir), "rewards", "mask").select(r6("mean", "mean"))
+    return S.masked_mean_exact(rollouts(spark, sf_dir, "rewards", "mask"), "rewards", "mask").select(r6("mean", "mean"))
 
 
 @query("mean_max_min_std", f"WITH {GRP} SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max, round(min(s), 6) AS min, round(stddev_samp(s), 6) AS std FROM s")
 def mean_max_min_std(spark, sf_dir):
-    scored = rollouts(spark, sf_dir).select(A.array_sum("rewards").alias("s"))
+    scored = rollouts(spark, sf_dir, "rewards").select(A.array_sum("rewards").alias("s"))
     return S.mean_max_min_std(scored, "s").select(*[r6(c, c) for c in ("mean", "max", "min", "std")])
 
 
 @query("adv_grpo", _outcome("(s - CASE WHEN c = 1 THEN 0 ELSE mu END) / (CASE WHEN c = 1 THEN 1 ELSE sd END + 1e-6)"))
 def adv_grpo(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "grpo"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "grpo"))
 
 
 @query("adv_grpo_without_std", _outcome("s - CASE WHEN c = 1 THEN 0 ELSE mu END"))
 def adv_grpo_without_std(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "grpo", by_std=False))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "grpo", by_std=False))
 
 
 @query("adv_grpo_vectorized", _outcome("(s - CASE WHEN c = 1 THEN 0 ELSE mu END) / (CASE WHEN c = 1 THEN 1 ELSE sqrt(greatest(sd * sd, 1e-6)) END + 1e-6)"))
 def adv_grpo_vectorized(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "grpo_vectorized"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "grpo_vectorized"))
 
 
 @query("adv_grpo_passk", f"""WITH {GRP}, k AS (SELECT *, row_number() OVER o AS k, s - lead(s) OVER o AS d FROM g WHERE c > 1 WINDOW o AS (PARTITION BY uid ORDER BY round(s, 9) DESC, row_id))
@@ -95,24 +95,24 @@ SELECT t.row_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN k = 1 THEN d / (sd
 def adv_grpo_passk(spark, sf_dir):
     from pyspark.sql import Window
 
-    made = rollouts(spark, sf_dir).withColumn("_n", F.count("*").over(Window.partitionBy("uid"))).filter("_n > 1").drop("_n")
+    made = rollouts(spark, sf_dir, "rewards", "mask").withColumn("_n", F.count("*").over(Window.partitionBy("uid"))).filter("_n > 1").drop("_n")
     return _long(V.advantages(made, "grpo_passk"))
 
 
 @query("adv_rloo", _outcome("CASE WHEN c > 1 THEN (s - mu) * c / (c - 1) ELSE s END"))
 def adv_rloo(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "rloo"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "rloo"))
 
 
 @query("adv_rloo_vectorized", _outcome("(c * s - ss) / greatest(c - 1, 1)"))
 def adv_rloo_vectorized(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "rloo_vectorized"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "rloo_vectorized"))
 
 
 @query("adv_opo", f"""WITH {GRP}, o AS (SELECT *, sum(n * s) OVER w / sum(n) OVER w AS b FROM g WINDOW w AS (PARTITION BY uid))
 SELECT t.row_id, CAST(pos AS INTEGER) AS pos, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m + 1e-9, 6) + 0.0 AS advantages, round((s - CASE WHEN c = 1 THEN 0 ELSE b END) * m + 1e-9, 6) + 0.0 AS returns FROM tok t JOIN o USING (row_id)""")
 def adv_opo(spark, sf_dir):
-    made = V.advantages(rollouts(spark, sf_dir), "opo")
+    made = V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "opo")
     up = lambda c: F.transform(c, lambda x: x + 1e-9)  # noqa: E731  weighted means often end in a 5
     return _long(made.withColumn("advantages", up("advantages")).withColumn("returns", up("returns")))
 
@@ -120,14 +120,14 @@ def adv_opo(spark, sf_dir):
 @query("adv_gpg", f"""WITH {GRP}, k AS (SELECT count(*) / greatest(count(*) FILTER (s <> 0), 1) AS alpha FROM s)
 SELECT t.row_id, CAST(pos AS INTEGER) AS pos, round(alpha * (s - CASE WHEN c = 1 THEN 0 ELSE mu END) * m, 6) + 0.0 AS advantages, round(alpha * (s - CASE WHEN c = 1 THEN 0 ELSE mu END) * m, 6) + 0.0 AS returns FROM tok t JOIN g USING (row_id), k""")
 def adv_gpg(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "gpg"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "gpg"))
 
 
 @query("adv_reinforce_plus_plus_baseline", f"""WITH {GRP}, a AS (SELECT t.row_id, pos, m, (s - CASE WHEN c = 1 THEN 0 ELSE mu END) * m AS a FROM tok t JOIN g USING (row_id)),
 mv AS (SELECT avg(a) FILTER (m = 1) AS mu, var_samp(a) FILTER (m = 1) AS va FROM a)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, round((a - mu) / sqrt(va + 1e-8) * m, 6) + 0.0 AS advantages, round((a - mu) / sqrt(va + 1e-8) * m, 6) + 0.0 AS returns FROM a, mv""")
 def adv_reinforce_plus_plus_baseline(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "reinforce_plus_plus_baseline"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "reinforce_plus_plus_baseline"))
 
 
 @query("adv_reinforce_plus_plus", f"""WITH RECURSIVE {TOK}, back AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pos DESC) AS k FROM tok),
@@ -136,7 +136,7 @@ f AS (SELECT row_id, pos, k, m, r AS g, r * m AS carry FROM back WHERE k = 1
 mv AS (SELECT avg(g) FILTER (m = 1) AS mu, var_samp(g) FILTER (m = 1) AS va FROM f)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, round((g - mu) / sqrt(va + 1e-8) * m, 6) + 0.0 AS advantages, round(g, 6) + 0.0 AS returns FROM f, mv""")
 def adv_reinforce_plus_plus(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "reinforce_plus_plus", gamma=0.9))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask"), "reinforce_plus_plus", gamma=0.9))
 
 
 @query("adv_gae", f"""WITH RECURSIVE {TOK}, back AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pos DESC) AS k FROM tok),
@@ -146,13 +146,13 @@ f AS (SELECT row_id, pos, k, m, v, CASE WHEN m = 1 THEN r - v ELSE 0 END AS a, C
 mv AS (SELECT avg(a) FILTER (m = 1) AS mu, var_samp(a) FILTER (m = 1) AS va FROM f)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, round((a - mu) / sqrt(va + 1e-8), 6) + 0.0 AS advantages, round(a + v, 6) + 0.0 AS returns FROM f, mv""")
 def adv_gae(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "gae", gamma=0.99, lam=0.95))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask", "values"), "gae", gamma=0.99, lam=0.95))
 
 
 @query("adv_remax", f"""WITH {TOK}, f AS (SELECT row_id, pos, m, sum(r * m) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g FROM tok)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, round(g - 0.1 * m, 6) + 0.0 AS advantages, round(g, 6) + 0.0 AS returns FROM f""")
 def adv_remax(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir).withColumn("reward_baselines", F.lit(0.1)), "remax"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask").withColumn("reward_baselines", F.lit(0.1)), "remax"))
 
 
 def _otb_sql(compact: bool, zero_tail: bool) -> str:
@@ -171,12 +171,12 @@ SELECT ret.row_id, CAST(ret.pos AS INTEGER) AS pos, round(coalesce(a, 0), 6) + 0
 
 @query("adv_optimal_token_baseline", _otb_sql(False, False))
 def adv_optimal_token_baseline(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "optimal_token_baseline"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask", "old_logp", "sum_pi_sq"), "optimal_token_baseline"))
 
 
 @query("adv_tir_optimal_token_baseline", _otb_sql(True, True))
 def adv_tir_optimal_token_baseline(spark, sf_dir):
-    return _long(V.advantages(rollouts(spark, sf_dir), "tir_optimal_token_baseline"))
+    return _long(V.advantages(rollouts(spark, sf_dir, "rewards", "mask", "old_logp", "sum_pi_sq"), "tir_optimal_token_baseline"))
 
 
 @query("resample_by_score")

@@ -18,7 +18,7 @@ from tallyweave.sources import sinks as K
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    return rollouts(spark, sf_dir).select("row_id", "uid", "data_source", "pred", F.round(A.array_sum("rewards"), 9).alias("score"))
+    return rollouts(spark, sf_dir, "rewards").select("row_id", "uid", "data_source", "pred", F.round(A.array_sum("rewards"), 9).alias("score"))
 
 
 # --- evaluation ----------------------------------------------------------------------------
@@ -53,7 +53,7 @@ def eval_majority(spark, sf_dir):
 
 @query("eval_source_means", f"WITH {GRP}, p AS (SELECT data_source, avg(r) AS a FROM tok GROUP BY data_source, row_id) SELECT data_source, round(avg(a), 6) AS score FROM p GROUP BY 1")
 def eval_source_means(spark, sf_dir):
-    return E.source_means(rollouts(spark, sf_dir), "rewards").select("data_source", r6("score", "score"))
+    return E.source_means(rollouts(spark, sf_dir, "rewards"), "rewards").select("data_source", r6("score", "score"))
 
 
 @query("eval_sections", """WITH m(variable, metric) AS (VALUES ('acc', 'mean@8'), ('acc', 'best@8/mean'), ('acc', 'best@4/mean'), ('acc', 'std@8'), ('len', 'mean@8'))

@@ -45,25 +45,38 @@ def r6(c: Column | str, name: str) -> Column:
     return (F.round(c, 6) + 0.0).alias(name)
 
 
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order: row_id, uid, data_source and per-token arrays."""
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        F.struct(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_discount").alias("r"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("m"), F.col("l_tax").alias("v"),
-            (-F.col("l_quantity") / 50).alias("olp"),
-        ).alias("t"),
-    )
+def _fields() -> dict[str, Column]:
+    return {"r": F.col("l_discount"), "m": F.when(F.col("l_returnflag") == "R", 0).otherwise(1), "v": F.col("l_tax"), "olp": -F.col("l_quantity") / 50}
+
+
+#: The arrays of a row: the fields of a token that each needs, and its element.
+ARRAYS: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]] = {
+    "rewards": (("r",), lambda x: x["r"]),
+    "mask": (("m",), lambda x: x["m"]),
+    "values": (("v",), lambda x: x["v"]),
+    "old_logp": (("olp",), lambda x: x["olp"]),
+    "rollout_logp": (("olp", "r"), lambda x: x["olp"] + (x["r"] - 0.05) * 4),
+    "logp": (("olp", "v"), lambda x: x["olp"] + (x["v"] - 0.04) * 5),
+    "ref_logp": (("olp", "r", "v"), lambda x: x["olp"] + x["r"] - x["v"]),
+    "sum_pi_sq": (("olp",), lambda x: F.exp(2 * x["olp"]) + 0.01),
+}
+
+
+def rollouts(spark: SparkSession, sf_dir: str, *arrays: str) -> DataFrame:
+    """One row an order: row_id, uid, data_source, pred and the named per-token arrays (all by default).
+
+    Only the fields that these arrays need are collected, so only their columns are read and shuffled.
+    """
+    names = arrays or tuple(ARRAYS)
+    need = dict.fromkeys(f for n in names for f in ARRAYS[n][0])
+    fields = _fields()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", *[fields[f].alias(f) for f in need]).alias("t"))
     seq = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("t")).alias("t"))  # an order's few lines
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     segments = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     made = seq.join(orders, seq["l_orderkey"] == orders["o_orderkey"]).join(segments, F.col("o_custkey") == F.col("c_custkey"))
-    each = lambda f: F.transform("t", f)
     return made.select(
-        F.col("l_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"), F.col("c_mktsegment").alias("data_source"), F.col("o_orderpriority").alias("pred"),
-        F.col("t.r").alias("rewards"), F.col("t.m").alias("mask"), F.col("t.v").alias("values"), F.col("t.olp").alias("old_logp"),
-        each(lambda x: x["olp"] + (x["r"] - 0.05) * 4).alias("rollout_logp"), each(lambda x: x["olp"] + (x["v"] - 0.04) * 5).alias("logp"), each(lambda x: x["olp"] + x["r"] - x["v"]).alias("ref_logp"),
-        each(lambda x: F.exp(2 * x["olp"]) + 0.01).alias("sum_pi_sq"),
+        F.col("l_orderkey").alias("row_id"), F.col("o_custkey").alias("uid"), F.col("c_mktsegment").alias("data_source"), F.col("o_orderpriority").alias("pred"), *[F.transform("t", ARRAYS[n][1]).alias(n) for n in names],
     )
 
 

@@ -58,6 +58,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete what `materialize` wrote for this very DataFrame, once nothing reads it any more."""
-    path = getattr(df, "scratch_path", None)
+    path = vars(df).get("scratch_path")
     if path:
         remove(df.sparkSession, path)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.operators import verbs
+
 
 def dump_generations(df: DataFrame, path: str, step: int, extra: list[str] | None = None) -> None:
     """JSON lines under step=N with input, output, gts, score, step and the extra columns that exist."""
@@ -21,13 +23,16 @@ def rollout_log(df: DataFrame, prompt: str, response: str, scores: str) -> DataF
     return df.select(F.col(prompt).alias("input"), F.col(response).alias("output"), F.col("ground_truth").alias("gts"), total.alias("score"))
 
 
-def sample_generations(df: DataFrame, count: int, seed: int = 42, key: str = "input") -> DataFrame:
-    """`count` rows of numpy's seeded shuffle of the rows in order of their text, with their place in it."""
-    n = df.count()
-    order = np.random.RandomState(seed).permutation(n)[:count].tolist()
-    from tallyweave.operators import verbs
+def sample_generations(df: DataFrame, count: int, seed: int = 42, key: str = "input", draw: str = "numpy") -> DataFrame:
+    """`count` rows of a seeded shuffle of the rows in order of their text, with their place in it.
 
+    draw: "numpy" gives numpy's shuffle, which holds a number a row on the driver, as a validation set
+    allows; "hash" orders by a hash instead and holds none.
+    """
     numbered = verbs.with_row_ids(df, [key])
+    if draw == "hash":
+        return verbs.hashed_rows(numbered, count, seed)
+    order = np.random.RandomState(seed).permutation(df.count())[:count].tolist()
     return verbs.gather(numbered, order)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import batches, flops, order, verbs
+from tallyweave.sources import sinks
 from tallyweave.streaming import queues
 
 #: Configurations and operations for lengths 512, 1024, 2048 and for three times 4096.
@@ -172,3 +173,12 @@ def test_servers(spark):
     rows = [(1, "x"), (2, "y"), (3, "x"), (4, "z"), (5, "w"), (6, "y"), (7, None)]
     got = queues.servers(spark.createDataFrame(rows, "at long, request_id string"), 3)
     assert [(r["at"], r["server"]) for r in got.orderBy("at").collect()] == [(1, 0), (2, 1), (3, 0), (4, 2), (5, 0), (6, 1), (7, 1)]
+
+
+def test_draws_by_hash(spark):
+    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("x"))
+    one = [tuple(r) for r in verbs.sample_rows(df, 10, shuffle=True, seed=3, draw="hash").orderBy("row_id").collect()]
+    two = [tuple(r) for r in verbs.sample_rows(df.repartition(7), 10, shuffle=True, seed=3, draw="hash").orderBy("row_id").collect()]
+    assert one == two and [r[0] for r in one] == list(range(10)) and len({r[1] for r in one}) == 10 and [r[1] for r in one] != sorted(r[1] for r in one)
+    texts = df.select(F.col("x").cast("string").alias("input"))
+    assert sinks.sample_generations(texts, 5, draw="hash").count() == 5
