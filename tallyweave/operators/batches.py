@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
@@ -149,3 +150,44 @@ def to_arrays(df: DataFrame, meta: Mapping[str, Any] | None = None) -> dict[str,
         ragged = lists and len({len(v) for v in lists} | ({None} if len(lists) < len(values) else set())) > 1
         out[name] = values if ragged else np.array(values)
     return out | dict(meta or {})
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A DataFrame with row_id and what holds for all of its rows."""
+
+    frame: DataFrame
+    meta: Mapping[str, Any] = field(default_factory=dict)
+
+    def assign(self, **values: Any) -> Batch:
+        """With more: a list or array is a column, a value for each row in order; anything else holds for all rows."""
+        columns = {k: v for k, v in values.items() if isinstance(v, list | np.ndarray)}
+        frame = self.frame
+        if columns:
+            more = from_columns(frame.sparkSession, columns)
+            if check_consistent(frame) != more.count():
+                raise ValueError("columns of another length than the batch")
+            frame = frame.drop(*columns).join(more, ID)
+        return Batch(frame, {**self.meta, **{k: v for k, v in values.items() if k not in columns}})
+
+    def get(self, key: str, default: Any = None) -> Any:
+        """A column as a list in row order, or what holds for all rows."""
+        if key in self.frame.columns:
+            return to_arrays(self.frame.select(*dict.fromkeys([ID, key])))[key]
+        return self.meta.get(key, default)
+
+    def pop(self, *keys: str) -> tuple[Batch, Batch]:
+        """(the named columns and values, the rest); both keep row_id."""
+        unknown = [k for k in keys if k not in self.frame.columns and k not in self.meta]
+        if unknown:
+            raise KeyError(f"not in the batch: {unknown}")
+        mine = [k for k in keys if k in self.frame.columns and k != ID]
+        return Batch(self.frame.select(ID, *mine), {k: v for k, v in self.meta.items() if k in keys}), Batch(self.frame.drop(*mine), {k: v for k, v in self.meta.items() if k not in keys})
+
+    def chunks(self, parts: int) -> list[Batch]:
+        """Contiguous equal batches, each lazy until it is asked for."""
+        n = self.frame.count()
+        if n % parts:
+            raise ValueError(f"{n} rows don't divide into {parts} parts")
+        size = n // parts
+        return [Batch(self.frame.filter(F.col(ID).between(k * size, (k + 1) * size - 1)).withColumn(ID, F.col(ID) - k * size), dict(self.meta)) for k in range(parts)]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import batches, flops, order, verbs
+from tallyweave.functions import tools
+from tallyweave.operators import batches, flops, layout, order, verbs
 from tallyweave.sources import sinks
 from tallyweave.streaming import queues
 
@@ -182,3 +183,33 @@ def test_draws_by_hash(spark):
     assert one == two and [r[0] for r in one] == list(range(10)) and len({r[1] for r in one}) == 10 and [r[1] for r in one] != sorted(r[1] for r in one)
     texts = df.select(F.col("x").cast("string").alias("input"))
     assert sinks.sample_generations(texts, 5, draw="hash").count() == 5
+
+
+def test_batch_of_columns_and_values(spark):
+    b = batches.Batch(batches.from_columns(spark, {"x": [1, 2, 3, 4]}), {"step": 1})
+    more = b.assign(name=["a", "b", "c", "d"], temperature=0.5)
+    assert more.get("name").tolist() == ["a", "b", "c", "d"] and more.get("temperature") == 0.5 and more.get("none", 7) == 7 and b.get("name") is None
+    mine, rest = more.pop("x", "step")
+    assert mine.frame.columns == ["row_id", "x"] and mine.meta == {"step": 1} and rest.meta == {"temperature": 0.5} and "x" not in rest.frame.columns
+    one, two = more.chunks(2)
+    assert one.get("x").tolist() == [1, 2] and two.get("name").tolist() == ["c", "d"] and batches.check_consistent(two.frame) == 2
+    for bad in (lambda: b.assign(y=[1]), lambda: b.chunks(3)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(KeyError):
+        b.pop("none")
+
+
+def test_model_inputs(spark):
+    df = spark.createDataFrame([(1, [1, 2], [3, 4, 5], 0.5), (2, [1, 2, 3, 4, 5], [6], 1.0), (3, [9], [], 2.0), (4, [9], [8], None)], "row_id long, prompt_ids array<int>, response_ids array<int>, s double")
+    got = {r["row_id"]: r for r in layout.model_inputs(df, 3, 2, score=F.col("s"), pad_id=0).collect()}
+    assert got[1]["input_ids"] == [0, 1, 2, 3, 4] and got[1]["attention_mask"] == [0, 1, 1, 1, 1] and got[1]["position_ids"] == [0, 0, 1, 2, 3] and got[1]["rm_scores"] == [0.0, 0.5]
+    assert got[2]["input_ids"] == [3, 4, 5, 6, 0] and got[2]["rm_scores"] == [1.0, 0.0] and got[2]["response_mask"] == [1, 0]
+    assert got[3]["rm_scores"] == [0.0, 0.0] and got[4]["rm_scores"] is None
+
+
+def test_tools(spark):
+    known = {"half": tools.Tool(lambda a: (10 // a["n"], 1), ("n",), "halves")}
+    assert tools.answered(known, "half", '{"n": 5}') == ("2", 1.0) and tools.answered(known, "half", '{"n": 0}')[1] == 0.0
+    assert tools.answered(known, None, None) == ("no tool None", 0.0) and "JSONDecodeError" in tools.answered(known, "half", "{")[0]
+    assert known["half"].schema("half")["function"]["parameters"]["required"] == ["n"]
