@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable
+from tallyweave.llm.common import importable, text_slices, trimmed
 
 #: Pieces whose ids a worker keeps at most.
 CACHE_PIECES = 400_000
 #: Above this many bytes a piece gets a tree of its own.
 TOGETHER = 64
-#: Texts are encoded in slices of about this many characters.
+#: Texts are encoded in slices of about this many bytes.
 SLICE_CHARS = 4_000_000
 _NONE = np.int32(2**31 - 1)
 _BITS = TOGETHER.bit_length() - 1
@@ -249,7 +249,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
         own = codec(path, pattern)
         for batch in batches:
             done = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for part in text_slices(batch.column(1), SLICE_CHARS):
                 ids = [np.frombuffer(x, "<i4") for x in own.encode(part)]
                 ends = np.cumsum([0, *map(len, ids)])
                 values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
@@ -258,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    return src.mapInArrow(trimmed(run), f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -269,7 +269,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for batch in batches:
             done = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for part in text_slices(batch.column(1), SLICE_CHARS):
                 ids = own.encode(part)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -284,4 +284,4 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from tallyweave.scratch import fresh_path as scratch_path
 from tallyweave.scratch import materialize, release
 from tallyweave.session import importable
 
-__all__ = ["importable", "materialize", "new_name", "partitions", "release", "scratch_path", "table", "text_slices"]
+__all__ = ["give_back", "importable", "materialize", "new_name", "partitions", "release", "scratch_path", "table", "text_slices", "trimmed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +44,27 @@ def text_slices(texts: pa.Array, size: int) -> Iterator[list[str]]:
         at = end
 
 
+def trimmed(run: Callable) -> Callable:
+    """The function for mapInArrow, with memory that its task no longer uses given back when the task ends.
+
+    Workers are used again for later stages; what allocators keep for one would count against the next.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return each
+
+
+def give_back() -> None:
+    """Return memory that this process no longer uses to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

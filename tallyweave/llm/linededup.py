@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, new_name, partitions, text_slices
+from tallyweave.llm.common import importable, materialize, new_name, partitions, text_slices, trimmed
 
 #: Characters that are stripped from both ends of a line.
 WHITE = " \t\n\v\f\r"
@@ -68,7 +68,7 @@ def line_hashes(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 done += len(part)
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), _row(F.col("text")).alias("row"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, pos int")
+    return src.mapInArrow(trimmed(run), "h1 long, h2 long, doc_id long, row long, pos int")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def later_copies(hashes: DataFrame, count: int | None = None) -> DataFrame:
     order = ["h1", "h2", "doc_id", "row", "pos"]
     dealt = hashes.repartitionByRange(count or partitions(spark), *order).sortWithinPartitions(*order)
     fields = ", ".join(f"{x} long" for x in ("kind", "part", "h1", "h2", "l1", "l2", "owner", "doc_id", "row"))
-    found = materialize(dealt.mapInArrow(_stream, f"{fields}, pos int"), "line-copies")
+    found = materialize(dealt.mapInArrow(trimmed(_stream), f"{fields}, pos int"), "line-copies")
     open_run, carry = None, []
     for r in sorted(found.filter("kind = 2").collect(), key=lambda r: r["part"]):  # a row a partition
         if open_run is not None and open_run[0] == (r["h1"], r["h2"]):
@@ -153,7 +153,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
             maps = [pack_bitmap(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["doc_id", "row", "keep"])
 
-    return materialize(grouped.mapInArrow(run, "doc_id long, row long, keep binary"), "line-bitmaps")
+    return materialize(grouped.mapInArrow(trimmed(run), "doc_id long, row long, keep binary"), "line-bitmaps")
 
 
 def _with_bitmaps(docs: DataFrame, least: int, name: str) -> DataFrame:
@@ -194,7 +194,7 @@ def drop_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
                 done += len(part)
 
     joined = _with_bitmaps(docs, least, keep)
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(trimmed(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -223,4 +223,4 @@ def line_digests(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return _with_bitmaps(src, least, "keep").select("doc_id", "text", "keep").mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(src, least, "keep").select("doc_id", "text", "keep").mapInArrow(trimmed(run), f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")

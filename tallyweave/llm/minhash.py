@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, partitions
+from tallyweave.llm.common import importable, partitions, trimmed
 
 WIDTH = 5
 PERMUTATIONS = 128
@@ -168,4 +168,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = _with_neighbours(docs)
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), "text").select("bucket", "halo", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(trimmed(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, new_name, release, text_slices
+from tallyweave.llm.common import importable, materialize, new_name, release, text_slices, trimmed
 from tallyweave.llm.components import component_labels
 from tallyweave.llm.minhash import shingles
 
@@ -36,8 +37,10 @@ PIVOTS = 16
 SKETCH = 8
 #: Size from which a shingle set is cut into parts, a power of two; sketches of larger sets would tell nothing.
 WHOLE = 512
-#: Members of a block from which each round of comparisons with the others starts.
+#: Members of a block from which each round of comparisons with the others starts; later rounds go on in steps of the last.
 ROUNDS = (0, 1, 64, 4096)
+#: Rows from which a run is worked off in pieces.
+LONG_RUN = 200_000
 #: Bytes of text whose shingles a worker holds.
 SLICE = 250_000
 
@@ -125,7 +128,7 @@ def made_prints(docs: DataFrame, width: int, parts: Callable, keys: Callable) ->
                 uid += len(part)
 
     src = docs.select("doc_id", _row(F.col("text")).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return src.mapInArrow(run, f"uid long, doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, digest long, n long, head boolean, part long, size long, sketch array<long>, prefix array<long>")
+    return src.mapInArrow(trimmed(run), f"uid long, doc_id {src.schema['doc_id'].dataType.simpleString()}, row long, digest long, n long, head boolean, part long, size long, sketch array<long>, prefix array<long>")
 
 
 def _row(text: Column) -> Column:
@@ -157,26 +160,43 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = _sets(part, width)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _digests(sets)), _lists(sets)], names=["digest", "n", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "digest long, n long, shingles array<long>")
+    return docs.select("text").mapInArrow(trimmed(run), "digest long, n long, shingles array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Columns of longs, a row each, cut between runs of equal values of the first."""
-    rest: list[np.ndarray] = []
+def _runs(batches: Iterator[pa.RecordBatch], head: int = 0) -> Iterator[tuple[np.ndarray, bool]]:
+    """Columns of longs, a row each, cut between runs of equal values of the first, and whether a run is cut too.
+
+    A run of over LONG_RUN rows comes in pieces; the later ones start with the run's first `head` rows again.
+    """
+    held: list[np.ndarray] = []
+    rows, cut, key = 0, False, None
     for batch in batches:
         if not batch.num_rows:
             continue
         got = np.stack([c.to_numpy() for c in batch.columns])
         other = np.flatnonzero(got[0] != got[0, -1])
         whole = int(other[-1]) + 1 if len(other) else 0
-        if rest and (whole or rest[-1][0, -1] != got[0, 0]):
-            yield np.concatenate([*rest, got[:, :whole]], axis=1)
-            rest = []
-        elif whole:
-            yield got[:, :whole]
-        rest.append(got[:, whole:].copy())
-    if rest:
-        yield np.concatenate(rest, axis=1)
+        if held and got[0, 0] != key:  # what is held has ended
+            if not cut or rows > head:
+                yield np.concatenate(held, axis=1), cut
+            held, rows, cut = [], 0, False
+        key = got[0, -1]
+        if cut and whole:  # the long run ends in this batch
+            end = int(np.flatnonzero(got[0] != got[0, 0])[0])
+            yield np.concatenate([*held, got[:, :end]], axis=1), True
+            held, rows, cut = [], 0, False
+            got, whole = got[:, end:], whole - end
+        if whole:
+            yield np.concatenate([*held, got[:, :whole]], axis=1), False
+            held, rows = [], 0
+        held.append(got[:, whole:].copy())
+        rows += held[-1].shape[1]
+        if rows >= LONG_RUN + head:
+            run = np.concatenate(held, axis=1)
+            yield run, True
+            held, rows, cut = [run[:, :head].copy()], head, True
+    if held and (not cut or rows > head):
+        yield np.concatenate(held, axis=1), cut
 
 
 def _first_of(*columns: np.ndarray) -> np.ndarray:
@@ -190,8 +210,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, name, part) of the shingles of a part that several names have; those of the same part and names make one block.
 
     Rows come ordered, as (shingle, name, part). Blocks whose hashes should be equal only make a larger block.
+    A shingle of very many names is a block of its own.
     """
-    for shingle, name, part in _runs(batches):
+    for (shingle, name, part), cut in _runs(batches):
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.array(_remix(shingle.view(np.uint64), 5).view(np.int64)), pa.array(name), pa.array(part)], names=["block", "name", "part"])
+            continue
         new = _first_of(shingle, name, part)
         shingle, name, part = shingle[new], name[new], part[new]
         starts = np.flatnonzero(_first_of(shingle))
@@ -208,12 +232,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of a block with different labels that may be alike; a is one of its members `first` to `last`, b a later one.
 
-    Rows come ordered, as (block, name, label, n, size, sketch words...). Sets or parts alike by the threshold have
+    Of a large block its first `last` members are held, and others as they pass. Rows come ordered, as (block, name, label, n, size, sketch words...). Sets or parts alike by the threshold have
     sizes in that ratio at least and differ in (1 - t) / (1 + t) of their summed sizes at most.
     """
     share = (1 - threshold) / (1 + threshold)
     pivots = pivot_values(SKETCH)
-    for got in _runs(batches):
+    for got, _ in _runs(batches, last):
         block, name, label, n, size = got[:5]
         sketch = np.ascontiguousarray(got[5:].T).view(np.uint64)
         table = np.stack([distances(sketch, p) for p in pivots])
@@ -251,6 +275,14 @@ def _alike(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: float
     return materialize(alike.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-alike")
 
 
+def _rounds() -> Iterator[tuple[int, int]]:
+    yield from pairwise(ROUNDS)
+    first = ROUNDS[-1]
+    while True:
+        yield first, first + ROUNDS[-1]
+        first += ROUNDS[-1]
+
+
 def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: int) -> DataFrame:
     """(digest, n, component_id): the smallest doc_id of each set's component of links of likeness `threshold` or more.
 
@@ -266,11 +298,11 @@ def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: in
     # a shingle of different levels is a different one
     dealt = own.select(F.explode("prefix").alias("shingle"), "name", "part").select(F.col("shingle").bitwiseXOR(F.shiftright("part", 32)).alias("shingle"), "name", "part")
     dealt = dealt.repartition("shingle").sortWithinPartitions("shingle", "name", "part")
-    blocks = materialize(dealt.mapInArrow(_shared, "block long, name long, part long").distinct(), "near-blocks")
+    blocks = materialize(dealt.mapInArrow(trimmed(_shared), "block long, name long, part long").distinct(), "near-blocks")
     words = [F.col("sketch")[w].alias(f"s{w}") for w in range(SKETCH)]
     rows = materialize(blocks.join(own.select("name", "part", "n", "size", *words).hint("merge"), ["name", "part"]).select("block", "name", "n", "size", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
     written, links, labels = rows, None, None
-    for first, last in zip(ROUNDS, [*ROUNDS[1:], 1 << 62], strict=True):
+    for first, last in _rounds():
         if labels is None:
             rows = rows.withColumn("label", F.col("name"))
         else:
@@ -282,7 +314,7 @@ def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: in
             if rows.isEmpty():
                 break
         dealt = rows.select("block", "name", "label", "n", "size", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
-        pairs = dealt.mapInArrow(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold), "a long, b long")
+        pairs = dealt.mapInArrow(trimmed(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold)), "a long, b long")
         pairs = materialize(pairs.distinct(), "near-pairs")
         if labels is not None and pairs.isEmpty():
             continue

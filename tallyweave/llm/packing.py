@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, text_slices
+from tallyweave.llm.common import importable, materialize, text_slices, trimmed
 
 CAPACITY = 2048
 #: Pieces that one task packs together, about.
@@ -181,7 +181,7 @@ def cut_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_i
                 )
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, _PIECES.format(src.schema["doc_id"].dataType.simpleString()))
+    return src.mapInArrow(trimmed(run), _PIECES.format(src.schema["doc_id"].dataType.simpleString()))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

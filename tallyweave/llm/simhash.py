@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, text_slices
+from tallyweave.llm.common import importable, materialize, text_slices, trimmed
 from tallyweave.llm.nearsets import distances, grouped, least_of_components, near_sets, pivot_values, set_prints, stay_rows
 
 #: Bytes of text that a worker holds as Python objects.
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
                 done += len(part)
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(trimmed(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -212,7 +212,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 def _linked(rows: DataFrame, bits: int) -> DataFrame:
     """(a, b): links within the blocks of (mask, under, name, fingerprint words...) rows."""
     dealt = rows.repartition("mask", "under").sortWithinPartitions("mask", "under", "name")
-    return dealt.mapInArrow(lambda batches: _block_links(batches, bits), "a long, b long")
+    return dealt.mapInArrow(trimmed(lambda batches: _block_links(batches, bits)), "a long, b long")
 
 
 def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:

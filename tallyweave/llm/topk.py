@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize
+from tallyweave.llm.common import importable, materialize, trimmed
 
 #: Bytes of the integer query vectors that are sent to the tasks at once, at most about.
 QUERY_BYTES = 16 << 20
@@ -168,7 +168,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col:
             own[0].append(r["id"])
             own[1].append(np.array(r["v"], np.int64))
         sent = spark.sparkContext.broadcast({n: (np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in lists.items()})
-        part = whole.mapInArrow(_searcher(sent, k, dims), "query_id long, vec_id long, score long")
+        part = whole.mapInArrow(trimmed(_searcher(sent, k, dims)), "query_id long, vec_id long, score long")
         if blocks > 1:
             part = materialize(part, "top-k")
             sent.destroy()

@@ -18,7 +18,9 @@ machine itself finds worst; clean words that it finds worst are added as negativ
 round. A document's score is a logistic function of its worst words' values.
 
 At most SAMPLE labelled rows of each class are learned from, and SAMPLE_CHARS characters of
-them, taken in the order of a hash of doc_id. Scores read nothing but the text.
+them, taken in the order of a hash of doc_id; lengths are looked at first, so no more text than
+that is gathered. Words over LONG characters, such as base64, are scored whole but not learned
+from. Scores read nothing but the text.
 
 Defined results: null and empty texts get the score of a text without words. Labels that are
 null are not learned from; of repeated labels of a document the larger counts. Without both
@@ -37,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.llm.bpe import slices
-from tallyweave.llm.common import importable
+from tallyweave.llm.common import give_back, importable, new_name, text_slices, trimmed
 
 SAMPLE = 2000
 SAMPLE_CHARS = 12_000_000
@@ -56,6 +59,10 @@ CACHE_WORDS = 250_000
 THRESHOLD = 0.3
 #: Characters, with padding, that are coded together.
 CELLS = 1 << 20
+#: Length over which a word is neither learned from nor kept in a cache.
+LONG = 256
+#: Bytes of text that a worker holds as Python objects.
+SLICE = 2_000_000
 
 _GAP = 63
 _STRIP = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#$%&+-_/\\~`^=@"
@@ -133,6 +140,9 @@ def table_values(words: list[str], table: np.ndarray) -> np.ndarray:
     """Sum of the table over each word's weighted subsequences, over the word's norm. table: 64**3, zero at gaps."""
     out = np.zeros(len(words), np.float64)
     for rows in _by_length(words):
+        if len(words[rows[0]]) > CELLS:  # alone in its run
+            out[rows] = _long_value(words[rows[0]], table)
+            continue
         codes, lens = _coded([words[i] for i in rows.tolist()])
         total = np.zeros(len(rows), np.float64)
         for index, weight in _subsequences(codes):
@@ -141,6 +151,17 @@ def table_values(words: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long_value(word: str, table: np.ndarray) -> float:
+    """The same for one long word, a window of starting places at a time."""
+    total = squares = 0.0
+    for at in range(0, len(word), CELLS):
+        codes, _ = _coded([word[at : at + CELLS + SPAN - 1]])
+        for index, weight in _subsequences(codes):
+            total += weight * float(table.take(index[:, :CELLS]).sum(dtype=np.float64))
+            squares += weight * weight * float(_WHOLE.take(index[:, :CELLS]).sum(dtype=np.float64))
+    return total / np.sqrt(squares or 1.0)
+
+
 def subsequence_rows(words: list[str], place: np.ndarray, width: int) -> np.ndarray:
     """A row of `width` weights for each word, divided by its norm; place gives a subsequence's column, `width` for none."""
     out = np.zeros((len(words), width + 1))
@@ -196,7 +217,11 @@ class Machine:
             self.cache.clear()
             new = list(set(words))
         self.cache.update(zip(new, (table_values(new, self.table) + self.bias).tolist(), strict=True))
-        return list(map(self.cache.__getitem__, words))
+        out = list(map(self.cache.__getitem__, words))
+        for w in new:
+            if len(w) > LONG:
+                del self.cache[w]
+        return out
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Of each text: its worst word's value and its second worst's, from -1.5 to 1.5."""
@@ -262,10 +287,10 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
     sentences: list[list[tuple[str, ...]]] = []  # of toxic texts only
     for label, text in zip(labels, texts, strict=True):
         if label:
-            sentences.append([tuple(one.setdefault(w, w) for w in set(words_of(s))) for s in _SENTENCE.split(text)])
+            sentences.append([tuple(one.setdefault(w, w) for w in set(words_of(s)) if len(w) <= LONG) for s in _SENTENCE.split(text)])
             bad.update({w for s in sentences[-1] for w in s})
         else:
-            good.update({one.setdefault(w, w) for s in _SENTENCE.split(text) for w in words_of(s)})
+            good.update({one.setdefault(w, w) for s in _SENTENCE.split(text) for w in words_of(s) if len(w) <= LONG})
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     odds = {w: np.log((k + 0.1) / n1) - np.log((good[w] + 0.5) / n0) for w, k in bad.items() if len(w) > 2}
     worst = sorted((w for w in odds if odds[w] > 1.5 and _evidence(bad[w], n1, good[w], n0) > EVIDENCE), key=lambda w: (-odds[w] * min(bad[w], 30), w))[: 4 * landmarks]
@@ -335,52 +360,58 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Machine:
-    """Fit on labelled documents outside the held-out rows: `sample` of a class and `chars` characters at most."""
+    """Fit on labelled documents outside the held-out rows: `sample` of a class and `chars` characters at most.
+
+    Texts of more than `chars` characters are not learned from. Rows that repeat a doc_id are learned from
+    each, equal ones once.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Machine()
     share = counts.get(1, 0) / sum(counts.values())
     spark = docs.sparkSession
+    kind = known.schema["doc_id"].dataType.simpleString()
     picked = [tuple(r) for y in (1, 0) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y").collect()]
-    small = spark.createDataFrame(picked, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, y int")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(small), "doc_id")
-    texts, ys, total = [], [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).toLocalIterator():
-        total += len(r["text"])
-        if total > chars and texts:
+    small = spark.createDataFrame(picked, f"doc_id {kind}, y int")
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = src.join(F.broadcast(small), "doc_id").select("doc_id", "y", F.length("text").alias("n"), F.xxhash64("text").alias("row")).filter(F.col("n") <= chars)
+    order, total = [], 0
+    for r in rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(2 * sample).collect():  # lengths only
+        total += r["n"]
+        if total > chars:
             break
-        texts.append(r["text"])
-        ys.append(r["y"])
-    return fit(texts, ys, share)
+        order.append((r["doc_id"], r["row"], r["y"]))
+    wanted = spark.createDataFrame([x[:2] for x in order], f"doc_id {kind}, row long")
+    found = src.withColumn("row", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "row"]).groupBy("doc_id", "row").agg(F.first("text").alias("text"))
+    texts = {(r["doc_id"], r["row"]): r["text"] for r in found.collect()}  # `chars` characters at most
+    made = fit([texts[x[:2]] for x in order], [x[2] for x in order], share)
+    texts.clear()
+    give_back()
+    return made
 
 
-_MACHINES: dict[int, Machine] = {}
+def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(doc_id, score) of every text."""
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _scored(src, machine, ["doc_id"], "score")
 
 
-def score(docs: DataFrame, machine: Machine, *, keep: bool = False) -> DataFrame:
-    """(doc_id, score) of every text; with keep all columns of docs and `_score`."""
+def _scored(docs: DataFrame, machine: Machine, columns: list[str], name: str) -> DataFrame:
+    """The columns of docs, and the score under that name."""
     spark = docs.sparkSession
     importable(spark)
     sent = spark.sparkContext.broadcast(machine)
-    name = "_score" if keep else "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            made = [own.scores(part) for part in slices(texts, 2_000_000)]
-            values = pa.array(np.concatenate(made) if made else np.zeros(0))
-            out = batch if keep else batch.select(["doc_id"])
-            yield out.append_column(name, values)
-
-    src = docs if keep else docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    from pyspark.sql import types as T
+            at, done = batch.schema.get_field_index("text"), 0
+            for part in text_slices(batch.column(at), SLICE):
+                yield batch.slice(done, len(part)).select(columns).append_column(name, pa.array(own.scores(part)))
+                done += len(part)
 
-    schema = T.StructType([*src.schema.fields, T.StructField(name, T.DoubleType())]) if keep else f"doc_id {kind}, {name} double"
-    return src.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.select(columns).schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -391,4 +422,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = TH
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under `threshold`, with their columns."""
-    return score(docs, train(docs, labels), keep=True).filter(F.col("_score") < threshold).drop("_score")
+    name = new_name(docs, "_score")
+    return _scored(docs, train(docs, labels), docs.columns, name).filter(F.col(name) < threshold).drop(name)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import importable, materialize, partitions, scratch_path
+from tallyweave.llm.common import importable, materialize, partitions, scratch_path, trimmed
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range, the unit that tasks share out.
@@ -121,7 +121,7 @@ def write_archives(typed: DataFrame, path: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path + where]), pa.array([total], pa.int64())], names=["file", "bytes"])
 
-    return typed.select("page_id", "url", "payload", "size", "digest", "page", "revisit").mapInArrow(run, "file string, bytes long")
+    return typed.select("page_id", "url", "payload", "size", "digest", "page", "revisit").mapInArrow(trimmed(run), "file string, bytes long")
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -216,7 +216,7 @@ def read_archives(files: DataFrame, *, span: int = RANGE, payloads: bool = True)
                 if rows:
                     yield made(rows)
 
-    return _ranges(files, span).mapInArrow(run, fields)
+    return _ranges(files, span).mapInArrow(trimmed(run), fields)
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -329,6 +330,38 @@ def test_near_copies_verify_before_they_unite(spark):
     assert near_copies(spark, rows) == want
 
 
+@pytest.mark.parametrize("head", [0, 1, 5])
+def test_runs_in_pieces(monkeypatch, head):
+    monkeypatch.setattr(nearsets, "LONG_RUN", 20)
+    rng = np.random.default_rng(head)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 100), np.full(130, 7), np.full(90, 50)]))
+    rows = np.stack([keys, np.arange(len(keys))])
+    for step in (1, 3, 17, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:, at : at + step]], names=["k", "v"]) for at in range(0, len(keys), step)]
+        seen, last = [], None
+        for got, cut in nearsets._runs(iter(batches), head):
+            start = head if cut and last == got[0, 0] else 0
+            if start:
+                assert got[1, :head].tolist() == np.flatnonzero(keys == got[0, 0])[:head].tolist()
+            assert cut or got.shape[1] <= 20 + head + step or len(set(got[0].tolist())) > 1
+            assert not cut or len(set(got[0].tolist())) == 1
+            assert last is None or cut or got[0, 0] != last
+            seen += got[1, start:].tolist()
+            last = got[0, -1]
+        assert seen == list(range(len(keys)))
+
+
+def test_near_copies_of_blocks_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(nearsets, "LONG_RUN", 8)
+    monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 16))
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(14 + i % 5)] + base[14 + i % 5 :])) for i in range(60)]
+    rows += [(100 + i, " ".join([word() for _ in range(40)] + base[40:])) for i in range(40)]
+    assert near_copies(spark, rows) == brute_copies(rows)
+
+
 def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
     monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 16))
     rng = random.Random(6)
