@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, sharding, simhash, topk, toxicity, warc
+from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, sharding, simhash, topk, toxicity, warc, whitening
 from tallyweave.llm.common import importable, table
 
 
@@ -69,7 +69,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, minhash_groups)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, op12_whitening, minhash_groups)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
