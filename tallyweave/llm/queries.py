@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, sharding, simhash, topk, toxicity, warc, whitening
+from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, ranking, sharding, simhash, topk, toxicity, warc, whitening
 from tallyweave.llm.common import importable, table
 
 
@@ -73,9 +73,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, op12_whitening, minhash_groups)}
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, op12_whitening, op13_maxscore, minhash_groups)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
     "op3_preference": """
@@ -127,4 +132,16 @@ b32 AS (SELECT page_id, strlen(body) AS payload_bytes, list_aggregate(list_trans
   CAST(1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT AS BIGINT), 1)), 'string_agg', '') AS payload_digest FROM bits),
 firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS page FROM b32)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> page THEN page END AS refers_to FROM firsts""",
+    "op13_maxscore": f"""
+WITH dt AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+it AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM dt),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM dt) GROUP BY r, t),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs),
+asked AS (SELECT q, any_value(item_id) AS item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM it) GROUP BY q, t),
+s AS (
+  SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN wt USING (t) JOIN p USING (t), c GROUP BY q, r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }
