@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bands, bpe, linededup, minhash, packing, preference, ranking, sharding, simhash, topk, toxicity, warc, whitening
+from tallyweave.llm import bands, bpe, licenses, linededup, minhash, packing, preference, ranking, sharding, simhash, topk, toxicity, warc, whitening
 from tallyweave.llm.common import importable, table
 
 
@@ -69,6 +69,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of phrases alone, and with those of templates, comma-joined."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
@@ -77,7 +83,7 @@ def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, op12_whitening, op13_maxscore, minhash_groups)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_preference, op4_minhash, op5_topk, op6_simhash, op7_bpe, op8_linededup, op9_warc, op10_packing, op11_licenses, op12_whitening, op13_maxscore, minhash_groups)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
