@@ -130,6 +130,36 @@ def score_math_equal(spark, sf_dir):
     )
 
 
+@query("symbolic_answers", """SELECT p_partkey, true AS expanded, p_size % 2 = 0 AS moved, true AS root, true AS divided, p_size % 3 = 0 AS power, true AS listed, true AS circle FROM part""")
+def symbolic_answers(spark, sf_dir):
+    """Expressions made of each part's size, against another way to write them, or one that differs for some sizes."""
+    p = table(spark, sf_dir, "part")
+    k, j = F.col("p_size"), F.col("p_partkey")
+    write = lambda form, *values: F.format_string(form, *values)
+    return p.select(
+        "p_partkey",
+        S.math_equal_column(write("(x+%d)(x-%d)", k, j), write("x^2 + %d x - %d", k - j, k.cast("long") * j)).alias("expanded"),
+        S.math_equal_column(write("%d(y+1)", k), write("%dy + %d", k, k + k % 2)).alias("moved"),
+        S.math_equal_column(write("\\sqrt{%d}", 8 * k * k), write("%d\\sqrt2", 2 * k)).alias("root"),
+        S.math_equal_column(write("\\frac{x^2 - %d}{x - %d}", k * k, k), write("x + %d", k)).alias("divided"),
+        S.math_equal_column(write("a^{%d}", k), write("a^{%d} \\cdot a^{%d}", F.floor(k / 3), 2 * F.floor(k / 3))).alias("power"),
+        S.math_equal_column(write("(x + %d, \\frac{%d}{2})", k, j), write("(%d + x, %d/2)", k, j)).alias("listed"),
+        S.math_equal_column(write("%d\\pi", k), write("\\frac{%d\\pi}{2}", 2 * k)).alias("circle"),
+    )
+
+
+@query("strict_answers", """SELECT p_partkey, true AS unit, p_size % 2 = 1 AS reduced, false AS whole, true AS sorted FROM part""")
+def strict_answers(spark, sf_dir):
+    """Strict equality: fractions as they are written, whole numbers only with whole numbers."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_size")
+    factor = F.when(k % 2 == 0, 2).otherwise(1)
+    return p.select(
+        "p_partkey", S.strict_equal_column(F.format_string("%d.0 cm", k), k.cast("string")).alias("unit"), S.strict_equal_column(F.format_string("%d/%d", factor, factor * (k + 1)), F.format_string("\\frac{1}{%d}", k + 1)).alias("reduced"),
+        S.strict_equal_column(F.format_string("%d*1", k), k.cast("string")).alias("whole"), S.strict_equal_column(F.format_string("x+%d", k), F.format_string("%d+x", k)).alias("sorted"),
+    )
+
+
 @query("score_layout", "SELECT item_id, (item_id % 2 = 0)::INT::DOUBLE AS layout FROM benchmark")
 def score_layout(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
