@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
 from tallyweave.functions import managers as R
+from tallyweave.functions import nucleus as N
 from tallyweave.functions import scoring as S
 from tallyweave.operators import balance as B
 from tallyweave.operators import dispatch as X
@@ -131,6 +132,39 @@ def tempered_entropy(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(A.entropy(A.tempered("embedding", 0.5)), "entropy"))
 
 
+_CUT = """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, floor(unnest(embedding)::DOUBLE * 12) / 0.7 AS z FROM embeddings),
+r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY z DESC) AS k FROM e),
+t AS (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM r WHERE k <= 20),
+s AS (SELECT *, exp(z - top) AS share, sum(exp(z - top)) OVER (PARTITION BY vec_id) AS whole FROM t),
+m AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY vec_id ORDER BY z DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+n AS (SELECT *, share / sum(share) OVER (PARTITION BY vec_id) AS q FROM m WHERE before < 0.85::DOUBLE * whole)"""
+
+
+def _cut_logits(spark, sf_dir):
+    """Coarse logits, so that borders have ties, at most about 20 of them and of those a nucleus of 0.85."""
+    coarse = F.transform("embedding", lambda x: F.floor(x.cast("double") * 12).cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", A.tempered(coarse, 0.7).alias("z"))
+    return e.select("vec_id", N.top_k("z", 20).alias("some"), N.top_p(N.top_k("z", 20), 0.85).alias("cut"))
+
+
+@query("nucleus_logits", f"""{_CUT}, c AS (SELECT vec_id, count(*) AS some FROM t GROUP BY vec_id)
+SELECT vec_id, any_value(some) AS some, count(*) AS kept, string_agg(i::VARCHAR, ',' ORDER BY i) AS places, round(-sum(q * ln(q)), 6) + 0.0 AS entropy FROM n JOIN c USING (vec_id) GROUP BY vec_id""")
+def nucleus_logits(spark, sf_dir):
+    made = _cut_logits(spark, sf_dir)
+    places = F.array_compact(F.transform("cut", lambda x, i: F.when(x > float("-inf"), i)))
+    return made.select(
+        "vec_id", F.size(N.kept("some")).alias("some"), F.size(N.kept("cut")).alias("kept"), F.array_join(F.transform(places, lambda i: i.cast("string")), ",").alias("places"), r6(A.entropy(N.kept("cut")), "entropy"),
+    )
+
+
+@query("nucleus_draws", f"""{_CUT}, d AS (SELECT vec_id, i, q, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM n)
+SELECT vec_id, CAST(max(i) AS INTEGER) AS place FROM d WHERE low <= (((vec_id * 7919) % 9973) + 0.5) / 9973 GROUP BY vec_id""")
+def nucleus_draws(spark, sf_dir):
+    """A token a row, drawn from its nucleus by a number made of the row's id."""
+    u = (F.pmod(F.col("vec_id") * 7919, F.lit(9973)) + 0.5) / 9973
+    return _cut_logits(spark, sf_dir).select("vec_id", N.drawn("cut", u).alias("place"))
+
+
 @query("micro_batches")
 def micro_batches(spark, sf_dir):
     """Token-budget micro-batches of all conversations, the budget that of the longest at least; tested in Python."""
