@@ -18,6 +18,11 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it, in folds over arrays too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(a: ColumnLike) -> Column:
     """Sum of the elements, 0.0 for none; null elements count as 0."""
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
@@ -106,14 +111,15 @@ def strip_padding(ids: ColumnLike, mask: ColumnLike) -> Column:
 
 
 def log_sum_exp(a: ColumnLike) -> Column:
-    top = F.array_max(F.transform(col(a), lambda x: x.cast("double")))
-    return top + F.log(F.aggregate(col(a), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)))
+    def over(top: Column) -> Column:
+        return top + F.log(F.aggregate(col(a), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)))
+
+    return let(F.array_max(F.transform(col(a), lambda x: x.cast("double"))), over)
 
 
 def entropy(logits: ColumnLike) -> Column:
     """Entropy of the softmax: log-sum-exp less the expected logit."""
-    lse = log_sum_exp(logits)
-    return lse - F.aggregate(col(logits), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - lse) * x.cast("double"))
+    return let(log_sum_exp(logits), lambda lse: lse - F.aggregate(col(logits), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - lse) * x.cast("double")))
 
 
 def log_prob(logits: ColumnLike, label: ColumnLike) -> Column:

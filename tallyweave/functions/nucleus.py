@@ -9,16 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyweave.functions.arrays import ColumnLike, col, log_sum_exp, tempered
+from tallyweave.functions.arrays import ColumnLike, col, let, log_sum_exp, tempered
 
 _OUT = float("-inf")
 
 
 def top_k(logits: ColumnLike, k: int, min_keep: int = 1) -> Column:
     """All logits of at least the k-th largest value: ties at the border stay, so more than k may."""
-    own = F.transform(col(logits), lambda x: x.cast("double"))
-    least = F.get(F.sort_array(own, asc=False), F.least(F.lit(max(k, min_keep)), F.size(own)) - 1)
-    return F.when(F.size(own) == 0, own).otherwise(F.transform(own, lambda x: F.when(x >= least, x).otherwise(_OUT)))
+
+    def cut(own: Column) -> Column:
+        least = F.get(F.sort_array(own, asc=False), F.least(F.lit(max(k, min_keep)), F.size(own)) - 1)
+        return let(least, lambda least: F.transform(own, lambda x: F.when(x >= least, x).otherwise(_OUT)))
+
+    return let(_doubles(logits), cut)
+
+
+def _doubles(logits: ColumnLike) -> Column:
+    return F.transform(col(logits), lambda x: x.cast("double"))
 
 
 def _by_likelihood(logits: Column) -> Column:
@@ -30,19 +37,23 @@ def top_p(logits: ColumnLike, p: float, min_keep: int = 1) -> Column:
     """The smallest set of most likely logits whose probabilities sum up to p at least; of equal logits those first in the array are taken.
 
     The set is a prefix in order of likelihood, so a fold over the sorted array finds its last member, and a comparison with
-    it marks the members in place.
+    it marks the members in place. Weights are relative to the largest one, so that equal shares sum up exactly.
     """
-    own = F.transform(col(logits), lambda x: x.cast("double"))
-    top = F.array_max(own)
-    enough = p * F.aggregate(own, F.lit(0.0), lambda s, x: s + F.exp(x - top))  # weights relative to the largest one, so equal shares sum up exactly
     first = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n"), F.lit(float("inf")).alias("x"), F.lit(1).alias("back"))
 
-    def step(acc: Column, z: Column) -> Column:
-        taken = F.struct((acc["mass"] + F.exp(z["x"] - top)).alias("mass"), (acc["n"] + 1).alias("n"), z["x"].alias("x"), z["back"].alias("back"))
-        return F.when((acc["mass"] < enough) | (acc["n"] < min_keep), taken).otherwise(acc)
+    def last(own: Column, top: Column, enough: Column) -> Column:
+        def step(acc: Column, z: Column) -> Column:
+            taken = F.struct((acc["mass"] + F.exp(z["x"] - top)).alias("mass"), (acc["n"] + 1).alias("n"), z["x"].alias("x"), z["back"].alias("back"))
+            return F.when((acc["mass"] < enough) | (acc["n"] < min_keep), taken).otherwise(acc)
 
-    last = F.aggregate(_by_likelihood(own), first, step)
-    return F.when(F.size(own) == 0, own).otherwise(F.transform(own, lambda x, i: F.when((x > last["x"]) | ((x == last["x"]) & (-i >= last["back"])), x).otherwise(_OUT)))
+        return F.aggregate(_by_likelihood(own), first, step)
+
+    def cut(own: Column) -> Column:
+        marked = lambda end: F.transform(own, lambda x, i: F.when((x > end["x"]) | ((x == end["x"]) & (-i >= end["back"])), x).otherwise(_OUT))
+        weight = lambda top: p * F.aggregate(own, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        return let(F.array_max(own), lambda top: let(weight(top), lambda enough: let(last(own, top, enough), marked)))
+
+    return let(_doubles(logits), cut)
 
 
 def processed(logits: ColumnLike, temperature: float = 1.0, k: int | None = None, p: float | None = None) -> Column:
@@ -62,13 +73,13 @@ def kept(logits: ColumnLike) -> Column:
 
 def drawn(logits: ColumnLike, u: Column) -> Column:
     """The place (from 0) of the logit in whose share of [0, 1) u lies, shares standing in the array's order; null where all are cut."""
-    own = F.transform(col(logits), lambda x: x.cast("double"))
-    lse = log_sum_exp(own)
     first = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        mass = acc["mass"] + F.exp(x - lse)
-        take = (x > _OUT) & (acc["found"].isNull() | (acc["mass"] <= u))  # rounding may leave u beyond the last share
-        return F.struct(mass.alias("mass"), (acc["at"] + 1).alias("at"), F.when(take, acc["at"]).otherwise(acc["found"]).alias("found"))
+    def place(own: Column, lse: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            take = (x > _OUT) & (acc["found"].isNull() | (acc["mass"] <= u))  # rounding may leave u beyond the last share
+            return F.struct((acc["mass"] + F.exp(x - lse)).alias("mass"), (acc["at"] + 1).alias("at"), F.when(take, acc["at"]).otherwise(acc["found"]).alias("found"))
+
+        return F.aggregate(own, first, step, lambda acc: acc["found"])
 
-    return F.aggregate(own, first, step, lambda acc: acc["found"])
+    return let(_doubles(logits), lambda own: let(log_sum_exp(own), lambda lse: place(own, lse)))

@@ -144,16 +144,16 @@ def _cut_logits(spark, sf_dir):
     """Coarse logits, so that borders have ties, at most about 20 of them and of those a nucleus of 0.85."""
     coarse = F.transform("embedding", lambda x: F.floor(x.cast("double") * 12).cast("double"))
     e = table(spark, sf_dir, "embeddings").select("vec_id", A.tempered(coarse, 0.7).alias("z"))
-    return e.select("vec_id", N.top_k("z", 20).alias("some"), N.top_p(N.top_k("z", 20), 0.85).alias("cut"))
+    return e.select("vec_id", N.top_k("z", 20).alias("likely"), N.top_p(N.top_k("z", 20), 0.85).alias("cut"))
 
 
-@query("nucleus_logits", f"""{_CUT}, c AS (SELECT vec_id, count(*) AS some FROM t GROUP BY vec_id)
-SELECT vec_id, any_value(some) AS some, count(*) AS kept, string_agg(i::VARCHAR, ',' ORDER BY i) AS places, round(-sum(q * ln(q)), 6) + 0.0 AS entropy FROM n JOIN c USING (vec_id) GROUP BY vec_id""")
+@query("nucleus_logits", f"""{_CUT}, c AS (SELECT vec_id, count(*) AS likely FROM t GROUP BY vec_id)
+SELECT vec_id, any_value(likely) AS likely, count(*) AS kept, string_agg(i::VARCHAR, ',' ORDER BY i) AS places, round(-sum(q * ln(q)), 6) + 0.0 AS entropy FROM n JOIN c USING (vec_id) GROUP BY vec_id""")
 def nucleus_logits(spark, sf_dir):
     made = _cut_logits(spark, sf_dir)
     places = F.array_compact(F.transform("cut", lambda x, i: F.when(x > float("-inf"), i)))
     return made.select(
-        "vec_id", F.size(N.kept("some")).alias("some"), F.size(N.kept("cut")).alias("kept"), F.array_join(F.transform(places, lambda i: i.cast("string")), ",").alias("places"), r6(A.entropy(N.kept("cut")), "entropy"),
+        "vec_id", F.size(N.kept("likely")).alias("likely"), F.size(N.kept("cut")).alias("kept"), F.array_join(F.transform(places, lambda i: i.cast("string")), ",").alias("places"), r6(A.entropy(N.kept("cut")), "entropy"),
     )
 
 
