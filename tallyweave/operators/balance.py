@@ -1,22 +1,29 @@
-"""Length-balanced partitions: k-way differencing, groups kept whole, token budgets.
-
-A batch's lengths are assigned on the driver: a batch is what one training step takes, a few
-thousand sequences as a rule and MAX_ROWS at most. Larger tables are dealt out in order of length,
-back and forth over the parts, without leaving the executors.
+"""Length-balanced partitions: k-way differencing, groups kept whole, token budgets; of any number of rows.
+
+A partial solution is k sets with their sums. Two are merged by joining the largest set of one with the smallest of
+the other, the two of the widest spread first (differencing). Rows are range-partitioned by length and cut into runs of
+CHUNK; a task solves a run, from single rows or, for equal counts, from k rows of near equal length each. The runs'
+solutions, k sums each, are merged FAN at a time in a tree, and rows learn their part by joins with what became of
+their run's sets. A run's worth of rows is solved by one task, exactly as the plain algorithm does; more rows take the same
+steps, with a bound of the spread that merging only lowers. Over WIDE parts, rows are dealt in order of length to trees of
+WIDE parts at most each.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.operators import order
+from tallyweave.scratch import materialize
 
-#: Rows of one batch that are assigned on the driver.
-MAX_ROWS = 200_000
+#: Rows that one task solves, partial solutions that one task merges, parts that one tree of merges fills.
+CHUNK, FAN, WIDE = 16_384, 64, 2048
 #: Fixed values of the workload model: work is LINEAR * n + n * n.
 LINEAR = 24576
 
@@ -28,25 +35,42 @@ def workload(length: Column) -> Column:
 
 
 class _Parts:
-    """k sets of items with their sums, largest sum first."""
+    """k sets of items with their sums, largest sum first; empty sets aren't held."""
 
-    __slots__ = ("sets",)
+    __slots__ = ("parts", "sets")
 
-    def __init__(self, sets: list[tuple[int, list[int]]]):
-        self.sets = sorted(sets, key=lambda s: (-s[0], -len(s[1]), s[1]))
+    def __init__(self, sets: list[tuple[int, list[int]]], parts: int):
+        self.sets = sorted((s for s in sets if s[1]), key=lambda s: (-s[0], -len(s[1]), s[1]))
+        self.parts = parts
 
     @property
     def spread(self) -> int:
-        return self.sets[0][0] - self.sets[-1][0]
+        if not self.sets:
+            return 0
+        return self.sets[0][0] - (self.sets[-1][0] if len(self.sets) == self.parts else 0)
 
     def __lt__(self, other: _Parts) -> bool:
         if self.spread != other.spread:
             return self.spread > other.spread
-        return [(-s, x) for s, x in self.sets] < [(-s, x) for s, x in other.sets]
+        for (s, x), (t, y) in itertools.zip_longest(self.sets, other.sets, fillvalue=(0, [])):
+            if (-s, x) != (-t, y):
+                return (-s, x) < (-t, y)
+        return False
 
     def joined(self, other: _Parts) -> _Parts:
         """Largest of one with smallest of the other."""
-        return _Parts([(a + b, x + y) for (a, x), (b, y) in zip(self.sets, reversed(other.sets), strict=True)])
+        a, b, k = self.sets, other.sets, self.parts
+        both = range(max(0, k - len(b)), len(a))
+        return _Parts([*a[: both.start], *b[: k - len(a)], *((a[i][0] + b[k - 1 - i][0], a[i][1] + b[k - 1 - i][1]) for i in both)], k)
+
+
+def _merged(solutions: list[_Parts]) -> list[tuple[int, list[int]]]:
+    """The sets of all solutions merged, the two of the widest spread first."""
+    heapq.heapify(solutions)
+    while len(solutions) > 1:
+        a, b = heapq.heappop(solutions), heapq.heappop(solutions)
+        heapq.heappush(solutions, a.joined(b))
+    return solutions[0].sets if solutions else []
 
 
 def differencing(lengths: Sequence[int], parts: int, equal_size: bool = False) -> list[list[int]]:
@@ -55,14 +79,11 @@ def differencing(lengths: Sequence[int], parts: int, equal_size: bool = False) -
     if equal_size:
         if len(order) % parts:
             raise ValueError(f"{len(order)} items don't divide into {parts} parts")
-        start = [_Parts([(lengths[i], [i]) for i in order[at : at + parts]]) for at in range(0, len(order), parts)]
+        start = [_Parts([(lengths[i], [i]) for i in order[at : at + parts]], parts) for at in range(0, len(order), parts)]
     else:
-        start = [_Parts([(lengths[i], [i])] + [(0, [])] * (parts - 1)) for i in order]
-    heapq.heapify(start)
-    while len(start) > 1:
-        a, b = heapq.heappop(start), heapq.heappop(start)
-        heapq.heappush(start, a.joined(b))
-    return [sorted(x) for _, x in start[0].sets] if start else [[] for _ in range(parts)]
+        start = [_Parts([(lengths[i], [i])], parts) for i in order]
+    made = [sorted(x) for _, x in _merged(start)]
+    return made + [[] for _ in range(parts - len(made))]
 
 
 def greedy(lengths: Sequence[int], parts: int, equal_size: bool = False) -> list[list[int]]:
@@ -121,38 +142,97 @@ def restore(parts: Sequence[Sequence[int]]) -> list[int]:
     return out
 
 
-def dealt(df: DataFrame, parts: int, *, length: str = "seqlen", part: str = "part") -> DataFrame:
-    """Add `part` and `place`: rows in order of length, longest first, go to parts 0, 1, ... and back again; counts differ by one at most."""
-    at = order.fresh(df, "_at")
-    ranked = order.numbered(df, [F.desc(length), F.col("row_id")], at)
-    turn, k = F.floor(F.col(at) / parts).cast("int"), F.pmod(F.col(at), F.lit(parts)).cast("int")
-    return ranked.withColumn(part, F.when(turn % 2 == 0, k).otherwise(parts - 1 - k)).withColumn("place", turn).drop(at)
+def _widths(parts: int, equal_size: bool) -> list[int]:
+    """The parts of each tree: WIDE at most; with equal counts all trees have as many, which a prime number of parts can't."""
+    trees = -(-parts // WIDE)
+    if equal_size:
+        trees = next((t for t in range(trees, min(parts, 64 * trees) + 1) if parts % t == 0), 1)
+    return [parts // trees + (t < parts % trees) for t in range(trees)]
+
+
+def _solved(rows: DataFrame, parts: int, *, equal_size: bool = False, how: str = "differencing") -> DataFrame:
+    """(row_id, part) of rows (row_id, _w), parts of a tree by falling weight."""
+    n, widths = rows.count(), _widths(parts, equal_size)
+    if how == "differencing" and n < parts:
+        raise ValueError(f"{n} items for {parts} parts")
+    if how == "differencing" and equal_size and n % parts:
+        raise ValueError(f"{n} items don't divide into {parts} parts")
+    trees, widest = len(widths), max(widths)
+    run = -(-max(CHUNK, widest) // widest) * widest if equal_size else max(CHUNK, widest)
+    ranked = order.numbered(rows, ["_w", "row_id"] if how == "differencing" else ["row_id"], "_at")
+    base, extra = parts // trees, parts % trees
+    seat = F.pmod("_at", F.lit(parts))  # every tree gets rows in proportion to its parts
+    tree = F.when(seat < extra * (base + 1), F.floor(seat / (base + 1))).otherwise(extra + F.floor((seat - extra * (base + 1)) / base))
+    starts = F.lit([0, *itertools.accumulate(widths)][:-1])
+    dealt = ranked.withColumn("tree", tree.cast("int")).withColumn("_at", F.floor(F.col("_at") / parts) * F.get(F.lit(widths), F.col("tree")) + seat - F.get(starts, F.col("tree")))
+    dealt = dealt.select("row_id", "_w", "tree", F.floor(F.col("_at") / run).alias("node"))
+
+    def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("row_id").reset_index(drop=True)
+        made = (greedy if how == "greedy" else differencing)(own["_w"].tolist(), widths[key[0]], equal_size)
+        place = {i: s for s, members in enumerate(made) for i in members}
+        return own.assign(set=[place[i] for i in range(len(own))])
+
+    solved = materialize(dealt.groupBy("tree", "node").applyInPandas(solve, "row_id long, _w long, tree int, node long, set int"), "solved")
+    became = _tree(solved.groupBy("tree", "node", "set").agg(F.sum("_w").alias("total")), -(-(-(-n // parts) * widest) // run), widths)
+    if became is not None:
+        solved = solved.join(became, ["tree", "node", "set"]).withColumn("set", F.col("_set"))
+    return solved.select("row_id", (F.get(starts, F.col("tree")) + F.col("set")).cast("int").alias("part"))
+
+
+def _tree(solutions: DataFrame, nodes: int, widths: list[int]) -> DataFrame | None:
+    """(tree, node, set, _set): the set of the whole solution that each run's set ends up in; None for single runs."""
+
+    def merge(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["node", "set"]).reset_index(drop=True)
+        totals = own["total"].tolist()
+        parts = [_Parts([(totals[i], [i]) for i in members], widths[key[0]]) for members in own.groupby("node").groups.values()]
+        into = {i: s for s, (_, members) in enumerate(_merged(parts)) for i in members}
+        return own.assign(parent=own["node"] // FAN, _set=[into[i] for i in range(len(own))])
+
+    became = None
+    while nodes > 1:
+        step = materialize(solutions.groupBy("tree", F.floor(F.col("node") / FAN)).applyInPandas(merge, "tree int, node long, set int, total long, parent long, _set int"), "merged")
+        if became is None:
+            became = step.select("tree", "node", "set", "parent", "_set")
+        else:
+            up = step.select("tree", F.col("node").alias("parent"), F.col("set").alias("_set"), F.col("parent").alias("_parent"), F.col("_set").alias("_up"))
+            became = materialize(became.join(up, ["tree", "parent", "_set"]).select("tree", "node", "set", F.col("_parent").alias("parent"), F.col("_up").alias("_set")), "became")
+        solutions = step.groupBy("tree", F.col("parent").alias("node"), F.col("_set").alias("set")).agg(F.sum("total").alias("total"))
+        nodes = -(-nodes // FAN)
+    return None if became is None else became.select("tree", "node", "set", "_set")
+
+
+def _placed(assigned: DataFrame, part: str) -> DataFrame:
+    """(row_id, part, place): places within a part in order of row_id."""
+    ranked = order.numbered(assigned, [part, "row_id"], "_at")
+    firsts = ranked.groupBy(part).agg(F.min("_at").alias("_first"))
+    return ranked.join(firsts, part).select("row_id", part, (F.col("_at") - F.col("_first")).cast("int").alias("place"))
 
 
-def _rows(df: DataFrame, columns: list[str]) -> list | None:
-    """The batch's rows in order; None where there are more than MAX_ROWS."""
-    rows = df.select(*columns).orderBy("row_id").limit(MAX_ROWS + 1).collect()
-    return rows if len(rows) <= MAX_ROWS else None
+def _runs(df: DataFrame, uid: str) -> DataFrame:
+    """df with `_run`: the number of the run of equal uids, in order of row_id, that a row is in."""
+    rows = order.numbered(df, ["row_id"], "_i")
+    before = rows.select((F.col("_i") + 1).alias("_i"), F.col(uid).alias("_uid"), F.lit(True).alias("_any"))
+    marked = rows.join(before, "_i", "left").withColumn("_new", (F.col("_any").isNull() | ~F.col(uid).eqNullSafe(F.col("_uid"))).cast("int"))
+    summed = order.prefix_sums(marked, ["row_id"], F.col("_new"), "_run")
+    return summed.withColumn("_run", (F.col("_run") + F.col("_new")).cast("long"))
 
 
 def assign(df: DataFrame, parts: int, *, length: str = "seqlen", uid: str | None = None, equal_size: bool = False, work: bool = False, how: str = "differencing") -> DataFrame:
-    """Add `part` and `place` (the position within the part), keyed by row_id.
+    """Add `part` and `place` (the position within the part, by row_id) to rows of different row_ids.
 
-    how: "differencing" or "greedy". Tables over MAX_ROWS are dealt out by length, which can't keep runs of a uid whole.
+    how: "differencing" or "greedy" (each row in turn to the lightest part of its run of CHUNK). With a uid, runs of equal
+    uids stay whole, and parts have equal numbers of runs and near equal work.
     """
-    rows = _rows(df, ["row_id", length, *([uid] if uid else [])])
-    if rows is None:
-        if uid:
-            raise ValueError(f"runs of a uid are kept whole in batches of at most {MAX_ROWS} rows")
-        return dealt(df, parts, length=length)
-    lengths = [r[length] for r in rows]
+    cost = workload(F.col(length)) if work or uid else F.col(length).cast("long")
     if uid:
-        made = balanced_groups(lengths, [r[uid] for r in rows], parts)
+        rows = materialize(_runs(df.select("row_id", uid, cost.alias("_w")), uid).select("row_id", "_run", "_w"), "runs")
+        solved = _solved(rows.groupBy(F.col("_run").alias("row_id")).agg(F.sum("_w").alias("_w")), parts, equal_size=True)
+        made = rows.join(solved.withColumnRenamed("row_id", "_run"), "_run").select("row_id", "part")
     else:
-        weights = [LINEAR * n + n * n for n in lengths] if work else lengths
-        made = greedy(weights, parts, equal_size) if how == "greedy" else balanced(weights, parts, equal_size)
-    placed = [(rows[i]["row_id"], p, k) for p, members in enumerate(made) for k, i in enumerate(members)]
-    return df.join(df.sparkSession.createDataFrame(placed, "row_id long, part int, place int"), "row_id")
+        made = _solved(df.select("row_id", cost.alias("_w")), parts, equal_size=equal_size, how=how)
+    return df.join(_placed(made, "part"), "row_id")
 
 
 def imbalance(df: DataFrame, parts: int, *, length: str = "seqlen", part: str = "part", rows: int | None = None) -> DataFrame:
@@ -165,14 +245,17 @@ def imbalance(df: DataFrame, parts: int, *, length: str = "seqlen", part: str =
 
 
 def assign_micro(df: DataFrame, max_tokens: int, *, length: str = "seqlen", divided_by: int = 1, at_least: int = 1) -> DataFrame:
-    """Add `micro` and `place`: token-budget micro-batches of one batch, keyed by row_id; ordering by row_id restores it."""
-    rows = _rows(df, ["row_id", length])
-    if rows is None:
-        whole = df.agg(F.sum(length).alias("s"), F.max(length).alias("m")).first()
-        if whole["m"] > max_tokens:
-            raise ValueError(f"a sequence of {whole['m']} tokens is over the budget of {max_tokens}")
-        count = max(at_least, -(-whole["s"] // max_tokens))
-        return dealt(df, -(-count // divided_by) * divided_by, length=length, part="micro")
-    made = micro_batches([r[length] for r in rows], max_tokens, divided_by=divided_by, at_least=at_least)
-    placed = [(rows[i]["row_id"], m, k) for m, members in enumerate(made) for k, i in enumerate(members)]
-    return df.join(df.sparkSession.createDataFrame(placed, "row_id long, micro int, place int"), "row_id")
+    """Add `micro` and `place`: token-budget micro-batches, heavy ones in the middle; ordering by row_id restores the batch."""
+    whole = df.agg(F.count("*").alias("n"), F.sum(F.col(length).cast("long")).alias("tokens"), F.max(length).alias("most")).first()
+    if not whole["n"]:
+        return df.withColumns({"micro": F.lit(None).cast("int"), "place": F.lit(None).cast("int")})
+    if whole["most"] > max_tokens:
+        raise ValueError(f"a sequence of {whole['most']} tokens is over the budget of {max_tokens}")
+    count = max(at_least, min(whole["n"], -(-whole["tokens"] // max_tokens)))
+    count = min(whole["n"], -(-count // divided_by) * divided_by)
+    cost = df.select("row_id", workload(F.col(length)).alias("_w"))
+    made = _solved(cost, count)
+    ranked = order.numbered(made.join(cost, "row_id").groupBy("part").agg(F.sum("_w").alias("_w")), [F.desc("_w"), F.col("part")], "_rank")
+    evens, half = (count + 1) // 2, F.floor(F.col("_rank") / 2)
+    seats = ranked.select("part", F.when(F.col("_rank") % 2 == 0, evens - 1 - half).otherwise(evens + half).cast("int").alias("micro"))
+    return df.join(_placed(made.join(seats, "part").select("row_id", "micro"), "micro"), "row_id")
