@@ -1,12 +1,12 @@
 """Length-balanced partitions: k-way differencing, groups kept whole, token budgets; of any number of rows.
 
 A partial solution is k sets with their sums. Two are merged by joining the largest set of one with the smallest of
-the other, the two of the widest spread first (differencing). Rows are range-partitioned by length and cut into runs of
-CHUNK; a task solves a run, from single rows or, for equal counts, from k rows of near equal length each. The runs'
-solutions, k sums each, are merged FAN at a time in a tree, and rows learn their part by joins with what became of
-their run's sets. A run's worth of rows is solved by one task, exactly as the plain algorithm does; more rows take the same
-steps, with a bound of the spread that merging only lowers. Over WIDE parts, rows are dealt in order of length to trees of
-WIDE parts at most each.
+the other, the two of the widest spread first (differencing). Rows are numbered in order of length over range partitions
+and dealt, k rows of near equal length at a time, to runs of about CHUNK rows; a task solves a run, from single rows or,
+for equal counts, from such k rows each. The runs' solutions, k sums each, are merged FAN at a time in a tree, and rows
+learn their part by joins with what became of their run's sets. One run is solved exactly as the plain algorithm does;
+more runs take the same steps, and merging never widens the largest spread. Over WIDE parts, rows are dealt in order of
+length to trees of WIDE parts at most each.
 """
 
 from __future__ import annotations
@@ -165,7 +165,8 @@ def _solved(rows: DataFrame, parts: int, *, equal_size: bool = False, how: str =
     tree = F.when(seat < extra * (base + 1), F.floor(seat / (base + 1))).otherwise(extra + F.floor((seat - extra * (base + 1)) / base))
     starts = F.lit([0, *itertools.accumulate(widths)][:-1])
     dealt = ranked.withColumn("tree", tree.cast("int")).withColumn("_at", F.floor(F.col("_at") / parts) * F.get(F.lit(widths), F.col("tree")) + seat - F.get(starts, F.col("tree")))
-    dealt = dealt.select("row_id", "_w", "tree", F.floor(F.col("_at") / run).alias("node"))
+    runs = -(-(-(-n // parts) * widest) // run)
+    dealt = dealt.select("row_id", "_w", "tree", F.pmod(F.floor(F.col("_at") / F.get(F.lit(widths), F.col("tree"))), F.lit(runs)).alias("node"))
 
     def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("row_id").reset_index(drop=True)
@@ -174,7 +175,7 @@ def _solved(rows: DataFrame, parts: int, *, equal_size: bool = False, how: str =
         return own.assign(set=[place[i] for i in range(len(own))])
 
     solved = materialize(dealt.groupBy("tree", "node").applyInPandas(solve, "row_id long, _w long, tree int, node long, set int"), "solved")
-    became = _tree(solved.groupBy("tree", "node", "set").agg(F.sum("_w").alias("total")), -(-(-(-n // parts) * widest) // run), widths)
+    became = _tree(solved.groupBy("tree", "node", "set").agg(F.sum("_w").alias("total")), runs, widths)
     if became is not None:
         solved = solved.join(became, ["tree", "node", "set"]).withColumn("set", F.col("_set"))
     return solved.select("row_id", (F.get(starts, F.col("tree")) + F.col("set")).cast("int").alias("part"))
