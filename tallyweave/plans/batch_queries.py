@@ -235,13 +235,15 @@ def loop_performance(spark, sf_dir):
     return got.select(*[r6(c, c) for c in got.columns if c.split("_")[0] in ("generate", "tool")], "slowest_row")
 
 
-@query("rate_schedules", """WITH s AS (SELECT unnest(range(0, 101)) AS step) SELECT step, round(CASE WHEN step < 10 THEN step / 10 ELSE greatest(0, (cos(pi() * (step - 10) / 90) + 1) * 0.5 * 0.9 + 0.1) END, 6) AS cosine,
-round(CASE WHEN step < 10 THEN step / 10 ELSE 1 END, 6) AS constant FROM s""")
+@query("rate_schedules", """WITH s AS (SELECT event_id, event_id % 1000 AS step FROM events) SELECT event_id, round(CASE WHEN step < 100 THEN step / 100 ELSE greatest(0, (cos(pi() * (step - 100) / 900) + 1) * 0.5 * 0.9 + 0.1) END, 6) AS cosine,
+round(CASE WHEN step < 100 THEN step / 100 ELSE 1 END, 6) AS constant, round(CASE WHEN step < 100 THEN 0.2 + 0.8 * step / 100 WHEN step < 820 THEN 1 ELSE 0.8 * greatest(0, 0.5 * (1 + cos(pi() * (step - 820) / 180))) + 0.2 END, 6) AS held FROM s""")
 def rate_schedules(spark, sf_dir):
-    steps = spark.range(101).select(F.col("id").alias("step"))
-    one = M.schedule(steps, "cosine", 10, 100, floor=0.1).withColumnRenamed("rate", "c")
-    two = M.schedule(one, "constant", 10, 100)
-    return two.select("step", r6("c", "cosine"), r6("rate", "constant"))
+    """Rates at each event, a step of a run of 1000."""
+    steps = table(spark, sf_dir, "events").select("event_id", F.pmod("event_id", F.lit(1000)).alias("step"))
+    one = M.schedule(steps, "cosine", 100, 1000, floor=0.1).withColumnRenamed("rate", "c")
+    two = M.schedule(one, "constant", 100, 1000).withColumnRenamed("rate", "k")
+    three = M.schedule(two, "wsd", 100, 1000, floor=0.2, stable=0.8)
+    return three.select("event_id", r6("c", "cosine"), r6("k", "constant"), r6("rate", "held"))
 
 
 @query("workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS work FROM documents")

@@ -56,12 +56,15 @@ def eval_source_means(spark, sf_dir):
     return E.source_means(rollouts(spark, sf_dir, "rewards"), "rewards").select("data_source", r6("score", "score"))
 
 
-@query("eval_sections", """WITH m(variable, metric) AS (VALUES ('acc', 'mean@8'), ('acc', 'best@8/mean'), ('acc', 'best@4/mean'), ('acc', 'std@8'), ('len', 'mean@8'))
-SELECT variable, metric, CASE WHEN variable = 'acc' AND regexp_matches(metric, '^(mean|maj|best)@') AND contains(metric, '@8') THEN 'val-core' ELSE 'val-aux' END AS section FROM m""")
+@query("eval_sections", """WITH m AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'len' ELSE 'acc' END AS variable, ['mean', 'best', 'maj', 'std', 'worst'][o_orderkey % 5 + 1] || '@' || (2 * (o_custkey % 4 + 1)) || '/' || o_orderstatus AS metric FROM orders)
+SELECT o_orderkey, variable, metric, CASE WHEN variable = 'acc' AND regexp_matches(metric, '^(mean|maj|best)@') AND contains(metric, '@8') THEN 'val-core' ELSE 'val-aux' END AS section FROM m""")
 def eval_sections(spark, sf_dir):
-    rows = [("acc", "mean@8"), ("acc", "best@8/mean"), ("acc", "best@4/mean"), ("acc", "std@8"), ("len", "mean@8")]
-    m = spark.createDataFrame(rows, "variable string, metric string")
-    return m.select("variable", "metric", E.section("variable", "metric", "acc", F.lit(8)).alias("section"))
+    """A metric's name for each order, and the section it belongs to."""
+    o = table(spark, sf_dir, "orders")
+    kinds = F.array(*[F.lit(k) for k in ("mean", "best", "maj", "std", "worst")])
+    name = F.concat(F.get(kinds, F.pmod("o_orderkey", F.lit(5)).cast("int")), F.lit("@"), (2 * (F.col("o_custkey") % 4 + 1)).cast("string"), F.lit("/"), F.col("o_orderstatus"))
+    m = o.select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, "len").otherwise("acc").alias("variable"), name.alias("metric"))
+    return m.select("o_orderkey", "variable", "metric", E.section("variable", "metric", "acc", F.lit(8)).alias("section"))
 
 
 @query("samples_per_prompt", "SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS responses FROM orders GROUP BY o_custkey")
