@@ -4,9 +4,9 @@ A check is a function of the response and a lookup of its arguments, which are c
 plan serves constants and arguments that differ from row to row. An argument that is not given
 makes a check that needs it null, which counts as failed. Responses of null fail.
 
-Where the usual tools are not at hand: a sentence ends at . ! or ? before white space; words
-are runs of word characters, or else single signs; the language is told by common short words
-of English, French, German and Spanish, and a response that has none of them passes.
+Words are runs of word characters, or else single signs. Sentences and languages are found by models learned from a corpus
+(`textmodels`) where they are given; else a sentence ends at . ! or ? before white space, and the language is told by
+common short words of English, French, German and Spanish, and a response that has none of them passes.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Get = Callable[[str], Column]
-Check = Callable[[Column, Get], Column]
+from tallyweave.functions import textmodels
+from tallyweave.functions.textmodels import Boundaries, Profiles
+
+Check = Callable[[Column, "Get"], Column]
 CHECKS: dict[str, Check] = {}
 
 #: The answers of the constrained-response check, and dividers between parts.
@@ -91,6 +93,26 @@ def listed(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(c, r'^\s*\[|\]\s*$|"', ""), ","), strip), lambda x: x != "")
 
 
+class Get:
+    """Looks an argument of a check up, and has the ways to find sentences and to tell a language.
+
+    With models learned from a corpus these are used in place of the simple rules; a text whose language a
+    model can't tell passes.
+    """
+
+    def __init__(self, argument: Callable[[str], Column], profiles: Profiles | None = None, boundaries: Boundaries | None = None):
+        self.argument, self.profiles, self.boundaries = argument, profiles, boundaries
+
+    def __call__(self, name: str) -> Column:
+        return self.argument(name)
+
+    def sentences(self, c: Column) -> Column:
+        return sentences(c) if self.boundaries is None else textmodels.sentences(c, self.boundaries)
+
+    def language_is(self, c: Column, language: Column) -> Column:
+        return language_is(c, language) if self.profiles is None else F.coalesce(textmodels.language_of(c, self.profiles) == language, F.lit(True))
+
+
 def language_is(c: Column, language: Column) -> Column:
     votes = [F.struct(count(F.lower(c), rf"(?U)\b({w})\b").alias("n"), F.lit(name).alias("name")) for name, w in COMMON.items()]
     best = F.array_max(F.array(*votes))
@@ -120,12 +142,12 @@ def _(c: Column, get: Get) -> Column:
 
 @check("language:response_language")
 def _(c: Column, get: Get) -> Column:
-    return language_is(c, get("language"))
+    return get.language_is(c, get("language"))
 
 
 @check("length_constraints:number_sentences")
 def _(c: Column, get: Get) -> Column:
-    return related(F.size(sentences(c)), get("num_sentences"), get("relation"))
+    return related(F.size(get.sentences(c)), get("num_sentences"), get("relation"))
 
 
 @check("length_constraints:number_paragraphs")
@@ -221,12 +243,12 @@ def _(c: Column, get: Get) -> Column:
 
 @check("change_case:english_capital")
 def _(c: Column, get: Get) -> Column:
-    return (F.upper(c) == c) & (F.lower(c) != c) & language_is(c, F.lit("en"))
+    return (F.upper(c) == c) & (F.lower(c) != c) & get.language_is(c, F.lit("en"))
 
 
 @check("change_case:english_lowercase")
 def _(c: Column, get: Get) -> Column:
-    return (F.lower(c) == c) & (F.upper(c) != c) & language_is(c, F.lit("en"))
+    return (F.lower(c) == c) & (F.upper(c) != c) & get.language_is(c, F.lit("en"))
 
 
 @check("punctuation:no_comma")
@@ -263,7 +285,7 @@ def _(c: Column, get: Get) -> Column:
 @check("detectable_format:sentence_hyphens")
 def _(c: Column, get: Get) -> Column:
     own = F.split(c, "-")
-    gold = sentences(F.regexp_replace(c, "-", " "))
+    gold = get.sentences(F.regexp_replace(c, "-", " "))
     n = F.least(F.size(own), F.size(gold))
     return F.forall(F.arrays_zip(F.slice(own, F.lit(1), n).alias("a"), F.slice(gold, F.lit(1), n).alias("b")), lambda z: z["a"] == z["b"])
 
@@ -304,7 +326,7 @@ def _(c: Column, get: Get) -> Column:
 
 @check("first_word:first_word_sent")
 def _(c: Column, get: Get) -> Column:
-    return F.forall(sentences(c), lambda s: F.lower(F.get(words(s), F.lit(0))) == F.lower(get("first_word")))
+    return F.forall(get.sentences(c), lambda s: F.lower(F.get(words(s), F.lit(0))) == F.lower(get("first_word")))
 
 
 @check("first_word:first_word_answer")
@@ -314,7 +336,7 @@ def _(c: Column, get: Get) -> Column:
 
 @check("last_word:last_word_sent")
 def _(c: Column, get: Get) -> Column:
-    return F.forall(sentences(c), lambda s: bare(F.get(words(s), F.size(words(s)) - 1)) == F.lower(get("last_word")))
+    return F.forall(get.sentences(c), lambda s: bare(F.get(words(s), F.size(words(s)) - 1)) == F.lower(get("last_word")))
 
 
 @check("last_word:last_word_answer")
@@ -360,7 +382,7 @@ def _(c: Column, get: Get) -> Column:
 def _(c: Column, get: Get) -> Column:
     n, hole = parts(c, STARS)
     full = F.filter(F.transform(F.split(c, STARS), strip), lambda x: x != "")
-    even = F.forall(full, lambda p: (F.size(sentences(p)) == get("n_sent").cast("int")) & F.forall(sentences(p), lambda s: F.size(word_tokens(s)) == get("n_words").cast("int")))
+    even = F.forall(full, lambda p: (F.size(get.sentences(p)) == get("n_sent").cast("int")) & F.forall(get.sentences(p), lambda s: F.size(word_tokens(s)) == get("n_words").cast("int")))
     return ~hole & (n == 3) & even
 
 
@@ -381,7 +403,7 @@ def _(c: Column, get: Get) -> Column:
 
 @check("keywords:keyword_specific_position")
 def _(c: Column, get: Get) -> Column:
-    s = F.get(sentences(c), get("n").cast("int") - 1)
+    s = F.get(get.sentences(c), get("n").cast("int") - 1)
     return F.coalesce(F.get(word_tokens(s), get("m").cast("int") - 1) == get("keyword"), F.lit(False))
 
 
@@ -391,15 +413,15 @@ def _(c: Column, get: Get) -> Column:
     return (F.size(t) > 1) & (F.lower(F.get(t, F.lit(0))) == F.lower(F.get(t, F.size(t) - 1)))
 
 
-def passes(check_id: str, text: Column | str, **arguments: object) -> Column:
+def passes(check_id: str, text: Column | str, *, profiles: Profiles | None = None, boundaries: Boundaries | None = None, **arguments: object) -> Column:
     """Whether a response passes one check with constant arguments; lists are joined by commas."""
     c = F.col(text) if isinstance(text, str) else text
     known = {k: ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v) for k, v in arguments.items()}
-    get = lambda name: F.lit(known.get(name)).cast("string")
+    get = Get(lambda name: F.lit(known.get(name)).cast("string"), profiles, boundaries)
     return F.coalesce(CHECKS[check_id](c, get), F.lit(False))
 
 
-def constraint_score(df: DataFrame, text: str = "response", constraints: str = "constraints", key: str = "row_id") -> DataFrame:
+def constraint_score(df: DataFrame, text: str = "response", constraints: str = "constraints", key: str = "row_id", *, profiles: Profiles | None = None, boundaries: Boundaries | None = None) -> DataFrame:
     """(key, score): the share of a row's constraints that its response passes.
 
     constraints: array<struct<instruction_id: array<string>, kwargs: array<map<string, string>>>>. Missing
@@ -407,7 +429,7 @@ def constraint_score(df: DataFrame, text: str = "response", constraints: str = "
     """
     ids = df.select(key, text, F.explode(constraints).alias("g")).select(key, text, F.posexplode("g.instruction_id").alias("i", "id"), "g.kwargs")
     one = ids.withColumn("kw", F.coalesce(F.get("kwargs", F.col("i")), F.create_map().cast("map<string,string>")))
-    get = lambda name: F.element_at("kw", F.lit(name))
+    get = Get(lambda name: F.element_at("kw", F.lit(name)), profiles, boundaries)
     blank = F.coalesce(strip(F.col(text)) == "", F.lit(True))
     passed = F.lit(False)
     for check_id, f in CHECKS.items():

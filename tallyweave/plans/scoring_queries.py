@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import arrays as A
 from tallyweave.functions import checks as C
 from tallyweave.functions import scoring as S
+from tallyweave.functions import textmodels as T
 from tallyweave.operators import evaluation as E
 from tallyweave.operators import verbs as V
 from tallyweave.plans.tables import GRP, query, r6, rollouts, table
@@ -302,6 +303,23 @@ def checks_constraint_score(spark, sf_dir):
     return C.constraint_score(d.withColumn("constraints", F.array(group)), key="doc_id").select("doc_id", r6("score", "score"))
 
 
+@query("languages_told")
+def languages_told(spark, sf_dir):
+    """Each document's language by n-gram profiles that were learned from the rows whose doc_id leaves 1, 2 or 3 over 4."""
+    d = table(spark, sf_dir, "documents")
+    held = F.pmod("doc_id", F.lit(4)) == 0
+    profiles = T.fit_profiles(d.filter(~held))
+    return d.select("doc_id", held.alias("held_out"), "lang", T.language_of(F.col("text"), profiles).alias("told"), C.passes("language:response_language", "text", profiles=profiles, language="en").alias("english"))
+
+
+@query("sentence_bounds")
+def sentence_bounds(spark, sf_dir):
+    """Sentences of each document by boundaries learned from all of them, and by the plain rule."""
+    d = table(spark, sf_dir, "documents")
+    known = T.fit_boundaries(d)
+    return d.select("doc_id", F.size(T.sentences(F.col("text"), known)).alias("learned"), F.size(C.sentences(F.col("text"))).alias("plain"))
+
+
 # --- datasets -------------------------------------------------------------------------------
 
 

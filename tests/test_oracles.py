@@ -117,6 +117,19 @@ def hold_path(got, duck):
             assert abs(path[step] - b) < 1e-6 + 1e-9 * b
 
 
+def hold_languages(got, duck):
+    n = duck.execute("select count(*) from documents").fetchone()[0]
+    assert len(got) == n and all(r["held_out"] == (r["doc_id"] % 4 == 0) for r in got)
+    told = [r for r in got if r["held_out"] and r["told"] is not None]
+    assert sum(r["told"] == r["lang"] for r in told) >= 0.9 * len(told) and all(r["english"] == (r["told"] in ("en", None)) for r in got)
+
+
+def hold_sentences(got, duck):
+    want = dict(duck.execute(r"select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda a: trim(a, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) from documents").fetchall())
+    assert {r["doc_id"]: r["plain"] for r in got} == want and all((r["plain"] > 0) == (r["learned"] > 0) for r in got)
+    assert sum(r["learned"] for r in got) >= 0.8 * sum(r["plain"] for r in got)
+
+
 def hold_rollup(got, duck):
     """Means over prompts against SQL; the bootstrapped metrics are held against numpy in test_operators."""
     known = {(r["data_source"], r["metric"]): r["value"] for r in got if r["metric"].startswith("mean@")}
@@ -136,6 +149,8 @@ HOLDS = {
     "sink_sample_generations": hold_generations,
     "preprocess_holdout": hold_holdout,
     "adaptive_kl_path_all": hold_path,
+    "languages_told": hold_languages,
+    "sentence_bounds": hold_sentences,
     "eval_rollup_bootstrap": hold_rollup,
 }
 
