@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
 from tallyweave.functions import scoring as S
+from tallyweave.functions.deadline import Failed, Supervised
 
 MANAGERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -72,8 +73,14 @@ def number(result: object) -> float:
     return float(result[0] if isinstance(result, tuple | list) else result)
 
 
-def each(f: Callable, source: str, response: str, truth: str, **kwargs) -> Column:
-    """Scores by a user's function of one response; null where it raises."""
+def each(f: Callable, source: str, response: str, truth: str, *, seconds: float | None = None, **kwargs) -> Column:
+    """Scores by a user's function of one response; null where it raises.
+
+    With `seconds`, a child process of each task makes the calls, and a call that takes longer, or ends its process, gives
+    null too; its neighbours keep their scores.
+    """
+    if seconds is not None:
+        return _within(lambda s, r, g: number(f(s, r, g, **kwargs)), seconds, source, response, truth)
 
     def guarded(s: str, r: str, g: str) -> float | None:
         try:
@@ -84,6 +91,22 @@ def each(f: Callable, source: str, response: str, truth: str, **kwargs) -> Colum
     return batched_raw(guarded, source, response, truth)
 
 
+def _within(f: Callable, seconds: float, source: str, response: str, truth: str) -> Column:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with Supervised(f, seconds) as call:  # one child a task, and one more for each call that overruns
+            for batch in batches:
+                out = []
+                for row in zip(*batch, strict=True):
+                    try:
+                        out.append(call(*row))
+                    except Failed:
+                        out.append(None)
+                yield pd.Series(out, dtype=float)
+
+    return run(F.col(source), F.col(response), F.col(truth))
+
+
 def batched_raw(f: Callable, source: str, response: str, truth: str) -> Column:
     @F.pandas_udf("double")
     def run(sources: pd.Series, responses: pd.Series, truths: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ from tallyweave.operators import verbs as V
 from tallyweave.plans.tables import GRP, query, r6, rollouts, table
 from tallyweave.scratch import fresh_path
 from tallyweave.sources import datasets as D
+from tallyweave.sources import metricsink
 from tallyweave.sources import preprocess as P
 from tallyweave.sources import sinks as K
 
@@ -432,6 +433,17 @@ def sink_metric_rows(spark, sf_dir):
     return K.metric_rows(e.select(F.struct("mean", "n").alias("a")), 5)
 
 
+@query("sink_metric_lines", "SELECT user_id % 10 AS step, event_type AS name, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def sink_metric_lines(spark, sf_dir):
+    """Means by step and type, written by the committing sink in two appends, read back."""
+    metricsink.register(spark)
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).cast("long").alias("step"), F.col("event_type").alias("name")).agg(r6(F.avg("value"), "value"))
+    path = fresh_path(spark, "metric-lines")
+    for half in (0, 1):
+        e.filter(F.col("step") % 2 == half).write.format("metric-lines").mode("append").save(path)
+    return spark.read.format("metric-lines").load(path)
+
+
 @query("sink_metric_line", "SELECT 5::BIGINT AS step, 'step:5 - n:' || printf('%.3f', count(*)::DOUBLE) AS line FROM events")
 def sink_metric_line(spark, sf_dir):
     e = table(spark, sf_dir, "events").agg(F.count("*").cast("double").alias("value")).select(F.lit(5).cast("long").alias("step"), F.lit("n").alias("name"), "value")
