@@ -11,6 +11,10 @@ themselves. Only verified links unite. A block's first member is compared with a
 round, further members with those that verified links have not united with them, until each block is one
 component or all of it was compared; so a large group takes no more pairs than it has rows in its blocks.
 
+A block of over TILE rows is not one task's work: its rows are numbered over range partitions and dealt, in
+each round, to tiles of TILE rows and MEMBERS members, with copies of rows where several tiles need them; each pair
+of the round meets in one tile. Rounds double, so a block of k rows without likes takes about log2(k) of them.
+
 Defined results: null and empty texts have no shingles and are equal to each other. A text of fewer words
 than a shingle has one shingle, the whole. Rows are told apart by doc_id and text; rows with a null doc_id
 link like any other. Repeated rows get equal results. An empty table gives no rows.
@@ -31,14 +35,19 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import importable, materialize, new_name, release, text_slices, trimmed
 from tallyweave.llm.components import component_labels
 from tallyweave.llm.minhash import shingles
+from tallyweave.llm.ranks import prefix_sums
 
 PIVOTS = 16
 #: Words of the sketch that bounds how much two shingle sets differ.
 SKETCH = 8
 #: Size from which a shingle set is cut into parts, a power of two; sketches of larger sets would tell nothing.
 WHOLE = 512
-#: Members of a block from which each round of comparisons with the others starts; later rounds go on in steps of the last.
+#: Members of a block from which each round of comparisons with the others starts; later rounds double.
 ROUNDS = (0, 1, 64, 4096)
+#: Rows of a tile, and members that they are compared with.
+TILE, MEMBERS = 16_384, 4096
+#: Large blocks that are named in a broadcast at most.
+NAMED = 100_000
 #: Rows from which a run is worked off in pieces.
 LONG_RUN = 200_000
 #: Bytes of text whose shingles a worker holds.
@@ -229,27 +238,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(name[new]), pa.array(part[new])], names=["block", "name", "part"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float) -> Iterator[pa.RecordBatch]:
+#: Marks of a row in a tile: a copy is there for the rows after it only; members are compared with all after them.
+COPY, MEMBER = 1, 2
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, threshold: float, tiled: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of a block with different labels that may be alike; a is one of its members `first` to `last`, b a later one.
 
-    Of a large block its first `last` members are held, and others as they pass. Rows come ordered, as (block, name, label, n, size, sketch words...). Sets or parts alike by the threshold have
+    Of a large block its first `last` members are held, and others as they pass. Rows come ordered, as (block, name, label, n, size, sketch words...),
+    tiled ones as (tile, name, label, n, size, marks, sketch words...) with their members first. Sets or parts alike by the threshold have
     sizes in that ratio at least and differ in (1 - t) / (1 + t) of their summed sizes at most.
     """
     share = (1 - threshold) / (1 + threshold)
     pivots = pivot_values(SKETCH)
-    for got, _ in _runs(batches, last):
+    for got, _ in _runs(batches, 0 if tiled else last):
         block, name, label, n, size = got[:5]
-        sketch = np.ascontiguousarray(got[5:].T).view(np.uint64)
+        sketch = np.ascontiguousarray(got[6 if tiled else 5 :].T).view(np.uint64)
         table = np.stack([distances(sketch, p) for p in pivots])
         starts = np.flatnonzero(_first_of(block))
         sizes = np.diff(np.append(starts, len(block)))
         start = np.repeat(starts, sizes)
         rank = np.arange(len(block)) - start
         later = np.arange(len(block))
-        for i in range(first, min(last, int(sizes.max()) - 1)):
+        if tiled:
+            members = range(int(rank[got[5] & MEMBER != 0].max(initial=-1)) + 1)
+        else:
+            members = range(first, min(last, int(sizes.max()) - 1))
+        for i in members:
             later = later[rank[later] > i]
             a, b = start[later] + i, later
             may = label[a] != label[b]
+            if tiled:
+                may &= got[5][b] & COPY == 0
             for of in (n, size):
                 may &= np.minimum(of[a], of[b]) >= threshold * np.maximum(of[a], of[b]) - 1e-9
             may = np.flatnonzero(may)
@@ -260,6 +280,45 @@ def _candidates(batches: Iterator[pa.RecordBatch], first: int, last: int, thresh
                 yield pa.RecordBatch.from_arrays([pa.array(name[a[may]]), pa.array(name[b[may]])], names=["a", "b"])
 
 
+def _tiles(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of large blocks, with their rank and their block's size k, dealt to the tiles of a round: adds `tile` and `marks`.
+
+    A row from `first` on is in the tiles of its own TILE ranks and of all runs of MEMBERS members up to its own;
+    a member is copied to the tiles of all later ranks as well.
+    """
+    rank = F.col("rank")
+    runs = F.ceil((F.least(F.col("k"), F.lit(last)) - first) / MEMBERS)
+    run, chunk = F.floor((rank - first) / MEMBERS), F.floor(rank / TILE)
+    place = lambda r, c, copy: F.struct(r.cast("long").alias("run"), c.cast("long").alias("chunk"), F.lit(copy).alias("copy"))
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.least(runs - 1, run).cast("long")), lambda r: place(r, chunk, 0))
+    ends = F.floor((F.col("k") - 1) / TILE)
+    copies = F.when((rank < last) & (chunk < ends), F.transform(F.sequence((chunk + 1).cast("long"), F.greatest(ends, chunk + 1).cast("long")), lambda c: place(run, c, COPY)))
+    dealt = rows.filter(rank >= first).withColumn("_at", F.explode(F.concat(own, F.coalesce(copies, F.array().cast("array<struct<run:bigint,chunk:bigint,copy:int>>")))))
+    member = F.when((rank < last) & (run == F.col("_at.run")), MEMBER).otherwise(0)
+    return dealt.withColumn("tile", F.xxhash64("block", "_at.run", "_at.chunk")).withColumn("marks", (F.col("_at.copy") + member).cast("long")).drop("_at")
+
+
+def _pairs(rows: DataFrame, first: int, last: int, threshold: float, tiled: bool) -> DataFrame:
+    """(a, b): the candidates of a round."""
+    words = [f"s{w}" for w in range(SKETCH)]
+    if tiled:
+        dealt = _tiles(rows, first, last).select("tile", "name", "label", "n", "size", "marks", *words, "rank").repartition("tile").sortWithinPartitions("tile", "rank").drop("rank")
+    else:
+        dealt = rows.select("block", "name", "label", "n", "size", *words).repartition("block").sortWithinPartitions("block", "name")
+    return dealt.mapInArrow(trimmed(lambda batches: _candidates(batches, first, last, threshold, tiled)), "a long, b long").distinct()
+
+
+def _large_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of blocks of up to TILE rows, and those of larger blocks with rank (by name, from 0) and k; None where there are none."""
+    sizes = materialize(rows.groupBy("block").agg(F.count("*").alias("k")).filter(F.col("k") > TILE), "large-blocks")
+    many = sizes.count()
+    if not many:
+        return rows, None
+    named = F.broadcast(sizes) if many <= NAMED else sizes.hint("merge")
+    large = prefix_sums(rows.join(named, "block"), ["block"], ["name"], F.lit(1), "rank")
+    return rows.join(named, "block", "left_anti"), materialize(large, "near-large")
+
+
 def _alike(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     """(u, v): the pairs of names whose shingles are alike."""
     asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
@@ -279,8 +338,15 @@ def _rounds() -> Iterator[tuple[int, int]]:
     yield from pairwise(ROUNDS)
     first = ROUNDS[-1]
     while True:
-        yield first, first + ROUNDS[-1]
-        first += ROUNDS[-1]
+        yield first, 2 * first
+        first *= 2
+
+
+def _open_rows(rows: DataFrame, labels: DataFrame, first: int) -> DataFrame:
+    """The rows, with their labels, of blocks that have members from `first` on and aren't one component; written."""
+    rows = rows.drop("label").join(labels.hint("merge"), rows["name"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "name"))
+    left = rows.groupBy("block").agg(F.count("*").alias("_k"), F.min("label").alias("x"), F.max("label").alias("y")).filter((F.col("_k") > first + 1) & (F.col("x") != F.col("y")))
+    return materialize(rows.join(left.select("block").hint("merge"), "block", "left_semi"), "near-rows")
 
 
 def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: int) -> DataFrame:
@@ -301,21 +367,24 @@ def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: in
     blocks = materialize(dealt.mapInArrow(trimmed(_shared), "block long, name long, part long").distinct(), "near-blocks")
     words = [F.col("sketch")[w].alias(f"s{w}") for w in range(SKETCH)]
     rows = materialize(blocks.join(own.select("name", "part", "n", "size", *words).hint("merge"), ["name", "part"]).select("block", "name", "n", "size", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
-    written, links, labels = rows, None, None
+    small, large = _large_apart(rows)
+    searched = {False: small.withColumn("label", F.col("name"))} | ({True: large.withColumn("label", F.col("name"))} if large is not None else {})
+    written, links, labels = {False: rows, True: large}, None, None
     for first, last in _rounds():
-        if labels is None:
-            rows = rows.withColumn("label", F.col("name"))
-        else:
-            rows = rows.drop("label").join(labels.hint("merge"), rows["name"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "name"))
-            left = rows.groupBy("block").agg(F.count("*").alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).filter((F.col("k") > first + 1) & (F.col("x") != F.col("y")))
-            before, rows = written, materialize(rows.join(left.select("block").hint("merge"), "block", "left_semi"), "near-rows")
-            written = rows
-            release(before)
-            if rows.isEmpty():
-                break
-        dealt = rows.select("block", "name", "label", "n", "size", *[f"s{w}" for w in range(SKETCH)]).repartition("block").sortWithinPartitions("block", "name")
-        pairs = dealt.mapInArrow(trimmed(lambda batches, first=first, last=last: _candidates(batches, first, last, threshold)), "a long, b long")
-        pairs = materialize(pairs.distinct(), "near-pairs")
+        if labels is not None:
+            for tiled, of in list(searched.items()):
+                before = written[tiled]
+                searched[tiled] = written[tiled] = _open_rows(of, labels, first)
+                release(before)
+                if searched[tiled].isEmpty():
+                    del searched[tiled]
+        if not searched:
+            break
+        pairs = None
+        for tiled, of in searched.items():
+            some = _pairs(of, first, last, threshold, tiled)
+            pairs = some if pairs is None else pairs.unionByName(some)
+        pairs = materialize(pairs.distinct() if len(searched) > 1 else pairs, "near-pairs")
         if labels is not None and pairs.isEmpty():
             continue
         alike = _alike(docs, named, pairs, threshold, width)

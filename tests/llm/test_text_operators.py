@@ -362,6 +362,44 @@ def test_near_copies_of_blocks_in_pieces(spark, monkeypatch):
     assert near_copies(spark, rows) == brute_copies(rows)
 
 
+@pytest.mark.parametrize(("first", "last", "k"), [(0, 1, 50), (1, 8, 50), (8, 16, 37), (16, 32, 64), (16, 32, 17), (32, 64, 33)])
+def test_tiles_meet_every_pair_once(spark, monkeypatch, first, last, k):
+    monkeypatch.setattr(nearsets, "TILE", 10)
+    monkeypatch.setattr(nearsets, "MEMBERS", 4)
+    rows = spark.range(k).select(F.lit(7).cast("long").alias("block"), F.col("id").alias("rank"), F.lit(k).cast("long").alias("k"))
+    tiles = {}
+    for r in nearsets._tiles(rows, first, last).collect():
+        tiles.setdefault(r["tile"], []).append((r["rank"], r["marks"]))
+    met = []
+    for own in tiles.values():
+        own.sort()
+        members = [m & nearsets.MEMBER != 0 for _, m in own]
+        assert members == sorted(members, reverse=True) and sum(members) <= 4 and len(own) <= 10 + 4
+        met += [(a, b) for i, (a, m) in enumerate(own) if m & nearsets.MEMBER for b, n in own[i + 1 :] if not n & nearsets.COPY]
+    assert sorted(met) == [(a, b) for a in range(first, min(last, k)) for b in range(a + 1, k)]
+
+
+def test_a_large_block_of_unlike_rows_is_many_tasks(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("block"), F.col("id").alias("rank"), F.lit(n).cast("long").alias("k"))
+    for first, last in ((0, 1), (64, 4096), (8192, 16384)):
+        sizes = nearsets._tiles(rows, first, last).groupBy("tile").agg(F.count("*").alias("n"), F.sum((F.col("marks").bitwiseAND(nearsets.MEMBER) != 0).cast("int")).alias("m")).collect()
+        assert len(sizes) >= 6 and max(r["n"] for r in sizes) <= nearsets.TILE + nearsets.MEMBERS and max(r["m"] for r in sizes) <= nearsets.MEMBERS
+
+
+@pytest.mark.parametrize("search", SEARCHES)
+def test_near_copies_of_large_blocks(spark, monkeypatch, search):
+    monkeypatch.setattr(nearsets, "TILE", 6)
+    monkeypatch.setattr(nearsets, "MEMBERS", 4)
+    monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 8))
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(14 + i % 5)] + base[14 + i % 5 :])) for i in range(40)]
+    rows += [(100 + i, " ".join([word() for _ in range(45)] + base[45:])) for i in range(30)]
+    assert near_copies(spark, rows, search) == brute_copies(rows)
+
+
 def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
     monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 16))
     rng = random.Random(6)
@@ -399,6 +437,9 @@ def test_minhash_edits(spark, sf, odd, none):
         shingle = lambda t: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))}
         a, b = shingle(text), shingle(edited)
         assert abs(len(a & b) / len(a | b) - got[i]["near_edited"]) < 0.2
+        parts = lambda x: np.frombuffer(base64.b64decode(x), "<u2")
+        own, following = parts(got[i]["fingerprint"]), parts(got[rows[(k + 1) % len(rows)][0]]["fingerprint"])
+        assert got[i]["near_edited"] == (own == parts(got[i]["edited_fingerprint"])).mean() and got[i]["near_next"] == (own == following).mean()
     assert minhash.fingerprint_edits(odd).count() == len(ODD)
     assert minhash.fingerprint_edits(none).count() == 0
 
