@@ -1,12 +1,14 @@
 """Exact top-k inner-product search by columnar branch and bound (operator 5).
 
 Components are scaled to integers, so scores are exact. A task holds its candidates in
-vertical layout, one array per dimension, and works off a block of queries at a time: it
-accumulates the scores dimension block by dimension block, and after each block drops the
+vertical layout, one array per dimension, and accumulates a query's scores dimension block by
+dimension block, the dimensions of the largest products first. After each block it drops the
 candidates whose score so far plus the largest the remaining dimensions can add (the product
-of what mass both vectors have left, by Cauchy-Schwarz) cannot reach the query's k-th best;
-survivors are compacted before the next block. What a task returns is k rows a query, and a
-second grouping keeps the k best of all tasks.
+of what mass both vectors have left, by Cauchy-Schwarz) cannot reach the query's threshold;
+survivors are compacted before the next block. The threshold is the largest of three: the k-th best
+so far, the k-th largest score less what remains (a lower bound) within the tile, and the k-th best of about
+SEED rows picked by a hash, which are searched before. What a task returns is k rows a query, and
+a second grouping keeps the k best of all tasks.
 
 Queries travel to the tasks in blocks of bounded bytes (QUERY_BYTES), each against all rows;
 a larger query set makes more blocks, not larger ones, and a block's results are written
@@ -36,9 +38,12 @@ from tallyweave.llm.common import importable, materialize, trimmed
 
 #: Bytes of the integer query vectors that are sent to the tasks at once, at most about.
 QUERY_BYTES = 16 << 20
-DIMS = 16
+#: Dimensions of a block.
+DIMS = 8
 #: Candidates and queries that are searched together.
 ROWS, QUERIES = 8192, 512
+#: Rows that set the first thresholds, about.
+SEED = 4096
 _LONGEST = (1 << 63) - 1
 
 
@@ -49,37 +54,47 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> Dat
     return df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(~bad).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
-def search_block(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: np.ndarray, best: list, k: int, dims: int = DIMS) -> None:
-    """Improve `best` (a sorted list of (-score, id) per query) with candidates given as dims x rows of float64 integers."""
-    total = cand.shape[0]
-    edges = [*range(0, total, dims), total]
-    mass = np.zeros((len(edges), cand.shape[1]))  # what each candidate has left from a block on
-    left = np.zeros((len(edges), queries.shape[0]))
-    for b in range(len(edges) - 2, -1, -1):
-        part, own = cand[edges[b] : edges[b + 1]], queries[:, edges[b] : edges[b + 1]]
-        mass[b] = mass[b + 1] + (part * part).sum(0)
-        left[b] = left[b + 1] + (own * own).sum(1)
-    mass, left = np.sqrt(mass), np.sqrt(left)
-    opening = queries[:, : edges[1]] @ cand[: edges[1]] if len(edges) > 1 else np.zeros((len(queries), cand.shape[1]))
-    for q in range(len(queries)):
-        at, score = np.arange(cand.shape[1]), opening[q]
-        least = -best[q][-1][0] if len(best[q]) == k else -np.inf
-        for b in range(1, len(edges)):
-            if b > 1:
-                score = score + queries[q, edges[b - 1] : edges[b]] @ cand[edges[b - 1] : edges[b], at]
-            if b < len(edges) - 1 or least > -np.inf:
-                room = left[b, q] * mass[b, at] * (1 + 1e-9) + 1e-6 if b < len(edges) - 1 else 0
-                stay = np.flatnonzero(score + room >= least)
-                at, score = at[stay], score[stay]
+def search_block(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: np.ndarray, best: list, k: int, dims: int = DIMS, least: np.ndarray | None = None) -> int:
+    """Improve `best` (a sorted list of (-score, id) per query) with candidates given as dims x rows of float64 integers; the multiplications of scores.
+
+    least: for each query a score that k candidates are known to reach.
+    """
+    square = cand * cand
+    whole, energy, done = square.sum(0), np.sqrt(square.mean(1)), 0
+    for q, own in enumerate(queries):
+        order = np.argsort(-np.abs(own) * energy, kind="stable")  # the dimensions that tell most first
+        at = np.flatnonzero(ids != qids[q])
+        score, mass, rest = np.zeros(len(at)), whole[at], own * own
+        bar = -best[q][-1][0] if len(best[q]) == k else -np.inf
+        bar = bar if least is None else max(bar, least[q])
+        for a in range(0, len(own), dims):
+            block = order[a : a + dims]
+            if len(at) == cand.shape[1]:
+                some, squares = cand[block], square[block]
+            else:
+                some, squares = cand[block[:, None], at], square[block[:, None], at]
+            score = score + own[block] @ some
+            done += some.size
+            left = rest[order[a + dims :]].sum()
+            if a + dims >= len(own):
+                break
+            mass = mass - squares.sum(0)
+            room = np.sqrt(left * (np.maximum(mass, 0) + 1e-12 * whole[at])) * (1 + 1e-9) + 1e-6
+            if len(at) > k:  # k candidates reach their lower bounds
+                low = score - room
+                bar = max(bar, np.partition(low, len(low) - k)[len(low) - k])
+            stay = np.flatnonzero(score + room >= bar)
+            at, score, mass = at[stay], score[stay], mass[stay]
             if not len(at):
                 break
-        own = ids[at] != qids[q]
-        at, score = at[own], score[own]
-        if len(at) > 4 * k:
+        stay = np.flatnonzero(score >= bar)
+        at, score = at[stay], score[stay]
+        if len(score) > 4 * k:
             top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
             at, score = at[top], score[top]
         if len(at):
             best[q] = sorted([*best[q], *zip((-score).astype(np.int64).tolist(), ids[at].tolist())])[:k]
+    return done
 
 
 def search_wide(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: np.ndarray, best: list, k: int) -> None:
@@ -101,7 +116,9 @@ def search_wide(ids: np.ndarray, cand: np.ndarray, qids: np.ndarray, queries: np
         best[n] = sorted([*best[n], *zip([-s for s in exact], ids[stay].tolist(), strict=True)])[:k]
 
 
-def _searcher(block, k: int, dims: int):
+def _searcher(block, k: int, dims: int, known: dict | None = None):
+    """known: by vector length, for each query a score that k candidates are known to reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = block.value
         most = {n: float(np.sqrt((np.square(rows.astype(np.float64))).sum(1).max(initial=0))) for n, (_, rows) in groups.items()}
@@ -121,7 +138,7 @@ def _searcher(block, k: int, dims: int):
                     tile = slice(at, at + QUERIES)
                     found = best[n][tile]
                     if exact:
-                        search_block(some, own, qids[tile], rows[tile].astype(np.float64), found, k, dims)
+                        search_block(some, own, qids[tile], rows[tile].astype(np.float64), found, k, dims, known[n][tile] if known else None)
                     else:
                         search_wide(some, cand, qids[tile], rows[tile], found, k)
                     best[n][tile] = found
@@ -149,6 +166,18 @@ def _searcher(block, k: int, dims: int):
     return run
 
 
+def _first_scores(whole: DataFrame, asked: dict, sent, k: int, dims: int, share: int) -> dict:
+    """By vector length, the k-th best score of each query among the rows whose hash is 0 over `share`: a floor for all rows' k-th best."""
+    some = whole.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)  # sets thresholds only; all rows are searched after
+    found = some.mapInArrow(trimmed(_searcher(sent, k, dims)), "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", "score")
+    floor = {r["query_id"]: float(r["score"]) for r in ranked.collect()}  # a row a query
+    seen, counts = np.unique(np.concatenate([ids for ids, _ in asked.values()] or [np.zeros(0, np.int64)]), return_counts=True)
+    alone = set(seen[counts == 1].tolist())  # results of rows that share an id can't be told apart
+    return {n: np.array([floor.get(i, -np.inf) if i in alone else -np.inf for i in ids.tolist()]) for n, (ids, _) in asked.items()}
+
+
 def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = DIMS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products with other rows.
 
@@ -160,6 +189,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col:
     asked = integer_vectors(vectors.filter(is_query), id_col, vec_col, scale)
     size = asked.agg(F.sum(8 * F.size("v") + 8).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // query_bytes))
+    share = max(1, whole.count() // SEED)
     parts = []
     for b in range(blocks):
         lists: dict[int, tuple[list, list]] = {}
@@ -167,8 +197,10 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col:
             own = lists.setdefault(len(r["v"]), ([], []))
             own[0].append(r["id"])
             own[1].append(np.array(r["v"], np.int64))
-        sent = spark.sparkContext.broadcast({n: (np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in lists.items()})
-        part = whole.mapInArrow(trimmed(_searcher(sent, k, dims)), "query_id long, vec_id long, score long")
+        asked_now = {n: (np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in lists.items()}
+        sent = spark.sparkContext.broadcast(asked_now)
+        known = _first_scores(whole, asked_now, sent, k, dims, share)
+        part = whole.mapInArrow(trimmed(_searcher(sent, k, dims, known)), "query_id long, vec_id long, score long")
         if blocks > 1:
             part = materialize(part, "top-k")
             sent.destroy()

@@ -221,3 +221,17 @@ def test_components_of_chains_and_hubs(spark):
     got = {r["node"]: r["label"] for r in component_labels(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {201: 200}
     assert component_labels(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_topk_discards_candidates(spark):
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.floor(256 * np.array([r["embedding"] for r in rows], np.float64))
+    asked = np.flatnonzero(ids % 50 == 0)
+    full = x[asked] @ x.T
+    full[np.arange(len(asked)), asked] = -np.inf
+    want = [sorted(zip((-row).tolist(), ids.tolist(), strict=True))[:5] for row in full]
+    for least, share in ((None, 0.65), (np.sort(full, 1)[:, -5], 0.45)):
+        best = [[] for _ in asked]
+        done = topk.search_block(ids, np.ascontiguousarray(x.T), ids[asked], x[asked], best, 5, least=least)
+        assert [[(s, i) for s, i in b] for b in best] == want
+        assert done < share * len(asked) * x.size
