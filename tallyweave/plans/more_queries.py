@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
 from tallyweave.functions import managers as R
+from tallyweave.functions import mixed as MX
 from tallyweave.functions import nucleus as N
 from tallyweave.functions import scoring as S
 from tallyweave.operators import balance as B
@@ -180,6 +181,24 @@ def nucleus_draws(spark, sf_dir):
     return _cut_logits(spark, sf_dir).select("vec_id", N.drawn("cut", u).alias("place"))
 
 
+@query("mixed_positions", """WITH s AS (SELECT p_partkey, unnest([{'k': 0, 'n': p_size % 5 + 1, 't': 0, 'h': 0, 'w': 0}, {'k': 1, 'n': 0, 't': 1, 'h': p_size % 3 + 1, 'w': p_size % 7 + 1},
+  {'k': 2, 'n': 3, 't': 0, 'h': 0, 'w': 0}, {'k': 3, 'n': 0, 't': p_partkey % 4 + 1, 'h': 2, 'w': 1}, {'k': 4, 'n': p_partkey % 3, 't': 0, 'h': 0, 'w': 0}], recursive := true) FROM part),
+b AS (SELECT *, coalesce(sum(CASE WHEN t = 0 THEN n ELSE greatest(t, h, w) END) OVER (PARTITION BY p_partkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+c AS (SELECT p_partkey, k, t, h, w, start, unnest(range(0, CASE WHEN t = 0 THEN n ELSE t * h * w END)) AS i FROM b),
+d AS (SELECT p_partkey, k, i, start + CASE WHEN t = 0 THEN i ELSE i // (h * w) END AS a, start + CASE WHEN t = 0 THEN i ELSE (i // w) % h END AS b, start + CASE WHEN t = 0 THEN i ELSE i % w END AS c FROM c)
+SELECT p_partkey, string_agg((a::BIGINT) || ':' || (b::BIGINT) || ':' || (c::BIGINT), ' ' ORDER BY k, i) AS places, CAST(max(greatest(a, b, c)) + 1 - count(*) AS INTEGER) AS delta FROM d GROUP BY p_partkey""")
+def mixed_positions(spark, sf_dir):
+    """Text, an image, text, a video and text of lengths that follow from each part."""
+    p = table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("int"), F.col("p_partkey").cast("int")
+    text = lambda n: F.struct(n.cast("int").alias("length"), *[F.lit(None).cast("int").alias(x) for x in "thw"])
+    grid = lambda t, h, w: F.struct(F.lit(None).cast("int").alias("length"), t.cast("int").alias("t"), (2 * h).cast("int").alias("h"), (2 * w).cast("int").alias("w"))
+    made = F.array(text(size % 5 + 1), grid(F.lit(1), size % 3 + 1, size % 7 + 1), text(F.lit(3)), grid(key % 4 + 1, F.lit(2), F.lit(1)), text(key % 3))
+    placed = p.select("p_partkey", MX.mixed_positions(made).alias("p"))
+    shown = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["t"], x["h"], x["w"])), " ")
+    return placed.select("p_partkey", shown.alias("places"), MX.position_delta(F.col("p")).alias("delta"))
+
+
 @query("micro_batches")
 def micro_batches(spark, sf_dir):
     """Token-budget micro-batches of all conversations, the budget that of the longest at least; tested in Python."""
