@@ -15,7 +15,10 @@ subsequences, and scoring a word looks its subsequences up, whatever the number
 Training. Sentences carry their document's label; a sentence is as toxic as its worst word.
 Witnesses of toxic sentences are first the words that clean sentences lack, then those the
 machine itself finds worst; clean words that it finds worst are added as negatives, round by
-round. A document's score is a logistic function of its worst words' values.
+round. A document's score is a logistic function of three things, none of which lowers it as
+it grows: its worst word's value, the next worst's (a word that stands twice is its own next),
+and the logarithm of the share of its words that are bad, so that a few words that chance makes
+alike don't condemn a long text and one insult repeated condemns a short one.
 
 At most SAMPLE labelled rows of each class are learned from, and SAMPLE_CHARS characters of
 them, taken in the order of a hash of doc_id; lengths are looked at first, so no more text than
@@ -57,6 +60,10 @@ NEGATIVES = 20_000
 #: Words whose values a worker keeps at most.
 CACHE_WORDS = 250_000
 THRESHOLD = 0.3
+#: Value from which a word counts as wholly bad in a text's share of bad words; below, in proportion.
+CERTAIN = 0.5
+#: Bad words and words that every text is taken to have besides its own, so that a short text's share is steady.
+PRIOR_HITS, PRIOR_WORDS = 0.2, 50
 #: Characters, with padding, that are coded together.
 CELLS = 1 << 20
 #: Length over which a word is neither learned from nor kept in a cache.
@@ -80,11 +87,20 @@ for _i in range(0x10000):
         _CODE[_i] = 36 + _i % 27
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without edge punctuation, and the words that runs of single characters spell."""
+def counted(text: str) -> tuple[list[str], list[int]]:
+    """Lower-case words without edge punctuation, and the words that runs of single characters spell; how often each stands there.
+
+    A word may be listed more than once, with a part of its number each time.
+    """
     low = text.lower()
-    out = [w.strip(_STRIP) for w in set(low.split())]
-    return [*out, *["".join(x.split()) for x in _SPELLED.findall(low)]]
+    found = Counter(low.split())
+    spelled = ["".join(x.split()) for x in _SPELLED.findall(low)]
+    return [*[w.strip(_STRIP) for w in found], *spelled], [*found.values(), *[1] * len(spelled)]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of `counted`."""
+    return counted(text)[0]
 
 
 def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +220,7 @@ class Machine:
 
     table: np.ndarray | None = None
     bias: float = 0.0
-    slope: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    slope: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     prior: float = 0.0
     cache: dict[str, float] = field(default_factory=dict)
 
@@ -224,26 +240,28 @@ class Machine:
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: its worst word's value and its second worst's, from -1.5 to 1.5."""
-        out = np.full((len(texts), 2), -1.5)
-        found = [list(set(words_of(t))) for t in texts]
-        values = np.array(self.values([w for x in found for w in x]))
+        """Of each text: its worst word's value and the next worst's, from -1.5 to 1.5, and the logarithm of its share of bad words."""
+        out = np.full((len(texts), 3), -1.5)
+        found = [counted(t) for t in texts]
+        values = np.array(self.values([w for words, _ in found for w in words]))
         at = 0
-        for i, x in enumerate(found):
-            own = values[at : at + len(x)]
-            at += len(x)
-            if len(own) > 1:
-                out[i] = np.partition(own, len(own) - 2)[: -3 : -1] if len(own) == 2 else np.partition(own, len(own) - 2)[-1:-3:-1]
-            elif len(own):
-                out[i, 0] = own[0]
-        return np.clip(out, -1.5, 1.5)
+        for i, (words, times) in enumerate(found):
+            own, many = values[at : at + len(words)].copy(), np.array(times, np.int64)
+            at += len(words)
+            hits = float((many * np.clip(own / CERTAIN, 0, 1)).sum())
+            out[i, 2] = np.log((hits + PRIOR_HITS) / (many.sum() + PRIOR_WORDS))
+            for j in range(min(2, int(many.sum()))):
+                worst = int(own.argmax())
+                out[i, j] = own[worst]
+                if many[worst] == 1:
+                    own[worst] = -np.inf
+        out[:, :2] = np.clip(out[:, :2], -1.5, 1.5)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.prior)
-        a, b, c = self.slope
-        x = self.features(texts)
-        return 1 / (1 + np.exp(-(a + b * x[:, 0] + c * x[:, 1])))
+        return 1 / (1 + np.exp(-(self.slope[0] + self.features(texts) @ np.array(self.slope[1:]))))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -263,17 +281,24 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        h = weight * p * (1 - p)
-        step = np.linalg.solve((x * h[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (weight * (y - p)) - 1e-2 * w)
-        w = w + step
-        if np.abs(step).max() < 1e-7:
-            break
-    return tuple(w.tolist())
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Constant and slopes; columns whose slope would be negative are left out, the most negative first."""
+    used = list(range(x.shape[1]))
+    while True:
+        own = np.hstack([np.ones((len(x), 1)), x[:, used]])
+        w = np.zeros(own.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(own @ w)))
+            h = weight * p * (1 - p)
+            step = np.linalg.solve((own * h[:, None]).T @ own + 1e-2 * np.eye(len(w)), own.T @ (weight * (y - p)) - 1e-2 * w)
+            w = w + step
+            if np.abs(step).max() < 1e-7:
+                break
+        if not used or w[1:].min() >= 0:
+            out = np.zeros(1 + x.shape[1])
+            out[[0, *[j + 1 for j in used]]] = w
+            return tuple(out.tolist())
+        del used[int(w[1:].argmin())]
 
 
 def fit(texts: list[str], labels: list[int], share: float | None = None, landmarks: int = LANDMARKS) -> Machine:

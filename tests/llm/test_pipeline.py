@@ -1,9 +1,7 @@
-import numpy as np
-
 import corpus_pipeline
 from tallyweave.llm import packing, toxicity
 from tallyweave.llm.common import table
-from tests.llm.test_text_operators import brute_copies, brute_pieces, brute_value
+from tests.llm.test_text_operators import brute_copies, brute_pieces, brute_score
 
 
 def test_stages_keep_the_columns_and_drop_what_they_should(spark, sf):
@@ -38,14 +36,7 @@ def test_run_against_brute_force(spark, sf):
     machine = toxicity.train(docs, table(spark, sf, "labels"))
     values = {}
 
-    def score(text):
-        found = set(toxicity.words_of(text))
-        values.update({w: brute_value(w, machine.table) + machine.bias for w in found if w not in values})
-        x = [min(max(v, -1.5), 1.5) for v in [*sorted((values[w] for w in found), reverse=True), -1.5, -1.5][:2]]
-        a, b, c = machine.slope
-        return 1 / (1 + np.exp(-(a + b * x[0] + c * x[1])))
-
-    clean = [(i, t) for i, t in rows if score(t) < toxicity.THRESHOLD]
+    clean = [(i, t) for i, t in rows if brute_score(t, machine, values) < toxicity.THRESHOLD]
     assert 0 < len(clean) < len(rows)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\v\f\r").translate(lower)
