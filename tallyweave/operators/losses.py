@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays as A
+from tallyweave.operators import order
 from tallyweave.operators.stats import tokens
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
@@ -165,8 +166,10 @@ def clip_cov(df: DataFrame, ratio: float = 0.0002, lower: float = 1.0, upper: fl
     long = long.withColumn("_l1", first).withColumn("_l2", second)
     able = (F.col("mask") > 0) & (F.col("cov") > lower) & (F.col("cov") < upper) & ~(F.col("_l2") > F.col("_l1"))
     count = max(int(ratio * (long.agg(F.sum("mask").alias("n")).first()["n"] or 0)), 1)
-    gone = long.filter(able).orderBy(F.xxhash64("row_id", "pos"), "row_id", "pos").limit(count).select("row_id", "pos", F.lit(0.0).alias("_keep"))
-    long = long.join(gone, ["row_id", "pos"], "left").withColumn("_k", F.coalesce("_keep", F.lit(1.0)))
+    long = long.select("row_id", "pos", "logp", "old_logp", "mask", "_l1", "_l2", F.coalesce(able, F.lit(False)).alias("_able"))
+    # the count grows with the tokens, so the cut is a place in a range-partitioned order; tokens that may go come first
+    long = order.numbered(long, [F.desc("_able"), F.xxhash64("row_id", "pos"), "row_id", "pos"], "_n")
+    long = long.withColumn("_k", F.when(F.col("_able") & (F.col("_n") < count), 0.0).otherwise(1.0))
     loss = F.greatest("_l1", "_l2") * F.col("_k") * F.col("mask")
     n = F.sum("mask")
     return long.agg((F.sum(loss) / n).alias("loss"), (F.sum((1 - F.col("_k")) * F.col("mask")) / (n + 1e-8)).alias("clipfrac"), (F.sum((F.col("old_logp") - F.col("logp")) * F.col("mask")) / (n + 1e-8)).alias("kl"))
@@ -177,10 +180,10 @@ def kl_cov(df: DataFrame, share: float = 0.0002, coefficient: float = 1.0) -> Da
     """-advantage times ratio, plus a divergence penalty on the tokens of largest covariance: one in 1 / share, one at least."""
     long = _covariance(df).filter("mask <> 0")
     count = max(1, int(long.count() * share))
-    top = long.orderBy(F.desc("cov"), "row_id", "pos").limit(count).select("row_id", "pos", F.lit(1.0).alias("_top"))
+    placed = order.numbered(long.select("row_id", "pos", "logp", "old_logp", "advantages", "cov"), [F.desc("cov"), "row_id", "pos"], "_n")
     d = F.col("logp") - F.col("old_logp")
-    loss = -F.col("advantages") * F.exp(d) + F.coalesce("_top", F.lit(0.0)) * coefficient * F.abs(d)
-    return long.join(top, ["row_id", "pos"], "left").agg(F.avg(loss).alias("loss"), F.avg(F.abs(d)).alias("kl_abs"))
+    loss = -F.col("advantages") * F.exp(d) + F.when(F.col("_n") < count, coefficient * F.abs(d)).otherwise(0.0)
+    return placed.agg(F.avg(loss).alias("loss"), F.avg(F.abs(d)).alias("kl_abs"))
 
 
 @register("reinforce")

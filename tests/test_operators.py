@@ -156,6 +156,33 @@ def test_losses_run_and_agree_at_ratio_one(spark):
         L.policy_loss(df, "nothing")
 
 
+def test_covariance_cuts_against_a_loop(spark):
+    """Which tokens clip_cov and kl_cov pick, with ties in the covariance, by a sort of all tokens."""
+    rng = np.random.default_rng(9)
+    rows = [(i, *[np.round(rng.normal(0, 1, 6), 1).tolist() for _ in range(3)], rng.integers(0, 2, 6).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, logp array<double>, old_logp array<double>, advantages array<double>, mask array<int>")
+    places = df.select("row_id", F.posexplode("logp")).select("row_id", "pos").withColumn("h", F.xxhash64("row_id", "pos")).collect()
+    own = {r[0]: r[1:] for r in rows}
+    t = [(r["h"], r["row_id"], r["pos"], *[x[r["pos"]] for x in own[r["row_id"]]]) for r in places]
+    lp, old, adv, mask = (np.array([x[3 + j] for x in t]) for j in range(4))
+    n = mask.sum() + 1e-8
+    cov = (adv - (adv * mask).sum() / n) * (lp - (lp * mask).sum() / n)
+    ratio = np.exp(lp - old)
+    first, second = -adv * ratio, -adv * np.clip(ratio, 0.8, 1.2)
+    able = [i for i in range(len(t)) if mask[i] and 0.1 < cov[i] < 5 and not second[i] > first[i]]
+    gone = sorted(able, key=lambda i: t[i][:3])[: int(0.1 * mask.sum())]
+    keep = np.ones(len(t))
+    keep[gone] = 0
+    got = one(L.policy_loss(df, "clip_cov", ratio=0.1, lower=0.1, upper=5.0))
+    assert 1 < len(gone) < len(able)
+    assert got["loss"] == pytest.approx((np.maximum(first, second) * keep * mask).sum() / mask.sum())
+    assert got["clipfrac"] == pytest.approx(len(gone) / mask.sum())
+    used = [i for i in range(len(t)) if mask[i]]
+    top = sorted(used, key=lambda i: (-cov[i], *t[i][1:3]))[: int(len(used) * 0.2)]
+    want = sum(-adv[i] * ratio[i] for i in used) + sum(0.5 * abs(lp[i] - old[i]) for i in top)
+    assert one(L.policy_loss(df, "kl_cov", share=0.2, coefficient=0.5))["loss"] == pytest.approx(want / len(used))
+
+
 def test_data_metrics_fixture(spark):
     ones = [1, 1]
     data = [([1.0, 2.0], [0.5, 1.0], [0.1, 0.2], [1.1, 1.2], [0.9, 1.0], ones, 2.0), ([3.0, 4.0], [1.5, 2.0], [0.3, 0.4], [1.3, 1.4], [1.1, 1.2], ones, 2.0)]
