@@ -103,18 +103,18 @@ def code_share(spark, sf_dir):
     return got.select("l_linenumber", S.passed_share(F.col("p"), F.col("n"), 10).alias("share"))
 
 
-@query("growing_append", "SELECT n_nationkey, n_name, -1 AS n_regionkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey > 20")
+@query("growing_append", "SELECT c_custkey, c_name, CAST(-1 AS DOUBLE) AS c_acctbal FROM customer UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
 def growing_append(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    got = G.append_rows(n.filter("n_nationkey < 5").drop("n_regionkey"), n, F.col("n_nationkey") > 20)
-    return got.withColumn("n_regionkey", F.coalesce("n_regionkey", F.lit(-1)))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    got = G.append_rows(c.drop("c_acctbal"), c, F.col("c_acctbal") > 0)
+    return got.withColumn("c_acctbal", F.coalesce("c_acctbal", F.lit(-1.0)))
 
 
-@query("growing_weights", "WITH s AS (SELECT user_id, avg(least(value, 1)) AS a FROM events WHERE value IS NOT NULL AND user_id % 2 = 0 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, round(CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + 0.5::DOUBLE * (1 - a) END, 6) + 0.0 AS weight FROM u LEFT JOIN s USING (user_id)")
+@query("growing_weights", "WITH s AS (SELECT user_id, avg(least(value, 1)) AS a FROM events WHERE value IS NOT NULL GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, round(CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE + 0.5::DOUBLE * (1 - a) END, 6) + 0.0 AS weight FROM u LEFT JOIN s USING (user_id)")
 def growing_weights(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     weights = e.select("user_id").distinct().withColumn("weight", F.lit(1.0))
-    scores = e.filter("value is not null and user_id % 2 = 0").select("user_id", F.least("value", F.lit(1.0)).alias("score"))
+    scores = e.filter("value is not null").select("user_id", F.least("value", F.lit(1.0)).alias("score"))
     return G.update_weights(weights, scores, key="user_id").select("user_id", r6("weight", "weight"))
 
 
