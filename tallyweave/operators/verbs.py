@@ -138,9 +138,15 @@ def unpad(df: DataFrame, count: int, rows: int | None = None) -> DataFrame:
     return df.filter(F.col(ID) < (rows if rows is not None else df.count()) - count) if count else df
 
 
-def chunk(df: DataFrame, parts: int, rows: int | None = None, pad: bool = False) -> DataFrame:
-    """Add `part`: contiguous equal parts. The rows must divide evenly unless pad, when the last part is short."""
+def chunk(df: DataFrame, parts: int, rows: int | None = None, pad: bool = False, rest: bool = False) -> DataFrame:
+    """Add `part`: contiguous equal parts. The rows must divide evenly unless pad, when the last part is short, or rest.
+
+    With rest the parts have rows // parts rows, and what is left goes on as further parts of at most that size; of fewer
+    rows than parts no part can be told (null).
+    """
     n = rows if rows is not None else df.count()
+    if rest:
+        return df.withColumn("part", F.floor(F.col(ID) / F.lit(n // parts or None).cast("long")).cast("int"))
     if n % parts and not pad:
         raise ValueError(f"{n} rows don't divide into {parts} parts")
     return df.withColumn("part", F.floor(F.col(ID) / max(1, -(-n // parts))).cast("int"))

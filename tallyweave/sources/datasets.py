@@ -92,9 +92,9 @@ def message_parts(content: Column, images: Column | None = None, videos: Column
     return made
 
 
-def equal_splits(df: DataFrame, count: int, rows: int | None = None) -> DataFrame:
-    """Add `split`: contiguous equal splits; the rows must divide evenly."""
-    return verbs.chunk(df, count, rows).withColumnRenamed("part", "split")
+def equal_splits(df: DataFrame, count: int, rows: int | None = None, rest: bool = False) -> DataFrame:
+    """Add `split`: contiguous equal splits; the rows must divide evenly, or with rest those left over make a further one."""
+    return verbs.chunk(df, count, rows, rest=rest).withColumnRenamed("part", "split")
 
 
 def supervised(df: DataFrame, prompt_ids: str, response_ids: str, max_length: int, pad_id: int = 0, truncation: str = "error") -> DataFrame:
