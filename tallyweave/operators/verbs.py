@@ -157,11 +157,15 @@ def split(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("part", F.floor(F.col(ID) / size).cast("int"))
 
 
-def batches(df: DataFrame, size: int, epochs: int, seed: int | None = None, rows: int | None = None) -> DataFrame:
-    """Add `epoch` and `batch`: mini-batches of each epoch; with a seed each epoch has its own order of hashes."""
-    n = rows if rows is not None else df.count()
-    if n % size:
-        raise ValueError(f"{n} rows don't divide into batches of {size}")
+def batches(df: DataFrame, size: int, epochs: int, seed: int | None = None, rows: int | None = None, short: bool = False) -> DataFrame:
+    """Add `epoch` and `batch`: mini-batches of each epoch; with a seed each epoch has its own order of hashes.
+
+    The rows must divide evenly unless short, when an epoch's last batch holds what is left.
+    """
+    if not short:
+        n = rows if rows is not None else df.count()
+        if n % size:
+            raise ValueError(f"{n} rows don't divide into batches of {size}")
     made = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is None:
         return made.withColumn("batch", F.floor(F.col(ID) / size).cast("int"))

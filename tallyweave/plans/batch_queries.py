@@ -103,7 +103,7 @@ def verb_split(spark, sf_dir):
 
 @query("verb_batches", _sql("SELECT epoch, CAST(row_id // 20 AS INTEGER) AS batch, sum(doc_id)::BIGINT AS ids FROM (SELECT *, unnest([0, 1]) AS epoch FROM b) GROUP BY 1, 2"))
 def verb_batches(spark, sf_dir):
-    return V.batches(batch(spark, sf_dir), 20, 2).groupBy("epoch", "batch").agg(F.sum("doc_id").alias("ids"))
+    return V.batches(batch(spark, sf_dir), 20, 2, short=True).groupBy("epoch", "batch").agg(F.sum("doc_id").alias("ids"))
 
 
 @query("verb_batches_shuffled")

@@ -29,3 +29,9 @@ def documents(sf, rows):
 def test_splits_of_rows_that_do_not_divide(spark, sf, tmp_path, rows):
     got = hold(spark, tmp_path, "dataset_equal_splits", documents=documents(sf, rows))
     assert got["rows"].sum() == rows
+
+
+@pytest.mark.parametrize("rows", [19, 103])
+def test_batches_of_rows_that_do_not_divide(spark, sf, tmp_path, rows):
+    got = hold(spark, tmp_path, "verb_batches", documents=documents(sf, rows))
+    assert set(got["batch"]) == set(range(-(-rows // 20)))
