@@ -35,3 +35,12 @@ def test_splits_of_rows_that_do_not_divide(spark, sf, tmp_path, rows):
 def test_batches_of_rows_that_do_not_divide(spark, sf, tmp_path, rows):
     got = hold(spark, tmp_path, "verb_batches", documents=documents(sf, rows))
     assert set(got["batch"]) == set(range(-(-rows // 20)))
+
+
+def test_shuffled_batches_of_rows_that_do_not_divide(spark, sf, tmp_path):
+    duckdb.sql(f"copy ({documents(sf, 103)}) to '{tmp_path}/documents.parquet'")
+    got = QUERIES["verb_batches_shuffled"](spark, str(tmp_path)).toPandas()
+    for epoch in (0, 1):
+        own = got[got["epoch"] == epoch]
+        assert sorted(own["row_id"]) == list(range(103))
+        assert own.groupby("batch").size().to_dict() == {0: 20, 1: 20, 2: 20, 3: 20, 4: 20, 5: 3}
