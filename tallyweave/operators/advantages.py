@@ -132,10 +132,14 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 
 @register("opo")
 def opo(df: DataFrame) -> DataFrame:
-    """Score less the group's mean weighted by response length; a single row has baseline 0."""
+    """Score less the group's mean weighted by response length; a single row has baseline 0.
+
+    A group of several rows without an unmasked token has no baseline: its values are NaN, as 0 / 0 is.
+    """
     made = _scored(df).withColumn("_n", A.array_sum("mask"))
     w = Window.partitionBy("uid")
-    base = F.sum(F.col("_n") * F.col("_s")).over(w) / F.sum("_n").over(w)
+    base = F.try_divide(F.sum(F.col("_n") * F.col("_s")).over(w), F.sum("_n").over(w))
+    base = F.when(F.sum("_n").over(w) == 0, F.lit(float("nan"))).otherwise(base)
     return _both(made.withColumn("_a", F.col("_s") - F.when(F.count("*").over(w) == 1, 0.0).otherwise(base)), F.col("_a"), df.columns)
 
 

@@ -44,3 +44,15 @@ def test_shuffled_batches_of_rows_that_do_not_divide(spark, sf, tmp_path):
         own = got[got["epoch"] == epoch]
         assert sorted(own["row_id"]) == list(range(103))
         assert own.groupby("batch").size().to_dict() == {0: 20, 1: 20, 2: 20, 3: 20, 4: 20, 5: 3}
+
+
+def test_groups_without_unmasked_tokens(spark, sf, tmp_path):
+    """Customer 1 has one order and customer 2 two whose tokens are all masked, customer 3 an order of either kind."""
+    orders = f"select * replace (i::{{k}} as o_orderkey, c::{{c}} as o_custkey) from (values (1, 1), (2, 2), (3, 2), (4, 3), (5, 3)) v(i, c), (select * from read_parquet('{sf}/orders.parquet') limit 1)"
+    lines = f"select * replace (i::{{k}} as l_orderkey, case when i = 5 then 'N' else 'R' end as l_returnflag) from (values (1), (2), (3), (4), (5)) v(i), (select * from read_parquet('{sf}/lineitem.parquet') limit 3)"
+    kinds = {f"{t}.{c}": k for t in ("orders", "lineitem", "customer") for c, k in duckdb.sql(f"select column_name, column_type from (describe select * from read_parquet('{sf}/{t}.parquet'))").fetchall()}
+    customers = f"select * replace (i::{kinds['customer.c_custkey']} as c_custkey) from (values (1), (2), (3)) v(i), (select * from read_parquet('{sf}/customer.parquet') limit 1)"
+    got = hold(
+        spark, tmp_path, "adv_opo", orders=orders.format(k=kinds["orders.o_orderkey"], c=kinds["orders.o_custkey"]), lineitem=lines.format(k=kinds["lineitem.l_orderkey"]), customer=customers,
+    )
+    assert got["advantages"].isna().groupby(got["row_id"]).all().to_dict() == {1: False, 2: True, 3: True, 4: False, 5: False}
