@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tallyweave.operators import verbs
 
 
-def split(df: DataFrame, ranks: int, rows: int | None = None, pad: bool = True) -> DataFrame:
-    """Add `rank`: contiguous equal parts. With pad the last row is repeated up to a multiple and such rows have `padding` true."""
+def split(df: DataFrame, ranks: int, rows: int | None = None, pad: bool = True, rest: bool = False) -> DataFrame:
+    """Add `rank`: contiguous equal parts. With pad the last row is repeated up to a multiple and such rows have `padding` true.
+
+    With rest nothing is repeated: parts have rows // ranks rows, what is left goes on as further parts from number `ranks` on.
+    """
     n = rows if rows is not None else df.count()
+    if rest:
+        return verbs.chunk(df, ranks, rows=n, rest=True).withColumnRenamed("part", "rank")
     extra = -n % ranks if n else 0
     if extra and not pad:
         raise ValueError(f"{n} rows don't divide into {ranks} parts")

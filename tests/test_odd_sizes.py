@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tallyweave import registry
+from tallyweave.operators import dispatch
 from tests.test_oracles import rows_of
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -56,3 +57,13 @@ def test_groups_without_unmasked_tokens(spark, sf, tmp_path):
         spark, tmp_path, "adv_opo", orders=orders.format(k=kinds["orders.o_orderkey"], c=kinds["orders.o_custkey"]), lineitem=lines.format(k=kinds["lineitem.l_orderkey"]), customer=customers,
     )
     assert got["advantages"].isna().groupby(got["row_id"]).all().to_dict() == {1: False, 2: True, 3: True, 4: False, 5: False}
+
+
+@pytest.mark.parametrize("rows", [102, 103])
+def test_replicas_of_rows_that_do_not_divide(spark, sf, tmp_path, rows):
+    """The row left over is in a part of its own, which the mapping gives to no worker."""
+    hold(spark, tmp_path, "dispatch_replicas", documents=documents(sf, rows))
+    df = spark.range(7).withColumnRenamed("id", "row_id")
+    parts = {r["row_id"]: r["rank"] for r in dispatch.split(df, 2, rest=True).collect()}
+    assert parts == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2}
+    assert sorted(r["row_id"] for r in dispatch.replicas(dispatch.split(df, 2, rest=True), [0, 1, 2]).collect()) == list(range(7))
