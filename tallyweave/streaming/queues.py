@@ -7,8 +7,8 @@ queue's capacity. The same functions replay a finished table in batch for tests
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +41,17 @@ def bounded_queue(samples: DataFrame, capacity: int, *, key: str = "queue", orde
     return samples.groupBy(key).applyInPandasWithState(put, QUEUE_OUT, QUEUE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of an output frame of the operators that give more than a row a key and micro-batch.
+_OUT_ROWS = 1 << 16
+
+
+def _column(parts: list[np.ndarray]) -> np.ndarray:
+    """One array of all parts, which are let go."""
+    made = np.concatenate(parts) if parts else np.empty(0, dtype="int64")
+    parts.clear()
+    return made
+
+
 WINDOW_OUT = "queue long, window long, first long, last long, total double, samples long"
 WINDOW_STATE = "made long, ids array<bigint>, values array<double>"
 
@@ -50,14 +61,21 @@ def count_windows(samples: DataFrame, size: int, *, key: str = "queue", order: s
 
     def take(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         made, ids, values = state.get if state.exists else (0, [], [])
-        rows = sorted((int(i), float(v)) for f in frames for i, v in zip(f[order], f[value], strict=True))
-        ids, values = [*ids, *[i for i, _ in rows]], [*values, *[v for _, v in rows]]
-        out: list[dict[str, Any]] = []
-        while len(ids) >= size:
-            out.append({"queue": k[0], "window": made, "first": ids[0], "last": ids[size - 1], "total": float(sum(values[:size])), "samples": size})
-            ids, values, made = ids[size:], values[size:], made + 1
-        state.update((made, ids, values))
-        yield pd.DataFrame(out, columns=["queue", "window", "first", "last", "total", "samples"])
+        held = ([np.array(ids, dtype="int64")], [np.array(values, dtype="float64")])  # what waits is earlier than what comes in
+        new: tuple[list, list] = ([], [])
+        for f in frames:
+            new[0].append(f[order].astype("int64").to_numpy())
+            new[1].append(f[value].to_numpy("float64"))
+        i, v = _column(new[0]), _column(new[1])
+        by = np.lexsort((v, i))
+        i, v = _column([*held[0], i[by]]), _column([*held[1], v[by]])
+        full = len(i) // size
+        state.update((made + full, i[full * size :].tolist(), v[full * size :].tolist()))
+        step = max(1, _OUT_ROWS // size)
+        for at in range(0, full, step):
+            end = min(full, at + step)
+            own, weights = i[at * size : end * size].reshape(-1, size), v[at * size : end * size].reshape(-1, size)
+            yield pd.DataFrame({"queue": k[0], "window": np.arange(made + at, made + end), "first": own[:, 0], "last": own[:, -1], "total": [float(sum(w)) for w in weights.tolist()], "samples": size})
 
     return samples.groupBy(key).applyInPandasWithState(take, WINDOW_OUT, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
 

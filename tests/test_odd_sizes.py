@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweave import registry
 from tallyweave.operators import dispatch
@@ -73,3 +74,20 @@ def test_scorers_that_fail_on_wrong_answers_too(spark, sf, tmp_path):
     """103 is odd, so its answer is wrong, and 6 over 97, where the scorer raises."""
     got = hold(spark, tmp_path, "scores_in_time", supplier=f"select * replace ((i + 95)::bigint as s_suppkey) from range(14) t(i), (select * from read_parquet('{sf}/supplier.parquet') limit 1)")
     assert dict(zip(got["s_suppkey"], got["score"], strict=True))[103] == 0.0
+
+
+def test_many_samples_of_one_queue_in_one_micro_batch(spark, tmp_path):
+    """400,000 samples of one queue in one file: the work grows with the samples, not with their square, and the rest waits."""
+    from time import time
+
+    from tallyweave.streaming import queues
+
+    n = 400_000
+    spark.range(n).select(F.lit(0).cast("long").alias("queue"), (n - F.col("id")).alias("sample_id"), (F.col("id") % 7).cast("double").alias("value")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = queues.read_stream(spark, f"{tmp_path}/in")
+    began = time()
+    got = queues.run_to_table(queues.count_windows(stream, 3), "append", "t-many").toPandas().sort_values("window")
+    assert time() - began < 30
+    assert got["window"].tolist() == list(range(n // 3))
+    assert (got["first"] == 3 * got["window"] + 1).all() and (got["last"] == 3 * got["window"] + 3).all()
+    assert (got["total"] == [sum((n - 3 * w - k) % 7 for k in (1, 2, 3)) for w in got["window"]]).all()
