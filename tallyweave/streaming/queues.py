@@ -6,6 +6,7 @@ queue's capacity. The same functions replay a finished table in batch for tests
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +43,20 @@ def bounded_queue(samples: DataFrame, capacity: int, *, key: str = "queue", orde
 
 
 #: Rows of an output frame of the operators that give more than a row a key and micro-batch.
-_OUT_ROWS = 1 << 16
+_OUT_ROWS = 1 << 14
 
 
-def _column(parts: list[np.ndarray]) -> np.ndarray:
-    """One array of all parts, which are let go."""
-    made = np.concatenate(parts) if parts else np.empty(0, dtype="int64")
-    parts.clear()
-    return made
+class _Column:
+    """Numbers of one kind that come in frame by frame, held once in a buffer that grows in place."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.held = np.dtype(kind), bytearray()
+
+    def add(self, more: pd.Series | np.ndarray | list) -> None:
+        self.held += memoryview(np.ascontiguousarray(more, dtype=self.kind)).cast("B")
+
+    def array(self) -> np.ndarray:
+        return np.frombuffer(self.held, dtype=self.kind)
 
 
 WINDOW_OUT = "queue long, window long, first long, last long, total double, samples long"
@@ -61,20 +68,23 @@ def count_windows(samples: DataFrame, size: int, *, key: str = "queue", order: s
 
     def take(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         made, ids, values = state.get if state.exists else (0, [], [])
-        held = ([np.array(ids, dtype="int64")], [np.array(values, dtype="float64")])  # what waits is earlier than what comes in
-        new: tuple[list, list] = ([], [])
+        wait = len(ids)  # what waits is earlier than what comes in
+        new_ids, new_values = _Column("int64"), _Column("float64")
+        new_ids.add(ids)
+        new_values.add(values)
         for f in frames:
-            new[0].append(f[order].astype("int64").to_numpy())
-            new[1].append(f[value].to_numpy("float64"))
-        i, v = _column(new[0]), _column(new[1])
-        by = np.lexsort((v, i))
-        i, v = _column([*held[0], i[by]]), _column([*held[1], v[by]])
-        full = len(i) // size
-        state.update((made + full, i[full * size :].tolist(), v[full * size :].tolist()))
+            new_ids.add(f[order].astype("int64"))
+            new_values.add(f[value])
+        i, v = new_ids.array(), new_values.array()
+        by = np.concatenate([np.arange(wait), wait + np.lexsort((v[wait:], i[wait:]))])
+        full = len(by) // size
+        rest = by[full * size :]
+        state.update((made + full, i[rest].tolist(), v[rest].tolist()))
         step = max(1, _OUT_ROWS // size)
         for at in range(0, full, step):
             end = min(full, at + step)
-            own, weights = i[at * size : end * size].reshape(-1, size), v[at * size : end * size].reshape(-1, size)
+            part = by[at * size : end * size].reshape(-1, size)
+            own, weights = i[part], v[part]
             yield pd.DataFrame({"queue": k[0], "window": np.arange(made + at, made + end), "first": own[:, 0], "last": own[:, -1], "total": [float(sum(w)) for w in weights.tolist()], "samples": size})
 
     return samples.groupBy(key).applyInPandasWithState(take, WINDOW_OUT, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -144,6 +154,22 @@ COMMAND_OUT = "queue long, at long, op string, sample_id long, accepted boolean,
 COMMAND_STATE = "ids array<bigint>, sizes array<bigint>, counts array<bigint>, version long, open boolean"
 
 
+def _commands(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, tuple[np.ndarray, list], np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of all frames, about 30 bytes a command: at, (codes of ops in their order, ops), value, whether it is null, bytes."""
+    ats, codes, values, nulls, weights = (_Column(kind) for kind in ("int64", "int32", "int64", "bool", "int64"))
+    known: dict[str | None, int] = {}
+    for f in frames:
+        ats.add(f["at"].astype("int64"))
+        own, names = pd.factorize(f["op"], use_na_sentinel=False)
+        codes.add(np.array([known.setdefault(None if pd.isna(n) else n, len(known)) for n in names], dtype="int32")[own])
+        nulls.add(f["value"].isna())
+        values.add(f["value"].fillna(0).astype("int64"))
+        weights.add(f["bytes"].fillna(0).astype("int64"))
+    ops = sorted(known, key=lambda n: (n is not None, n or ""))
+    place = np.array([ops.index(n) for n in known], dtype="int32")
+    return ats.array(), (place[codes.array()], ops), values.array(), nulls.array(), weights.array()
+
+
 def command_queue(commands: DataFrame, capacity: int, *, key: str = "queue") -> DataFrame:
     """What a bounded queue answers to each command, in order of `at`, with its statistics after it.
 
@@ -157,34 +183,44 @@ def command_queue(commands: DataFrame, capacity: int, *, key: str = "queue") ->
 
     def answer(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, sizes, counts, version, open_ = state.get if state.exists else ([], [], [0, 0, 0], 0, True)
-        ids, sizes, (produced, consumed, dropped) = list(ids), list(sizes), list(counts)
-        rows = sorted((int(a), o, None if pd.isna(v) else int(v), 0 if pd.isna(b) else int(b)) for f in frames for a, o, v, b in zip(f["at"], f["op"], f["value"], f["bytes"], strict=True))
-        out = []
-        for at, op, value, size in rows:
-            accepted, sample = op in COMMANDS or None, None
-            if op == "put":
-                sample, accepted = value, open_
-                if open_:
-                    produced += 1
-                    ids.append(value)
-                    sizes.append(size)
-                    if len(ids) > capacity:
-                        ids, sizes, dropped, accepted = ids[1:], sizes[1:], dropped + 1, False
-            elif op == "get":
-                accepted = bool(ids)
-                if ids:
-                    sample, consumed = ids[0], consumed + 1
-                    ids, sizes = ids[1:], sizes[1:]
-            elif op == "version":
-                version = value or 0
-            elif op == "clear":
-                ids, sizes = [], []
-            elif op == "close":
-                open_ = False
-            out.append((k[0], at, op, sample, accepted, len(ids), produced, consumed, dropped, version, sum(sizes), open_))
-        state.update((ids, sizes, [produced, consumed, dropped], version, open_))
+        ids, sizes, (produced, consumed, dropped) = deque(ids), deque(sizes), counts
+        waiting = sum(sizes)
+        ats, ops, values, nulls, weights = _commands(frames)
         names = [x.split(" ")[0] for x in COMMAND_OUT.split(", ")]
-        yield pd.DataFrame({n: pd.Series(v, dtype="Int64" if n == "sample_id" else "boolean" if n == "accepted" else None) for n, v in zip(names, zip(*out), strict=True)} if out else {n: [] for n in names})
+        by = np.lexsort((weights, values, nulls, ops[0], ats))
+        for start in range(0, len(by), _OUT_ROWS):
+            part = by[start : start + _OUT_ROWS]
+            out = []
+            for at, code, value, null, size in zip(ats[part].tolist(), ops[0][part].tolist(), values[part].tolist(), nulls[part].tolist(), weights[part].tolist(), strict=True):
+                op, value = ops[1][code], None if null else value
+                accepted, sample = op in COMMANDS or None, None
+                if op == "put":
+                    sample, accepted = value, open_
+                    if open_:
+                        produced += 1
+                        ids.append(value)
+                        sizes.append(size)
+                        waiting += size
+                        if len(ids) > capacity:
+                            ids.popleft()
+                            waiting -= sizes.popleft()
+                            dropped, accepted = dropped + 1, False
+                elif op == "get":
+                    accepted = bool(ids)
+                    if ids:
+                        sample, consumed = ids.popleft(), consumed + 1
+                        waiting -= sizes.popleft()
+                elif op == "version":
+                    version = value or 0
+                elif op == "clear":
+                    ids.clear()
+                    sizes.clear()
+                    waiting = 0
+                elif op == "close":
+                    open_ = False
+                out.append((k[0], at, op, sample, accepted, len(ids), produced, consumed, dropped, version, waiting, open_))
+            yield pd.DataFrame({n: pd.Series(v, dtype="Int64" if n == "sample_id" else "boolean" if n == "accepted" else None) for n, v in zip(names, zip(*out, strict=True), strict=True)})
+        state.update((list(ids), list(sizes), [produced, consumed, dropped], version, open_))
 
     return commands.groupBy(key).applyInPandasWithState(answer, COMMAND_OUT, COMMAND_STATE, "append", GroupStateTimeout.NoTimeout)
 

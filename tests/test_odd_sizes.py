@@ -91,3 +91,22 @@ def test_many_samples_of_one_queue_in_one_micro_batch(spark, tmp_path):
     assert got["window"].tolist() == list(range(n // 3))
     assert (got["first"] == 3 * got["window"] + 1).all() and (got["last"] == 3 * got["window"] + 3).all()
     assert (got["total"] == [sum((n - 3 * w - k) % 7 for k in (1, 2, 3)) for w in got["window"]]).all()
+
+
+def test_commands_of_one_micro_batch_are_held_as_numbers():
+    """A command takes about 30 bytes while it waits for its turn, whatever its op; ops keep their order."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from tallyweave.streaming import queues
+
+    n, size = 100, 10_000
+    frame = pd.DataFrame({"at": range(size), "op": ["put", None, "get", "close"] * (size // 4), "value": [1.0, None] * (size // 2), "bytes": [None, 5.0] * (size // 2)})
+    tracemalloc.start()
+    ats, (codes, ops), values, nulls, weights = queues._commands(frame.copy() for _ in range(n))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * n * size
+    assert ops == [None, "close", "get", "put"] and [ops[c] for c in codes[:4]] == ["put", None, "get", "close"]
+    assert len(ats) == n * size and nulls[:2].tolist() == [False, True] and weights[:2].tolist() == [0, 5] and values[0] == 1
