@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to four tasks a core, for work that costs far more than to shuffle them: a small file is read by few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def r6(c: Column | str, name: str) -> Column:
     """Rounded to six digits, without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c
