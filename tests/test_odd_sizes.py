@@ -110,3 +110,19 @@ def test_commands_of_one_micro_batch_are_held_as_numbers():
     assert most < 60 * n * size
     assert ops == [None, "close", "get", "put"] and [ops[c] for c in codes[:4]] == ["put", None, "get", "close"]
     assert len(ats) == n * size and nulls[:2].tolist() == [False, True] and weights[:2].tolist() == [0, 5] and values[0] == 1
+
+
+def test_answers_are_compared_once_a_pair_and_by_all_tasks(spark, sf):
+    from tallyweave.functions import scoring
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(given, truth):
+        calls.add(1)
+        return given == truth
+
+    df = spark.range(1000, numPartitions=1).select((F.col("id") % 3).cast("string").alias("a"), F.when(F.col("id") % 2 == 0, "1").alias("b"))
+    got = df.select("a", "b", scoring._pairwise(counted, "boolean")(F.col("a"), F.col("b")).alias("x")).collect()
+    assert calls.value == 3 and all(r["x"] == (None if r["b"] is None else r["a"] == "1") for r in got)
+    for name in ("symbolic_answers", "strict_answers"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
