@@ -233,20 +233,14 @@ def paced(requests: DataFrame, rate: float, most: float | None = None, *, key: s
     lacks has had time to come, and leaves the bucket owing it.
     """
     most = most or rate
-    schema = requests.select(key, "at", "time", "tokens").schema
-
-    def grant(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at").reset_index(drop=True)
-        held, now, granted = most, None, []
-        for time, tokens in zip(frame["time"], frame["tokens"], strict=True):
-            start = time if now is None else max(now, time)
-            held = held if now is None else min(most, held + (start - now) * rate)
-            wait = max(0.0, (tokens - held) / rate)
-            held, now = held + wait * rate - tokens, start + wait
-            granted.append(now)
-        return frame.assign(granted=granted)
-
-    return requests.select(key, "at", "time", "tokens").groupBy(key).applyInPandas(grant, T.StructType([*schema.fields, T.StructField("granted", T.DoubleType())]))
+    asked = Window.partitionBy(key).orderBy(F.col("at").asc_nulls_last())
+    upto, before = asked.rowsBetween(Window.unboundedPreceding, 0), asked.rowsBetween(Window.unboundedPreceding, -1)
+    # The bucket would be full again at `full`: the seconds of all tokens so far, on top of the longest time that it was full and idle.
+    owed = F.coalesce(F.sum("tokens").over(before), F.lit(0.0)) / rate
+    made = requests.select(key, "at", "time", "tokens").withColumn("_idle", F.col("time") - owed).withColumn("_owed", F.sum("tokens").over(upto) / rate)
+    made = made.withColumn("_full", F.max("_idle").over(upto) + F.col("_owed"))
+    made = made.withColumn("granted", F.max(F.greatest(F.col("time"), F.col("_full") - most / rate)).over(upto))
+    return made.select(key, "at", "time", "tokens", F.col("granted").cast("double").alias("granted"))
 
 
 def servers(requests: DataFrame, count: int, *, request: str = "request_id", at: str = "at") -> DataFrame:

@@ -126,3 +126,28 @@ def test_answers_are_compared_once_a_pair_and_by_all_tasks(spark, sf):
     assert calls.value == 3 and all(r["x"] == (None if r["b"] is None else r["a"] == "1") for r in got)
     for name in ("symbolic_answers", "strict_answers"):
         assert QUERIES[name](spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pacing_is_a_token_bucket_and_needs_no_python(spark):
+    import random
+
+    from tallyweave.streaming import queues
+
+    def bucket(rows, rate, most):
+        held, now, out = most, None, []
+        for time, tokens in rows:
+            start = time if now is None else max(now, time)
+            held = held if now is None else min(most, held + (start - now) * rate)
+            wait = max(0.0, (tokens - held) / rate)
+            held, now = held + wait * rate - tokens, start + wait
+            out.append(now)
+        return out
+
+    rng = random.Random(3)
+    rows = [(q, i, rng.choice([0.0, i / 4, rng.uniform(-5, 60)]), rng.choice([0.0, 1.0, rng.uniform(0, 9)])) for q in range(5) for i in range(60)]
+    for rate, most in ((2.0, 4.0), (0.7, None), (5.0, 1.0)):
+        df = queues.paced(spark.createDataFrame(rows, "queue int, at int, time double, tokens double"), rate, most)
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r["queue"], r["at"]): r["granted"] for r in df.collect()}
+        for q in range(5):
+            assert [got[q, i] for i in range(60)] == pytest.approx(bucket([r[2:] for r in rows if r[0] == q], rate, most or rate))
