@@ -41,10 +41,44 @@ def majority(pairs: list[tuple]) -> object:
 
 
 @lru_cache(maxsize=64)
-def _picks(n: int, size: int, draws: int, seed: int) -> np.ndarray:
-    """Item numbers of each draw, a row each; the same for all prompts of n samples."""
-    state = np.random.RandomState(seed)
-    return np.stack([state.choice(n, size=size, replace=True) for _ in range(draws)])
+def _picks(n: int, size: int, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For prompts of n samples: item numbers of each draw, a row each; a row an item, how often each draw has it; and its first place there, or size."""
+    picks = np.random.RandomState(seed).choice(n, size=(draws, size), replace=True)  # as `draws` calls for one row each
+    times, first = np.zeros((n, draws), dtype=np.int32), np.full((n, draws), size, dtype=np.int32)
+    rows = np.arange(draws)
+    for place in range(size - 1, -1, -1):
+        times[picks[:, place], rows] += 1
+        first[picks[:, place], rows] = place
+    return picks, times, first
+
+
+def _majorities(values: np.ndarray, votes: list, drawn: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """`majority` of each draw: votes are ranked by how often they come, then by their first place, whose value is taken."""
+    picks, times, first = drawn
+    size = picks.shape[1]
+    most = place = None
+    groups: dict = {}
+    for item, vote in enumerate(votes):
+        groups.setdefault(vote, []).append(item)
+    for items in groups.values():
+        at = first[items].min(axis=0) if len(items) > 1 else first[items[0]]
+        rank = (times[items].sum(axis=0) if len(items) > 1 else times[items[0]]) * (size + 1) - at
+        if most is None:
+            most, place = rank, at
+        else:
+            place = np.where(rank > most, at, place)
+            most = np.maximum(rank, most)
+    return values[picks[np.arange(len(picks)), place]]
+
+
+def _extremes(values: np.ndarray, drawn: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest and the smallest value of each draw; NaN where it has one."""
+    picks, times, _ = drawn
+    if np.isnan(values).any():
+        return values[picks].max(axis=1), values[picks].min(axis=1)
+    order = np.argsort(values, kind="stable")
+    held = times[order] > 0
+    return values[order[len(order) - 1 - held[::-1].argmax(axis=0)]], values[order[held.argmax(axis=0)]]
 
 
 def _prompt_metrics(values: list[float], votes: list | None, draws: int, seed: int) -> list[tuple[str, float]]:
@@ -54,13 +88,13 @@ def _prompt_metrics(values: list[float], votes: list | None, draws: int, seed: i
         out.append((f"std@{n}", float(np.std(values))))
         array = np.asarray(values)
         for k in subset_sizes(n):
-            picks = _picks(n, k, draws, seed)
-            for name, got in (("best", array[picks].max(axis=1)), ("worst", array[picks].min(axis=1))):
-                out += [(f"{name}@{k}/mean", float(got.mean())), (f"{name}@{k}/std", float(got.std()))]
+            drawn = _picks(n, k, draws, seed)
+            got = dict(zip(("best", "worst"), _extremes(array, drawn), strict=True))
             if votes is not None:
-                pairs = list(zip(votes, values, strict=True))
-                got = [majority([pairs[i] for i in p]) for p in picks.tolist()]
-                out += [(f"maj@{k}/mean", float(np.mean(got))), (f"maj@{k}/std", float(np.std(got)))]
+                got["maj"] = _majorities(array, votes, drawn)
+            rows = np.stack(list(got.values()))
+            for name, mean, std in zip(got, rows.mean(axis=1).tolist(), rows.std(axis=1).tolist(), strict=True):
+                out += [(f"{name}@{k}/mean", mean), (f"{name}@{k}/std", std)]
     return out
 
 
@@ -80,7 +114,7 @@ def rollup(df: DataFrame, variables: list[str], *, source: str = "data_source",
     def run(frames):
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
+            for r in frame.iloc[frame["values"].map(len).argsort(kind="stable")].itertuples(index=False):  # those of one size share their draws
                 for metric, value in _prompt_metrics(list(r.values), list(r.votes) if use_votes else None, draws, seed):
                     out.append((r.data_source, r.variable, metric, value))
             yield pd.DataFrame(out, columns=["data_source", "variable", "metric", "value"])

@@ -151,3 +151,26 @@ def test_pacing_is_a_token_bucket_and_needs_no_python(spark):
         got = {(r["queue"], r["at"]): r["granted"] for r in df.collect()}
         for q in range(5):
             assert [got[q, i] for i in range(60)] == pytest.approx(bucket([r[2:] for r in rows if r[0] == q], rate, most or rate))
+
+
+def test_rollup_draws_are_those_of_plain_lists():
+    """All prompts' metrics equal the reducers over lists, bit by bit, with ties of votes and values; 300 prompts take seconds."""
+    import random
+    from time import time
+
+    from tallyweave.operators import evaluation as E
+
+    rng = random.Random(5)
+    for n in (1, 2, 3, 7, 16):
+        values = [rng.choice([0.0, 0.25, 0.5, rng.random()]) for _ in range(n)]
+        votes = [rng.choice(["a", "b", None]) for _ in range(n)]
+        got = dict(E._prompt_metrics(values, votes, 100, 42))
+        for k in E.subset_sizes(n) if n > 1 else []:
+            pairs = list(zip(values, votes, strict=True))
+            reducers = [lambda p: max(v for v, _ in p), lambda p: min(v for v, _ in p), lambda p: E.majority([(w, v) for v, w in p])]
+            for name, (mean, std) in zip(("best", "worst", "maj"), E.bootstrap(pairs, k, reducers, 100, 42), strict=True):
+                assert (got[f"{name}@{k}/mean"], got[f"{name}@{k}/std"]) == (mean, std)
+    began = time()
+    for _ in range(300):
+        E._prompt_metrics([rng.random() for _ in range(16)], [rng.choice("abcde") for _ in range(16)], 1000, 42)
+    assert time() - began < 1.5
