@@ -36,9 +36,8 @@ def _letters(text: Column) -> Column:
 
 def _buckets(word: Column, n: int, buckets: int) -> Column:
     """Hashes of the n-grams of a word with a blank at either end; a shorter one is one n-gram."""
-    chars = F.regexp_extract_all(F.concat(F.lit(" "), word, F.lit(" ")), F.lit("(?s)."), F.lit(0))
-    gram = lambda c, i: F.pmod(F.xxhash64(F.concat(*[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(n)])), F.lit(buckets)).cast("int")
-    return let(chars, lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: gram(c, i)))
+    gram = lambda w, i: F.pmod(F.xxhash64(F.substring(w, i, F.lit(n))), F.lit(buckets)).cast("int")
+    return let(F.concat(F.lit(" "), word, F.lit(" ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: gram(w, i)))
 
 
 def fit_profiles(df: DataFrame, *, text: str = "text", language: str = "lang", n: int = 3, buckets: int = 1 << 13) -> Profiles:
