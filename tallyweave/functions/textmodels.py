@@ -84,9 +84,18 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
 
+#: Brackets and quotes that close.
+_CLOSERS = "\"')]”’»"
+
+
 def _kind(token: Column) -> Column:
     """A token's word: lower case, without the brackets and quotes around it and a point at its end."""
-    return F.regexp_replace(F.lower(F.regexp_replace(token, r"^[\"'(\[“‘«]+|[\"')\]”’»,;:]+$", "")), r"[.!?]+$", "")
+    return F.rtrim(F.lower(F.rtrim(F.ltrim(token, F.lit("\"'([“‘«")), F.lit(_CLOSERS + ",;:"))), F.lit(".!?"))
+
+
+def _mark(token: Column) -> Column:
+    """The last character before the closing brackets and quotes."""
+    return F.right(F.rtrim(token, F.lit(_CLOSERS)), F.lit(1))
 
 
 def _ratio(k: Column, n: Column, p: Column) -> Column:
@@ -102,9 +111,13 @@ def fit_boundaries(df: DataFrame, *, text: str = "text", most: int = 20_000) ->
     more so the shorter it is, the more points it has inside and the less it stands without a point. A word is
     a beginning if it follows ends of sentences that aren't abbreviations more often than its frequency explains.
     """
-    own = lambda t, i: F.struct(_kind(F.get(t, i)).alias("kind"), F.get(t, i).rlike(r"\.[\"')\]”’»]*$").alias("dot"), F.get(t, i).rlike(r"[!?][\"')\]”’»]*$").alias("mark"), _kind(F.get(t, i + 1)).alias("then"))
-    pairs = df.filter(F.length(F.trim(text)) > 0).select(F.explode(let(_tokens(F.col(text)), lambda t: F.transform(t, lambda _, i: own(t, i)))).alias("x")).select("x.*")
-    counted = materialize(pairs.groupBy("kind", "dot", "mark", "then").agg(F.count("*").alias("times")), "token-pairs")
+    ended = lambda c: c.isin(".", "!", "?")
+    follows = lambda t: F.transform(t, lambda x, i: F.struct(x.alias("token"), F.when(ended(_mark(x)), F.get(t, i + 1)).alias("then")))  # noqa: E731  only ends ask what follows
+    pairs = df.filter(F.length(F.trim(text)) > 0).select(F.explode(let(_tokens(F.col(text)), follows)).alias("x")).select("x.*")
+    pairs = pairs.groupBy("token", "then").agg(F.count("*").alias("times"))  # words are made of different tokens only
+    last = _mark(F.col("token"))
+    pairs = pairs.select(_kind(F.col("token")).alias("kind"), (last == ".").alias("dot"), last.isin("!", "?").alias("mark"), _kind(F.col("then")).alias("then"), "times")
+    counted = materialize(pairs.groupBy("kind", "dot", "mark", "then").agg(F.sum("times").alias("times")), "token-pairs")
     kinds = counted.groupBy("kind").agg(F.sum(F.when(F.col("dot"), F.col("times")).otherwise(0)).alias("k"), F.sum("times").alias("n"))
     whole = kinds.agg(F.sum("k").alias("dots"), F.sum("n").alias("tokens")).first()
     if not whole["tokens"]:
@@ -131,20 +144,20 @@ def sentences(text: Column, known: Boundaries) -> Column:
     A sentence ends at white space after ! or ?, and after a point, unless the point belongs to an abbreviation, an initial or
     (before a small letter) a number, and what follows isn't a beginning with a capital. Where no sentence ends, white space is one blank.
     """
-    pieces = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?][\"')\]”’»]?)\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     among = lambda c, names: c.isin(names) if names else F.lit(False)
 
     def open_end(before: Column, then: Column) -> Column:
-        last = F.regexp_extract(before, r"(?U)(\S+)$", 1)
+        last = F.reverse(F.regexp_extract(F.reverse(before), r"(?U)^(\S+)", 1))
         first = F.regexp_extract(then, r"(?U)^(\S+)", 1)
-        kind = _kind(last)
-        begins = first.rlike(r"^[\"'(\[“‘«]*\p{Lu}") & among(_kind(first), known.beginnings)
-        held = among(kind, known.abbreviations) | kind.rlike(r"^\p{L}$") | (kind.rlike(r"^\d+$") & then.rlike(r"^\p{Ll}"))
-        return last.rlike(r"\.[\"')\]”’»]*$") & held & ~begins
-
-    def join(acc: Column, piece: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        glued = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", last, piece)))
-        return F.when((F.size(acc) > 0) & open_end(last, piece), glued).otherwise(F.array_append(acc, piece))
-
-    return F.when(text.isNotNull(), F.aggregate(pieces, F.array().cast("array<string>"), join))
+        begins = lambda first: first.rlike(r"^[\"'(\[“‘«]*\p{Lu}") & among(_kind(first), known.beginnings)
+        held = lambda kind: among(kind, known.abbreviations) | kind.rlike(r"^\p{L}$") | (kind.rlike(r"^\d+$") & then.rlike(r"^\p{Ll}"))
+        return (_mark(before) == ".") & let(_kind(last), held) & ~let(first, begins)
+
+    def whole(pieces: Column) -> Column:
+        """Pieces with a blank before those that go on; others with a mark and a line end, at which texts were split, so no piece has them."""
+        glued = F.transform(pieces, lambda x, i: F.when(i == 0, x).when(open_end(F.get(pieces, i - 1), x), F.concat(F.lit(" "), x)).otherwise(F.concat(F.lit("!\n"), x)))
+        return F.when(F.size(pieces) > 0, F.split(F.array_join(glued, ""), "!\n")).otherwise(F.array().cast("array<string>"))
+
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    pieces = F.filter(F.split(bare, r"(?U)(?<=[.!?][\"')\]”’»]?)\s+"), lambda s: s != "")
+    return F.when(text.isNotNull(), let(pieces, whole))

@@ -174,3 +174,24 @@ def test_rollup_draws_are_those_of_plain_lists():
     for _ in range(300):
         E._prompt_metrics([rng.random() for _ in range(16)], [rng.choice("abcde") for _ in range(16)], 1000, 42)
     assert time() - began < 1.5
+
+
+def test_long_texts_are_cut_into_sentences_in_linear_time(spark):
+    """40,000 sentences of one text in seconds; rules at the ends of texts, after initials, abbreviations, numbers and closing quotes."""
+    from time import time
+
+    from tallyweave.functions import textmodels as T
+
+    known = T.Boundaries(["etc", "dr"], ["the"])
+    texts = [None, "", " \n ", "One! two", ' Hi!!\n\nDr. No said "etc." and left. The end. ', "J. S. Bach wrote etc. The rest? (yes.) On the 3. may it.", "What!\nNo?! So. Then"]
+    want = [
+        None, [], [], ["One!", "two"], ["Hi!!", 'Dr. No said "etc." and left.', "The end."], ["J. S. Bach wrote etc.", "The rest?", "(yes.)", "On the 3. may it."], ["What!", "No?!", "So.", "Then"],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r["s"] for r in df.select("i", T.sentences(F.col("text"), known).alias("s")).orderBy("i").collect()] == want
+    long = spark.range(1).select(F.repeat(F.lit("It ended. "), 40_000).alias("text"))
+    began = time()
+    assert long.select(F.size(T.sentences(F.col("text"), known)).alias("n")).first()["n"] == 40_000
+    assert time() - began < 20
+    kinds = spark.createDataFrame([('"(Dr.)",',), ("«U.S.»",), ("...",), ("Ende!?",)], "t string").select(T._kind(F.col("t")).alias("k"), T._mark(F.col("t")).alias("m")).collect()
+    assert [(r["k"], r["m"]) for r in kinds] == [("dr", ","), ("u.s", "."), ("", "."), ("ende", "?")]
