@@ -22,6 +22,7 @@ link like any other. Repeated rows get equal results. An empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -48,6 +49,8 @@ ROUNDS = (0, 1, 64, 4096)
 TILE, MEMBERS = 16_384, 4096
 #: Large blocks that are named in a broadcast at most.
 NAMED = 100_000
+#: Names, of 8 bytes each, that are sent to all tasks at most, to pick texts or shingle sets where they are read.
+FEW = 1_000_000
 #: Rows from which a run is worked off in pieces.
 LONG_RUN = 200_000
 #: Bytes of text whose shingles a worker holds.
@@ -319,15 +322,34 @@ def _large_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(named, "block", "left_anti"), materialize(large, "near-large")
 
 
-def _alike(docs: DataFrame, named: DataFrame, pairs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(u, v): the pairs of names whose shingles are alike."""
-    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    wanted = materialize(named.join(asked.hint("merge"), "name", "left_semi"), "near-asked")
-    texts = docs.select(F.col("doc_id").alias("of"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(wanted.select("rep").distinct().hint("merge"), F.col("of").eqNullSafe(F.col("rep")), "left_semi")
+def _few(names: DataFrame) -> DataFrame:
+    """Named in a broadcast where there are FEW at most, so that what they pick isn't shuffled."""
+    return F.broadcast(names) if names.count() <= FEW else names.hint("merge")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(name, shingles) of the wanted names, written; texts are picked where they are read."""
+    texts = docs.select(F.xxhash64("doc_id").alias("of"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    reps = materialize(wanted.select(F.xxhash64("rep").alias("of")).distinct(), "near-reps")
+    texts = texts.join(_few(reps), "of", "left_semi")
     # rows that share a doc_id, or have none, may have other texts too
-    sets = shingle_sets(texts, width).join(wanted.hint("merge"), ["digest", "n"]).groupBy("name").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "near-shingles")
+    sets = shingle_sets(texts, width).groupBy("digest", "n").agg(F.first("shingles").alias("shingles"))
+    return materialize(sets.join(wanted.hint("merge"), ["digest", "n"]).select("name", "shingles"), "near-shingles")
+
+
+def _alike(docs: DataFrame, named: DataFrame, pairs: DataFrame, made: list[DataFrame], threshold: float, width: int) -> DataFrame:
+    """(u, v): the pairs of names whose shingles are alike. Sets that earlier rounds made are used again; new ones are added to `made`."""
+    asked = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    asked = materialize(asked, "near-asked")
+    few, new = _few(asked), asked
+    for known in made:
+        new = new.join(known.select("name").hint("merge"), "name", "left_anti")
+    wanted = materialize(named.join(new.hint("merge"), "name", "left_semi"), "near-wanted")
+    used = [known.join(few, "name", "left_semi") for known in made]
+    if not made or not wanted.isEmpty():
+        made.append(_sets_of(docs, wanted, width))
+        used.append(made[-1])
+    sets = functools.reduce(DataFrame.unionByName, used)
     both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.withColumn("_n", common).filter(F.col("_n") >= threshold * (F.size("x") + F.size("y") - F.col("_n")))
@@ -369,7 +391,7 @@ def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: in
     rows = materialize(blocks.join(own.select("name", "part", "n", "size", *words).hint("merge"), ["name", "part"]).select("block", "name", "n", "size", *[f"s{w}" for w in range(SKETCH)]), "near-rows")
     small, large = _large_apart(rows)
     searched = {False: small.withColumn("label", F.col("name"))} | ({True: large.withColumn("label", F.col("name"))} if large is not None else {})
-    written, links, labels = {False: rows, True: large}, None, None
+    written, links, labels, made = {False: rows, True: large}, None, None, []
     for first, last in _rounds():
         if labels is not None:
             for tiled, of in list(searched.items()):
@@ -387,7 +409,7 @@ def near_sets(docs: DataFrame, prints: DataFrame, *, threshold: float, width: in
         pairs = materialize(pairs.distinct() if len(searched) > 1 else pairs, "near-pairs")
         if labels is not None and pairs.isEmpty():
             continue
-        alike = _alike(docs, named, pairs, threshold, width)
+        alike = _alike(docs, named, pairs, made, threshold, width)
         links = alike if links is None else links.unionByName(alike)
         labels = materialize(component_labels(links), "near-labels")
     if links is None:

@@ -401,6 +401,30 @@ def test_near_copies_of_large_blocks(spark, monkeypatch, search):
     assert near_copies(spark, rows, search) == brute_copies(rows)
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+@pytest.mark.parametrize("search", SEARCHES)
+def test_near_copies_read_texts_in_place_and_once(spark, monkeypatch, search, few):
+    """Texts aren't shuffled to make shingle sets of some, and no round makes a set again; where the names are too many to be sent, results are the same."""
+    monkeypatch.setattr(nearsets, "FEW", few, raising=False)
+    monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 8))
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(14 + i % 5)] + base[14 + i % 5 :])) for i in range(20)]
+    rows += [(100 + i, " ".join([word() for _ in range(45)] + base[45:])) for i in range(20)]
+    made, plans, real = [], [], nearsets.shingle_sets
+
+    def noted(texts, width):
+        made.extend(r["text"] for r in texts.collect())
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return real(texts, width)
+
+    monkeypatch.setattr(nearsets, "shingle_sets", noted)
+    assert near_copies(spark, rows, search) == brute_copies(rows)
+    assert made and len(made) == len(set(made))
+    assert not few or not any("Exchange hashpartitioning" in p for p in plans)
+
+
 def test_near_copies_around_one_that_comes_last(spark, monkeypatch):
     monkeypatch.setattr(nearsets, "ROUNDS", (0, 1, 4, 16))
     rng = random.Random(6)
