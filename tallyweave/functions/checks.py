@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import textmodels
+from tallyweave.functions.arrays import let
 from tallyweave.functions.textmodels import Boundaries, Profiles
 
 Check = Callable[[Column, "Get"], Column]
@@ -421,18 +422,24 @@ def passes(check_id: str, text: Column | str, *, profiles: Profiles | None = Non
     return F.coalesce(CHECKS[check_id](c, get), F.lit(False))
 
 
-def constraint_score(df: DataFrame, text: str = "response", constraints: str = "constraints", key: str = "row_id", *, profiles: Profiles | None = None, boundaries: Boundaries | None = None) -> DataFrame:
-    """(key, score): the share of a row's constraints that its response passes.
+def constraint_score(df: DataFrame, text: str = "response", constraints: str = "constraints", key: str = "row_id", *, profiles: Profiles | None = None, boundaries: Boundaries | None = None, blank: Column | None = None) -> DataFrame:
+    """(key, score) of each row: the share of its constraints that its response passes.
 
     constraints: array<struct<instruction_id: array<string>, kwargs: array<map<string, string>>>>. Missing
-    kwargs are empty, unknown ids count as failed, blank responses and rows without constraints get 0.
+    kwargs are empty, unknown ids count as failed, blank responses and rows without constraints get 0. A response is
+    blank if it is null or white space of any alphabet, or as `blank` says. Rows are scored where they are read: keys may repeat or be null.
     """
-    ids = df.select(key, text, F.explode(constraints).alias("g")).select(key, text, F.posexplode("g.instruction_id").alias("i", "id"), "g.kwargs")
-    one = ids.withColumn("kw", F.coalesce(F.get("kwargs", F.col("i")), F.create_map().cast("map<string,string>")))
-    get = Get(lambda name: F.element_at("kw", F.lit(name)), profiles, boundaries)
-    blank = F.coalesce(strip(F.col(text)) == "", F.lit(True))
-    passed = F.lit(False)
-    for check_id, f in CHECKS.items():
-        passed = F.when(F.col("id") == check_id, f(F.col(text), get)).otherwise(passed)
-    got = one.groupBy(key).agg(F.avg(F.when(blank, 0.0).otherwise(F.coalesce(passed, F.lit(False)).cast("double"))).alias("_s"))
-    return df.select(key).join(got, key, "left").select(key, F.coalesce("_s", F.lit(0.0)).alias("score"))
+    c, empty = F.col(text), F.create_map().cast("map<string,string>")
+    known = F.filter(constraints, lambda g: g["instruction_id"].isNotNull())
+    each = F.flatten(F.transform(known, lambda g: F.transform(g["instruction_id"], lambda name, i: F.struct(name.alias("id"), F.coalesce(F.get(g["kwargs"], i), empty).alias("kw")))))
+
+    def passed(x: Column) -> Column:
+        get = Get(lambda name: F.element_at(x["kw"], F.lit(name)), profiles, boundaries)
+        made = F.when(F.lit(False), False)
+        for check_id, f in CHECKS.items():
+            made = made.when(x["id"] == check_id, f(c, get))
+        return F.coalesce(made, F.lit(False))
+
+    share = let(each, lambda e: F.when(F.size(e) > 0, F.size(F.filter(e, passed)) / F.size(e)))
+    blank = ~F.regexp_like(c, F.lit(r"(?U)\S")) if blank is None else blank
+    return df.select(key, F.when(F.coalesce(blank, F.lit(True)) | c.isNull(), 0.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"))

@@ -195,3 +195,13 @@ def test_long_texts_are_cut_into_sentences_in_linear_time(spark):
     assert time() - began < 20
     kinds = spark.createDataFrame([('"(Dr.)",',), ("«U.S.»",), ("...",), ("Ende!?",)], "t string").select(T._kind(F.col("t")).alias("k"), T._mark(F.col("t")).alias("m")).collect()
     assert [(r["k"], r["m"]) for r in kinds] == [("dr", ","), ("u.s", "."), ("", "."), ("ende", "?")]
+
+
+BLANK = "VALUES (1, 'a, the'), (2, NULL), (3, ''), (4, '  '), (5, chr(160) || chr(12288)), (6, chr(9)), (7, chr(10) || ' '), (8, chr(8232)), (9, 'The tHe thethe THE')"
+REPEATED = "VALUES (1, 'a, b'), (1, 'the the the the the'), (2, 'c'), (3, 'the the, the the the'), (3, 'd, e')"
+
+
+@pytest.mark.parametrize(("rows", "kept"), [(BLANK, 5), (REPEATED, 5)])
+def test_constraint_scores_of_blank_texts_and_repeated_ids(spark, tmp_path, rows, kept):
+    got = hold(spark, tmp_path, "checks_constraint_score", documents=f'select x::bigint as doc_id, t as "text" from ({rows}) v(x, t)')
+    assert len(got) == kept

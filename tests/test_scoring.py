@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import answers
 from tallyweave.functions import checks as C
 from tallyweave.functions import scoring as S
+from tallyweave.functions import textmodels as T
 from tallyweave.sources import datasets as D
 from tallyweave.sources import preprocess as P
 from tallyweave.sources import sinks as K
@@ -129,6 +130,28 @@ def test_constraint_scores(spark):
     assert {r["row_id"]: r["score"] for r in C.constraint_score(df).collect()} == pytest.approx({1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0})
 
 
+def test_constraint_scores_by_row(spark):
+    """Every check by its id and arguments, next to an unknown one; keys that repeat or are null; rows without constraints."""
+    kind = "row_id long, response string, constraints array<struct<instruction_id: array<string>, kwargs: array<map<string,string>>>>"
+    known = lambda args: {k: ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v) for k, v in args.items()}
+    rows = [(i, c[1], [([c[0], "no:such"], [known(c[2])])]) for i, c in enumerate(CASES)]
+    got = {r["row_id"]: r["score"] for r in C.constraint_score(spark.createDataFrame(rows, kind)).collect()}
+    assert not [c for i, c in enumerate(CASES) if got[i] != (0.5 if c[3] and c[1] and c[1].strip() else 0.0)]
+    comma = [(["punctuation:no_comma"], None)]
+    rows = [(1, "x", comma), (1, "x,", comma), (None, "x", comma), (None, "x,", comma), (2, "x", None), (3, "x", [None, (None, None), comma[0]]), (4, "x", [([None], [])]), (5, "\t", comma), (6, None, comma)]
+    df = spark.createDataFrame(rows, kind)
+    scores = lambda **more: [(r["row_id"], r["score"]) for r in C.constraint_score(df, **more).collect()]
+    assert scores() == [(1, 1.0), (1, 0.0), (None, 1.0), (None, 0.0), (2, 0.0), (3, 1.0), (4, 0.0), (5, 0.0), (6, 0.0)]
+    assert scores(blank=F.lit(False))[-2:] == [(5, 1.0), (6, 0.0)]
+    told, ends = T.fit_profiles(spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de")], "text string, lang string")), T.Boundaries(["dr"], [])
+    asked = [(["language:response_language", "length_constraints:number_sentences"], [{"language": "de"}, {"num_sentences": "1", "relation": "less than"}])]
+    df = spark.createDataFrame([(1, "die Katze von Dr. Katze.", asked), (2, "the dog. the cat.", asked)], kind)
+    want = [
+        sum(df.filter(f"row_id = {i}").select(C.passes(name, "response", profiles=told, boundaries=ends, **args).alias("x")).first()["x"] for name, args in zip(*asked[0], strict=True)) / 2 for i in (1, 2)
+    ]
+    assert [r["score"] for r in C.constraint_score(df, profiles=told, boundaries=ends).collect()] == want
+
+
 def test_datasets(spark, tmp_path):
     rows = [("p1", "short one"), ("p2", "word " * 50), ("p3", None)]
     spark.createDataFrame(rows, "id string, prompt string").write.json(f"{tmp_path}/a.json")
